@@ -1,7 +1,13 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import mixing
+from . import mixing, quality
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources}
+QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_quality_rules": quality.op3_quality_rules,
+}
 
-ORACLES = {"op1_mix_sources": mixing.OP1_SQL}
+#: Where SQL can express the whole result on whole tables.
+ORACLES = {
+    "op1_mix_sources": mixing.OP1_SQL,
+}
