@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_simhash_components": simhash.op5_simhash_components,
 }
 
 #: Where SQL can express the whole result on whole tables.
