@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import mixing, quality, simhash
+from . import mixing, pii, quality, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_simhash_components": simhash.op5_simhash_components,
+    "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
 }
 
 #: Where SQL can express the whole result on whole tables.
