@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import mixing, pii, quality, simhash
+from . import mixing, pii, quality, simhash, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_simhash_components": simhash.op5_simhash_components,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
+    "op10_winnow_fingerprints": winnow.op10_winnow_fingerprints,
 }
 
 #: Where SQL can express the whole result on whole tables.
