@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import mixing, pii, quality, simhash, winnow
+from . import html, mixing, pii, quality, simhash, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_html_main_text": html.op4_html_main_text,
     "op5_simhash_components": simhash.op5_simhash_components,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op10_winnow_fingerprints": winnow.op10_winnow_fingerprints,
