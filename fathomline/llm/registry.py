@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import html, mixing, pii, quality, simhash, winnow
+from . import chat, html, mixing, pii, quality, simhash, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_html_main_text": html.op4_html_main_text,
     "op5_simhash_components": simhash.op5_simhash_components,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op10_winnow_fingerprints": winnow.op10_winnow_fingerprints,
 }
@@ -14,4 +15,5 @@ QUERIES = {
 #: Where SQL can express the whole result on whole tables.
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op6_chat_format": chat.OP6_SQL,
 }
