@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import chat, html, mixing, pii, quality, simhash, winnow
+from . import bpe, chat, html, mixing, pii, quality, simhash, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_simhash_components": simhash.op5_simhash_components,
     "op6_chat_format": chat.op6_chat_format,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
+    "op9_bpe_roundtrip": bpe.op9_bpe_roundtrip,
     "op10_winnow_fingerprints": winnow.op10_winnow_fingerprints,
 }
 
