@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import bpe, chat, html, mixing, pii, quality, simhash, winnow
+from . import bpe, chat, html, mixing, pii, quality, simhash, toxicity, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_toxicity_scores": toxicity.op2_toxicity_scores,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_html_main_text": html.op4_html_main_text,
     "op5_simhash_components": simhash.op5_simhash_components,
