@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import bpe, chat, html, mixing, pii, quality, simhash, toxicity, winnow
+from . import bpe, chat, html, lm, mixing, pii, quality, simhash, toxicity, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash_components": simhash.op5_simhash_components,
     "op6_chat_format": chat.op6_chat_format,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
+    "op8_lm_scores": lm.op8_lm_scores,
     "op9_bpe_roundtrip": bpe.op9_bpe_roundtrip,
     "op10_winnow_fingerprints": winnow.op10_winnow_fingerprints,
 }
