@@ -27,19 +27,21 @@ from .common import by_chunks, table, texts
 
 SHORT = 40
 #: Pieces and bytes per recursive query, tokens per decoding query, pieces remembered.
-QUERY_PIECES, QUERY_BYTES, DECODE_TOKENS, REMEMBERED = 40_000, 1 << 20, 1 << 20, 500_000
+QUERY_PIECES, QUERY_BYTES, DECODE_TOKENS, REMEMBERED = 100_000, 1 << 20, 1 << 20, 300_000
 
 _LEFTMOST = """
 WITH RECURSIVE step(piece, pos, id, done) AS (
   SELECT piece, pos, id, false FROM positions
   UNION ALL
-  SELECT piece, pos, CASE WHEN pair = best THEN rank ELSE id END, best IS NULL
-  FROM (SELECT *, lag(pair) OVER (PARTITION BY piece ORDER BY pos) AS before
-        FROM (SELECT *, min(pair) OVER (PARTITION BY piece) AS best
-              FROM (SELECT n.piece, n.pos, n.id, m.rank, m.rank * 4294967296 + n.pos AS pair
-                    FROM (SELECT piece, pos, id, lead(id) OVER (PARTITION BY piece ORDER BY pos) AS after FROM step WHERE NOT done) n
-                    LEFT JOIN merges m ON m.a = n.id AND m.b = n.after)))
-  WHERE before IS NULL OR before <> best)
+  (WITH pairs AS MATERIALIZED (
+     SELECT n.piece, n.pos, n.id, n.next_pos, m.rank, m.rank::BIGINT * 65536 + n.pos AS pair
+     FROM (SELECT piece, pos, id, lead(id) OVER w AS after, lead(pos) OVER w AS next_pos
+           FROM step WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)) n
+     LEFT JOIN merges m ON m.a = n.id AND m.b = n.after),
+   least AS (SELECT piece, min(pair) AS best, arg_min(next_pos, pair) AS gone FROM pairs WHERE pair IS NOT NULL GROUP BY piece)
+   SELECT p.piece, p.pos, CASE WHEN p.pair = l.best THEN p.rank ELSE p.id END, l.best IS NULL
+   FROM pairs p LEFT JOIN least l ON l.piece = p.piece
+   WHERE l.gone IS NULL OR p.pos <> l.gone))
 SELECT piece, id FROM step WHERE done ORDER BY piece, pos
 """
 
@@ -73,15 +75,16 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.older: dict[str, bytes] = {}
+        self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        a, b, r = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
+        a, b, r = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
         merges = pa.table({"a": a, "b": b, "rank": r})  # noqa: F841  DuckDB reads these by name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         # a byte as the character of its number, so that the aggregate is one of text
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})  # noqa: F841
+        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
     def _query(self, pieces: list[str], data: list[bytes], sql: str) -> None:
@@ -89,7 +92,7 @@ class Coder:
         size = np.fromiter(map(len, data), np.int64, len(data))
         piece = np.repeat(np.arange(len(data)), size)
         pos = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-        positions = pa.table({"piece": piece, "pos": pos, "id": self.bytes_id[raw]})  # noqa: F841
+        positions = pa.table({"piece": piece.astype(np.int32), "pos": pos.astype(np.int32), "id": self.bytes_id[raw]})  # noqa: F841
         found = self.db.execute(sql).fetchnumpy()
         ids = found["id"].astype("<u4").tobytes()
         ends = (np.cumsum(np.bincount(found["piece"], minlength=len(data))) * 4).tolist()
@@ -122,10 +125,12 @@ class Coder:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.split(x) for x in batch]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split) - self.known.keys()
-        self.learn(new)
+        if len(self.known) > REMEMBERED:  # what isn't met again until the next time is forgotten
+            self.known, self.older = {}, self.known
+        missing = set().union(*split) - self.known.keys()
+        met = missing & self.older.keys()
+        self.known.update((p, self.older[p]) for p in met)
+        self.learn(missing - met)
         known = self.known.__getitem__
         return [b"".join(map(known, x)) for x in split]
 
@@ -139,10 +144,10 @@ class Coder:
                 size += len(batch[end]) // 4
                 end += 1
             counts = np.fromiter((len(x) // 4 for x in batch[at:end]), np.int64, end - at)
-            flat = np.frombuffer(b"".join(batch[at:end]), "<u4").astype(np.int64)
+            flat = np.frombuffer(b"".join(batch[at:end]), "<u4").astype(np.int32)
             for lo in range(0, len(flat), DECODE_TOKENS):  # a text of more tokens comes in parts
                 hi = min(lo + DECODE_TOKENS, len(flat))
-                ids = pa.table({"text": np.repeat(np.arange(end - at), counts)[lo:hi], "pos": np.arange(lo, hi), "id": flat[lo:hi]})  # noqa: F841
+                ids = pa.table({"text": np.repeat(np.arange(end - at, dtype=np.int32), counts)[lo:hi], "pos": np.arange(lo, hi, dtype=np.int32), "id": flat[lo:hi]})  # noqa: F841
                 found = self.db.execute(_DECODE).fetchnumpy()
                 for i, x in zip(found["text"].tolist(), found["bytes"].tolist(), strict=True):
                     out[at + i] += x.encode("latin-1")
