@@ -239,3 +239,28 @@ def param_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = evaluation.fold_statistics(_trials(spark, sf_dir), "depth", "score")
     return f.select("depth", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "folds")
+
+
+def _trained(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    from fathomline.operators import models
+
+    names = ["flag", "byte_chi2", "size_bytes"]
+    d = tables.dataset(spark, sf_dir).withColumn("y", vectorise.encode_label(F.col("gt_class")))
+    train = d.filter("doc_id % 5 <> 0")
+    v = vectorise.fit(train, ["flag"], ["byte_chi2", "size_bytes"], ["byte_chi2", "size_bytes"])
+    model = fit(models.assembled(v.transform(train), names))
+    return models.predictions(model, models.assembled(v.transform(d.filter("doc_id % 5 = 0")), names, weights=False)).select("doc_id", "y", "y_pred", "s0", "s1", "s2")
+
+
+@query()
+def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomline.operators import models
+
+    return _trained(spark, sf_dir, lambda t: models.random_forest(t, trees=20, depth=6))
+
+
+@query()
+def mlp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomline.operators import models
+
+    return _trained(spark, sf_dir, lambda t: models.perceptron(t, 3, hidden=10, rounds=30))
