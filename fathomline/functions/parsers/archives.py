@@ -116,7 +116,7 @@ def zip_encryption(data: bytes) -> dict | None:
             at += 4 + size
         methods.add("AES" if aes else "ZipCrypto")
     name = None if not methods else "Mixed" if len(methods) > 1 else methods.pop()
-    return {"zip_any_encrypted": locked > 0, "zip_all_encrypted": bool(records) and locked == len(records), "zip_encryption_method": name}
+    return {"zip_any_entry_encrypted": locked > 0, "zip_all_headers_encrypted": bool(records) and locked == len(records), "zip_encryption_method": name}
 
 
 class _Cursor:
@@ -280,4 +280,4 @@ def seven_zip_encryption(data: bytes) -> dict | None:
     _, header = _seven_header(data)
     aes = header is not None and SEVEN_AES in header
     encoded = header is not None and header[:1] == bytes([K_ENCODED])
-    return {"7zip_encrypted_header": aes and encoded, "7zip_aes_present": aes, "7zip_needs_password": False}
+    return {"7zip_needs_password": False, "7zip_aes_method_present": aes, "7zip_names_hidden_likely": aes and encoded}

@@ -14,7 +14,7 @@ ENTRY, KINDS = 128, {0, 1, 2, 5}
 DOCUMENT_STREAMS = {"worddocument": "doc", "workbook": "xls", "book": "xls", "powerpoint document": "ppt"}
 EXPECTED = {"worddocument", "workbook", "powerpoint document"}
 SUMMARY = "\x05summaryinformation"
-FIB_ENCRYPTED, XLS_FILEPASS, PPT_ENCRYPTED_USER, PPT_CRYPT = 0x0100, 0x2F, 0xF3D1C4DF, 0x2F14
+FIB_ENCRYPTED, FIB_RESERVED, XLS_FILEPASS, XLS_FILESHARING, PPT_ENCRYPTED_USER, PPT_CRYPT = 0x0100, 0x0800, 0x2F, 0x5B, 0xF3D1C4DF, 0x2F14
 CORE_PARTS = ("word/document.xml", "xl/workbook.xml", "ppt/presentation.xml")
 MOST_RELATIONS = 21
 
@@ -106,34 +106,45 @@ def _package_kind(info: bytes) -> str:
     return "Agile" if (major, minor) == (4, 4) else "Extensible" if minor == 3 else "Standard" if minor == 2 else "Unknown"
 
 
-def _xls_locked(book: bytes) -> bool:
-    at = 0
+def _records(book: bytes) -> dict[int, int]:
+    """The first 16 KiB's record types, and the size of the first of each."""
+    at, found = 0, {}
     while at + 4 <= min(len(book), 16 * 1024):
         kind, size = struct.unpack_from("<HH", book, at)
-        if kind == XLS_FILEPASS:
-            return True
+        found.setdefault(kind, size)
         at += 4 + size
-    return False
+    return found
 
 
 def ole2_encryption(data: bytes) -> dict | None:
-    """Marks of each application, by the streams that are there; others stay null."""
+    """Encryption and write-protection marks, by the application whose streams are there.
+
+    Present: an encrypted package, the document's flag, a workbook's password record or a presentation's
+    crypt token. Valid: what has to come with that mark does.
+    """
     c = Compound(data)
     names = [e[0].lower() for e in c.entries if e[1] == 2]
     package, info = any(n.endswith("encryptedpackage") for n in names), any(n.endswith("encryptioninfo") for n in names)
     family = next((DOCUMENT_STREAMS[n] for n in names if n in DOCUMENT_STREAMS), "ooxml" if package else None)
-    out = {"ole_encrypted_package_present": package, "ole_encryption_info_present": info, "ooxml_encryption_type": _package_kind(c.stream("encryptioninfo") or b"") if info else None,
-           "ole_format_family": family, "ole_doc_encrypted": None, "ole_xls_encrypted": None, "ole_ppt_encrypted": None}
-    if family == "doc":
+    locked = valid = guarded = False
+    if family == "ooxml":
+        locked, valid = True, info
+    elif family == "doc":
         fib = c.stream("worddocument") or b""
-        out["ole_doc_encrypted"] = len(fib) >= 12 and bool(struct.unpack_from("<H", fib, 10)[0] & FIB_ENCRYPTED)
+        flags = struct.unpack_from("<H", fib, 10)[0] if len(fib) >= 12 else 0
+        locked, guarded = bool(flags & FIB_ENCRYPTED), bool(flags & FIB_RESERVED)
+        valid = locked and ("1table" if flags & 0x0200 else "0table") in names
     elif family == "xls":
-        out["ole_xls_encrypted"] = _xls_locked(c.stream("workbook") or c.stream("book") or b"")
+        records = _records(c.stream("workbook") or c.stream("book") or b"")
+        locked, guarded = XLS_FILEPASS in records, XLS_FILESHARING in records
+        valid = records.get(XLS_FILEPASS, 0) >= 4
     elif family == "ppt":
         user = c.stream("current user") or b""
         token = len(user) >= 16 and struct.unpack_from("<I", user, 12)[0] == PPT_ENCRYPTED_USER
-        out["ole_ppt_encrypted"] = token or struct.pack("<H", PPT_CRYPT) in (c.stream("powerpoint document") or b"")[:64 * 1024]
-    return out
+        record = struct.pack("<H", PPT_CRYPT) in (c.stream("powerpoint document") or b"")
+        locked, valid = token or record, token and record
+    return {"encrypted_package_present": package, "ooxml_encryption_info_present": info, "ooxml_encryption_type": _package_kind(c.stream("encryptioninfo") or b"") if info else None,
+            "ole_format_family": family, "ole_encryption_present": locked, "ole_encryption_struct_valid": valid, "ole_write_protection_present": guarded}
 
 
 def _local(tag: str) -> str:

@@ -61,8 +61,8 @@ def encryption(data: bytes) -> dict | None:
     if at < 0:
         at = data.find(b"/Encrypt", 0, ENCRYPT_HEAD)
     if at < 0:
-        return {"pdf_encrypt_present": False, "pdf_encrypt_filter": None, "pdf_encrypt_metadata": None}
+        return {"pdf_encrypt_dict_present": False, "pdf_encrypt_filter": None, "pdf_encrypt_metadata": None}
     near = data[max(0, at - BEFORE):at + AFTER]
     name = re.search(rb"/Filter\s*/(Standard|[A-Za-z.]+)", near) or re.search(rb"/Filter\s*/(Standard)", data)
     meta = re.search(rb"/EncryptMetadata\s+(true|false)", near) or re.search(rb"/EncryptMetadata\s+(true|false)", data)
-    return {"pdf_encrypt_present": True, "pdf_encrypt_filter": name[1].decode("latin-1") if name else None, "pdf_encrypt_metadata": meta[1] == b"true" if meta else None}
+    return {"pdf_encrypt_dict_present": True, "pdf_encrypt_filter": name[1].decode("latin-1") if name else None, "pdf_encrypt_metadata": meta[1] == b"true" if meta else None}

@@ -18,10 +18,10 @@ SECTIONS: dict[str, str] = {
     "rar": "rar_header_ok bool, rar_main_header_flags_ok bool, rar_file_records_count int, rar_version_5 bool",
     "zip": "zip_central_dir_ok bool, zip_cd_offset_ok bool, zip_entry_count int, zip_has_content_types bool, zip_comment_len int, zip_names_utf8_fraction float, zip_crc_present_fraction float",
     "7zip": "7zip_start_header_crc_valid bool, 7zip_next_header_layout_valid bool, 7zip_next_header_crc_valid bool, 7zip_header_marker_valid bool, 7zip_header_sections_valid bool",
-    "pdf_enc": "pdf_encrypt_present bool, pdf_encrypt_filter str, pdf_encrypt_metadata bool",
-    "ole2_enc": "ole_encrypted_package_present bool, ole_encryption_info_present bool, ooxml_encryption_type str, ole_format_family str, ole_doc_encrypted bool, ole_xls_encrypted bool, ole_ppt_encrypted bool",
-    "zip_enc": "zip_any_encrypted bool, zip_encryption_method str, zip_all_encrypted bool",
-    "7zip_enc": "7zip_encrypted_header bool, 7zip_aes_present bool, 7zip_needs_password bool",
+    "pdf_enc": "pdf_encrypt_dict_present bool, pdf_encrypt_filter str, pdf_encrypt_metadata bool",
+    "ole2_enc": "encrypted_package_present bool, ooxml_encryption_info_present bool, ooxml_encryption_type str, ole_format_family str, ole_encryption_present bool, ole_encryption_struct_valid bool, ole_write_protection_present bool",
+    "zip_enc": "zip_any_entry_encrypted bool, zip_encryption_method str, zip_all_headers_encrypted bool",
+    "7zip_enc": "7zip_needs_password bool, 7zip_aes_method_present bool, 7zip_names_hidden_likely bool",
     "statistic": "entropy_global float, min_entropy_global float, entropy_head float, entropy_tail float, byte_chi2 float, ic_index float",
 }
 
