@@ -12,9 +12,11 @@ from fathomline.functions import naming
 from fathomline.schema import FEATURE_STRUCT, LABELS, SERVICE
 from fathomline.session import importable
 
-DATASET_STRUCT = T.StructType([*(T.StructField(n, T._parse_datatype_string(k)) for n, k in SERVICE.items()), *FEATURE_STRUCT.fields])
-EVENT_STRUCT = T._parse_datatype_string(
-    "event_id string, event_type string, timestamp string, file_path string, file_extension string, file_size long, process_id long, thread_id long, process_name string, process_path string, process_start_time string, process_key string, _bad string")
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "long": T.LongType()}
+DATASET_STRUCT = T.StructType([*(T.StructField(n, _KINDS[k]) for n, k in SERVICE.items()), *FEATURE_STRUCT.fields])
+_EVENT_NUMBERS = ("file_size", "process_id", "thread_id")
+_EVENT_NAMES = "event_id event_type timestamp file_path file_extension file_size process_id thread_id process_name process_path process_start_time process_key _bad"
+EVENT_STRUCT = T.StructType([T.StructField(n, _KINDS["long" if n in _EVENT_NUMBERS else "string"]) for n in _EVENT_NAMES.split()])
 
 
 def scan(spark: SparkSession, root: str, most_bytes: int | None = None) -> DataFrame:

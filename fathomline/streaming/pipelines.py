@@ -22,11 +22,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class Deduplicator(StatefulProcessor):
     """Marks an event as duplicate if the previous one of its key, duplicate or not, is within the window."""
 
-    def __init__(self, window_us: int):
-        self.window_us = window_us
+    def __init__(self, window_us: int, expire: bool):
+        self.window_us, self.expire = window_us, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long", ttlDurationMs=max(1000, 4 * self.window_us // 1000))
+        ttl = {"ttlDurationMs": max(1000, 4 * self.window_us // 1000)} if self.expire else {}
+        self.last = handle.getValueState("last", "us long", **ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -42,11 +43,11 @@ class Deduplicator(StatefulProcessor):
         pass
 
 
-def deduplicated(stream: DataFrame, window_us: int = 500_000) -> DataFrame:
-    """event_id, is_duplicate. stream: process_key, file_path, event_type, event_id, us."""
+def deduplicated(stream: DataFrame, window_us: int = 500_000, expire: bool = True) -> DataFrame:
+    """event_id, is_duplicate. stream: process_key, file_path, event_type, event_id, us. expire: keys that fall silent are forgotten after four windows of processing time; leave it off in replays, whose events are older than the clock."""
     kind = stream.schema["event_id"].dataType.simpleString()
     keyed = stream.withColumn("path", F.lower("file_path")).groupBy("process_key", "path", "event_type")
-    return keyed.transformWithStateInPandas(Deduplicator(window_us), f"event_id {kind}, is_duplicate boolean", "Append", "None")
+    return keyed.transformWithStateInPandas(Deduplicator(window_us, expire), f"event_id {kind}, is_duplicate boolean", "Append", "ProcessingTime" if expire else "None")
 
 
 class Profiler(StatefulProcessor):
