@@ -120,3 +120,27 @@ def stabilise(observations: DataFrame, checks: int = 3) -> DataFrame:
     runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     runs = runs.withColumn("length", F.row_number().over(W.partitionBy("file_path", "run").orderBy("attempt")))
     return runs.groupBy("file_path").agg(F.min(F.when(F.col("length") >= checks, F.col("attempt"))).alias("stable_attempt"), F.count("*").alias("attempts"))
+
+
+def enrich(events: DataFrame, processes: DataFrame) -> DataFrame:
+    """events(process_id, ...) with the name, path and start of their process as last known; an unknown process is named so. processes: process_id, process_name, process_path, process_start_time, seen_us."""
+    known = processes.groupBy("process_id").agg(F.max_by(F.struct("process_name", "process_path", "process_start_time"), "seen_us").alias("p"))
+    joined = events.drop("process_name", "process_path", "process_start_time").join(known, "process_id", "left")
+    return joined.select(*(c for c in joined.columns if c != "p"), F.coalesce("p.process_name", F.lit("unknown")).alias("process_name"), F.col("p.process_path").alias("process_path"), F.col("p.process_start_time").alias("process_start_time"))
+
+
+def rejections(filtered: DataFrame) -> DataFrame:
+    """How many events each reason has kept from being processed."""
+    return filtered.filter("filter_decision <> 'pass'").groupBy("filter_decision", "filter_reason").agg(F.count("*").alias("n"))
+
+
+def check_config(config: FilterConfig) -> None:
+    """Raises on settings that contradict each other."""
+    if config.max_size <= 0 or config.activity_us <= 0 or config.activity_count <= 0:
+        raise ValueError("sizes, windows and counts are positive")
+    if any(not e.startswith(".") for e in (*config.supported, *config.temporary)):
+        raise ValueError("extensions start with a dot")
+    if set(config.supported) & set(config.temporary):
+        raise ValueError("an extension is both supported and temporary")
+    if set(config.monitored) & set(config.ignored):
+        raise ValueError("a folder is both monitored and ignored")

@@ -97,3 +97,17 @@ def features(files: DataFrame, key: str, fallback: bool = True, most_bytes: int
                 yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array([r[c] for r in rows], _ARROW[k]) for c, k in FEATURES.items())], names=[key, *FEATURES])
 
     return files.select(key, "content").mapInArrow(run, f"{key} {kind}, " + ", ".join(f"`{c}` {_SQL[k]}" for c, k in FEATURES.items()))
+
+
+def augmented_rows(features_of_augmented: DataFrame, parents: DataFrame) -> DataFrame:
+    """Dataset rows of augmented contents: features_of_augmented(name, algorithm, features...) under the ransomware naming with the mark taken off, and the pair_id of the file each comes from (parents: name, pair_id)."""
+    from pyspark.sql import functions as F
+
+    from fathomline.functions import naming
+
+    m = features_of_augmented.withColumn("_m", naming.parts(F.col("name"), naming.RANSOMWARE_NAME)).withColumn("extra", naming.strip_aug(F.col("_m.extra")))
+    m = m.withColumn("group_id", naming.group_id(F.col("_m"), F.col("name")))
+    m = m.withColumns({"sequence_id": F.col("_m.sequence_id"), "orig_ext": F.col("_m.orig_ext"), "curr_ext": F.col("_m.curr_ext"), "pair_id": naming.pair_id(F.col("group_id"), F.col("extra")),
+                       "gt_class": F.lit("ransomware-encrypted"), "is_augmented": F.lit(True), "aug_encryption": F.col("algorithm")})
+    source = parents.select(naming.add_aug(F.col("name")).alias("_of"), F.col("pair_id").alias("aug_parent"))
+    return m.join(source, m.name == F.col("_of"), "left").withColumnRenamed("name", "path").drop("_m", "_of", "algorithm")

@@ -201,3 +201,45 @@ SELECT user_id, min(us) AS start_us, count(*) AS n FROM s GROUP BY user_id, sess
 def session_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     return e.groupBy("user_id", F.session_window("t", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+
+
+@query(r"""WITH raw AS (SELECT event_id, user_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, user_id::VARCHAR AS process_id, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'nested' END AS name, k AS value, NULL::VARCHAR AS missing FROM raw""")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomline.functions import fields
+
+    e = tables.table(spark, sf_dir, "events")
+    outer = F.when(F.col("event_id") % 2 == 0, '"File-Name":"first",').otherwise('"FileName":"",')
+    text = F.concat(F.lit("{"), outer, F.lit('"Event Header":{"Process Id":'), F.col("user_id").cast("string"), F.lit(',"File Name":"nested","In":'), F.col("props"), F.lit("}}"))
+    m = fields.flatten(text)
+    return e.select("event_id", *(F.element_at(m, k).alias(a) for k, a in (("processid", "process_id"), ("filename", "name"), ("k", "value"), ("absent", "missing"))))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS ok, CASE event_id % 3 WHEN 0 THEN '{\"k\":' || json_extract_string(props, '$.k') || '}' WHEN 1 THEN '{broken' END AS value FROM events")
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomline.functions import fields
+
+    e = tables.table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, "{broken").otherwise(" ")
+    return e.select("event_id", fields.parse_json(text).alias("p")).select("event_id", "p.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '—' ELSE printf('%.6f', event_id / 8.0) END AS number, CASE WHEN event_id % 4 = 0 THEN '—' ELSE printf('%.2f', (event_id % 100) / 100.0 * 100) || '%' END AS probability FROM events")
+def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomline.functions import fields
+
+    n = F.when(F.col("event_id") % 4 != 0, F.col("event_id"))
+    return tables.table(spark, sf_dir, "events").select("event_id", fields.display(n / 8.0, "number").alias("number"), fields.display((n % 100) / 100.0, "probability").alias("probability"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS process_id, c_name AS process_name, c_mktsegment AS process_path FROM customer WHERE c_custkey % 3 <> 0)
+SELECT event_id, coalesce(process_name, 'unknown') AS process_name, process_path FROM events LEFT JOIN p ON user_id = process_id""")
+def process_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("process_id"), F.col("c_name").alias("process_name"), F.col("c_mktsegment").alias("process_path"), F.lit(None).cast("timestamp").alias("process_start_time"), F.lit(1).alias("seen_us"))
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("process_id"))
+    return ev.enrich(e, c).select("event_id", "process_name", "process_path")
+
+
+@query(f"WITH {_DECIDED} SELECT filter_decision, filter_reason, count(*) AS n FROM filtered WHERE filter_decision <> 'pass' GROUP BY ALL")
+def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.rejections(_stored(spark, sf_dir))
