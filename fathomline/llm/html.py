@@ -30,6 +30,7 @@ ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement adsbygoogle banne
 breadcrumbs sidebar side-bar aside header masthead footer foot copyright cookie cookies consent gdpr notice notices notification alert popup modal overlay
 newsletter subscribe subscription signup login share sharing social related recommended comment comments comment-list disqus reply replies respond
 pagination pager widget toolbar search contentinfo complementary search-form skip-link""".split())
+OWN_IN_ARTICLE = frozenset(["header", "masthead"])
 #: Elements that end a line.
 BLOCK = frozenset("""address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
 hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend""".split())
@@ -49,15 +50,17 @@ _SPACE = re.compile(r"\s+")
 _AMPERSAND = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?")
 
 
-def _is_aside(name: str, attributes: str) -> bool:
+def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element holds something else than the article. Inside one, a header is the article's own."""
     if name in ASIDE:
-        return True
+        return not (in_article and name == "header")
     if not attributes:
         return False
+    words = ASIDE_WORDS - OWN_IN_ARTICLE if in_article else ASIDE_WORDS
     for m in _MARK.finditer(attributes):
         value = (m[1] or m[2] or m[3] or "").lower()
         for word in value.split():
-            if word in ASIDE_WORDS or any(part in ASIDE_WORDS for part in re.split(r"[-_:]+", word)):
+            if word in words or any(part in words for part in re.split(r"[-_:]+", word)):
                 return True
     return bool(_HIDDEN.search(attributes))
 
@@ -122,7 +125,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 elif name in ("script", "style", "textarea", "title", "noscript", "iframe"):
                     at = n
             continue
-        makes_aside, makes_article = _is_aside(name, attributes) and name not in ("html", "body"), name in ARTICLE
+        makes_aside, makes_article = name not in ("html", "body") and _is_aside(name, attributes, article > 0), name in ARTICLE
         if block or makes_aside:
             close_line()
         if name in VOID or attributes.endswith("/"):
@@ -136,8 +139,6 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
                 if open_[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "aside", "nav", "footer", "header", "form", "body"):
                     break
-        if name == "header" and article:
-            makes_aside = False  # a heading of the article itself
         open_.append((name, makes_aside, makes_article))
         aside += makes_aside
         article += makes_article
@@ -169,7 +170,7 @@ def extract(page: str | None) -> str:
         return ""
     found = lines(page)
     named = any(in_article and content for _, _, content, in_article in found)
-    size = np.array([len(t) - k // (1 if not named else 10**9) if content and (in_article or not named) else 0 for t, k, content, in_article in found], np.int64)
+    size = np.array([(len(t) if named else len(t) - k) if content and (in_article or not named) else 0 for t, k, content, in_article in found], np.int64)
     if named:  # every line of the article counts, however short
         first, end = between(size, 1, max(len(size), 1))
         chosen = range(first, end)

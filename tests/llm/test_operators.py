@@ -154,6 +154,7 @@ PAGES = [
     ("<body><header>h</header><div id='cookie-notice'>ok</div><p>" + "long text here. " * 5 + "</p><p>short</p><p>" + "more text here. " * 5 + "</p><form>f</form></body>", ("long text here. " * 5).strip() + " short " + ("more text here. " * 5).strip()),
     ("<article>x <em>y</em>z<table><tr><td>1<td>2</table><!-- no --></article>", "x yz 1 2"),
     ("plain text that is long enough to be kept", "plain text that is long enough to be kept"),
+    ("<header>site</header><article><header><h1>Own</h1></header><div class='entry-header'>too</div><p>a < b <i>c</i></p></article>", "Own too a < b c"),
     ("<script>only", ""), ("", ""), (None, ""), ("<p>&lt;tag&gt;</p><article><p>&lt;b&gt; &copy 1</p></article>", "<b> © 1"),
 ]
 
