@@ -27,8 +27,17 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-SECRET = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9]{20,}"
-                    r"|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{6,}|(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])")
+#: Secrets, each with literals of which a text (in lower case) must have one before its pattern is tried at all.
+SECRETS = [
+    (("akia", "asia"), re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b")),
+    (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
+    (("sk-",), re.compile(r"\bsk-[A-Za-z0-9]{20,}")),
+    (("password", "passwd", "pwd", "secret", "token", "api_key", "apikey"), re.compile(r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}(?![\"']?(?:A[KS]IA|gh[pousr]_|sk-)|[\"'][0-9a-f]{32,64}[\"'])[\"']?[^\s\"',;]{6,}")),
+    (('"', "'"), re.compile(r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])")),
+]
+DIGIT, DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
+#: How far before its first digit a number can begin: two letters, or a bracket.
+LEAD = 2
 NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<iso>(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-]))|(?P<dmy>(?<![\d./])\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?![\d/]))"
@@ -225,11 +234,38 @@ class Pseudonyms:
             new = self.account(text)
         return self._counted(new, text)
 
+    def numbers(self, text: str) -> str:
+        """Patterns are tried only where a digit is: most characters are passed over by one character search."""
+        out, last, at = [], 0, 0
+        while found := DIGIT.search(text, at):
+            first = found.start()
+            m = None
+            for start in range(max(last, at, first - LEAD), first + 1):
+                m = NUMBER.match(text, start)
+                if m:
+                    break
+            if m:
+                out += text[last:m.start()], self.number(m)
+                last = at = m.end()
+            else:
+                at = DIGITS.match(text, first).end()
+        return "".join([*out, text[last:]]) if out else text
+
+    def emails(self, text: str) -> str:
+        return EMAIL.sub(self.email, text) if "@" in text else text
+
+    def secrets(self, text: str) -> str:
+        low = text.lower()
+        for literals, pattern in reversed(SECRETS) if self.undo else SECRETS:
+            if any(x in low for x in literals):
+                text = pattern.sub(self.secret, text)
+        return text
+
     def replace(self, text: str) -> str:
-        if "@" in text:
-            text = EMAIL.sub(self.email, text)
-        text = SECRET.sub(self.secret, text)
-        return NUMBER.sub(self.number, text)
+        steps = [self.emails, self.secrets, self.numbers]
+        for step in reversed(steps) if self.undo else steps:
+            text = step(text)
+        return text
 
 
 def _run(key: bytes, columns: list[str], counted: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
