@@ -7,7 +7,7 @@ Pieces longer than SHORT bytes contract all separate occurrences of that pair in
 the same (a merge never makes a pair of lower rank than its own) but takes few steps for any length.
 Decoding joins ids with the vocabulary and aggregates their bytes in order of position.
 
-What a worker has found out about a piece it remembers, up to a bound, so text is whole but work isn't
+What a task has found out about a piece it remembers, up to a bound, so text is whole but work isn't
 repeated. DuckDB runs inside the worker on one thread, in memory, on blocks of bounded size.
 """
 
@@ -27,7 +27,7 @@ from .common import by_chunks, table, texts
 
 SHORT = 40
 #: Pieces and bytes per recursive query, tokens per decoding query, pieces remembered.
-QUERY_PIECES, QUERY_BYTES, DECODE_TOKENS, REMEMBERED = 100_000, 1 << 20, 1 << 20, 300_000
+QUERY_PIECES, QUERY_BYTES, DECODE_TOKENS, REMEMBERED = 60_000, 1 << 19, 1 << 19, 200_000
 
 _LEFTMOST = """
 WITH RECURSIVE step(piece, pos, id, done) AS (
@@ -77,7 +77,7 @@ class Coder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
@@ -156,43 +156,54 @@ class Coder:
 
 
 _coders: dict[tuple[str, str], Coder] = {}
+BLOCK = 4 << 20
 
 
 def coder(ranks_path: str, pattern: str) -> Coder:
-    """The worker's coder for a vocabulary, made once."""
+    """The task's coder for a vocabulary, made once."""
     if (ranks_path, pattern) not in _coders:
         _coders[ranks_path, pattern] = Coder(ranks_path, pattern)
     return _coders[ranks_path, pattern]
 
 
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Workers outlive tasks: what a task has built is given back when it ends."""
+    try:
+        yield from batches
+    finally:
+        for c in _coders.values():
+            c.db.close()
+        _coders.clear()
+
+
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers) for each row of docs (doc_id, text; other columns are ignored). Null texts are empty: no ids; repeated rows stay; an empty table gives none. ranks_path is read on every worker."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_chunks(batches, "text", 8 << 20):
+        for batch in by_chunks(batches, "text", BLOCK):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(coder(ranks_path, pattern).encode(texts(batch, "text")), pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda x: _released(run(x)), f"doc_id {kind}, ids binary")
 
 
 def decoded(ids: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, bytes (binary) for each row of ids (doc_id, ids as encoded() has them); a null ids column is empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_chunks(batches, "ids", 8 << 20):
+        for batch in by_chunks(batches, "ids", BLOCK):
             given = [x or b"" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "bytes": pa.array(coder(ranks_path, pattern).decode(given), pa.binary())})
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary")
+    return ids.select("doc_id", "ids").mapInArrow(lambda x: _released(run(x)), f"doc_id {kind}, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes those ids, in one pass over docs (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_chunks(batches, "text", 8 << 20):
+        for batch in by_chunks(batches, "text", BLOCK):
             c = coder(ranks_path, pattern)
             ids = c.encode(texts(batch, "text"))
             back = c.decode(ids)
@@ -201,7 +212,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lambda x: _released(run(x)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

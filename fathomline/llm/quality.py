@@ -2,7 +2,8 @@
 
 Per text, rolling hashes of word n-grams of several lengths find the n-grams that occur twice or
 more; what counts is the share of the words' characters inside them, and inside repeated lines.
-Texts are handled many at a time, in blocks of a few MB, whatever the size of a partition.
+Texts are handled many at a time, in blocks of BLOCK bytes (a longer text is a block of its own),
+whatever the size of a partition.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from . import rolling
 from .common import by_chunks, mix64, table, texts
 
 #: n-gram lengths and the largest share of a text's word characters that repeated ones may cover.
-COVERAGE = {2: 0.60, 3: 0.50, 5: 0.40, 8: 0.35, 10: 0.30}
+COVERAGE = {2: 0.60, 3: 0.50, 5: 0.50, 8: 0.45, 10: 0.45}
 #: The same for lines that equal an earlier one, and symbols a word.
 LINE_COVERAGE = 0.30
 SYMBOLS_PER_WORD = 0.3
 SYMBOLS = b"#*$%&|<>"
+BLOCK = 1 << 20
 BASE_WINDOW, LEAST_WORDS, REPEAT_SHARE = 3, 50, 50
 _WORD_BASE = 0x9FB21C651E98DF25
 
@@ -94,7 +96,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_chunks(batches, "text"):
+        for batch in by_chunks(batches, "text", BLOCK):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v) for k, v in measure(texts(batch, "text")).items()})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -105,7 +107,7 @@ def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, as they are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_chunks(batches, "text"):
+        for batch in by_chunks(batches, "text", BLOCK):
             yield batch.filter(pa.array(measure(texts(batch, "text"))["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

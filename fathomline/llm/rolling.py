@@ -23,8 +23,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), at least, kept for the next call."""
     found = _powers.get(base)
     if found is None or len(found) < n:
-        size = max(n, 1 << 16, 2 * len(found) if found is not None and n < (1 << 24) else 0)
-        found = np.full(size, base, np.uint64)
+        found = np.full(max(1 << 16, 1 << (n - 1).bit_length() if n <= 1 << 20 else n + n // 8), base, np.uint64)
         found[0] = 1
         np.cumprod(found, out=found)
         _powers[base] = found
