@@ -36,7 +36,7 @@ CLASSES, WIDTH, HIDDEN = 32, 32, 24
 WARM_DOCS, WARM_BYTES, SPAN_BYTES = 1500, 16 << 20, 256
 WARM_RATE, RATE = 0.08, 0.03
 #: Distinct words that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 300_000
 
 
 def words(text: str) -> list[bytes]:
@@ -115,8 +115,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """Totals and the head of a counts table; bucket totals leave out the network's own words."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    order = [F.col("c").desc(), F.col("word")]
-    head = [(bytes(r["word"]), r["c"]) for r in counts.filter(F.length("word") <= LONGEST_HEAD_WORD).orderBy(*order).limit(HEAD).collect()]
+    short = counts.filter(F.length("word") <= LONGEST_HEAD_WORD)
+    # the head: all words counted more often than the least count that still keeps them within HEAD, so no task sends more than its share
+    room, above = HEAD, 0
+    for r in short.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.col("c").desc()).limit(HEAD).collect():
+        room -= r["n"]
+        if room < 0:
+            above = r["c"]
+            break
+    head = sorted(((bytes(r["word"]), r["c"]) for r in short.filter(F.col("c") > above).collect()), key=lambda x: (-x[1], x[0]))
     last = F.crc32(F.substring("word", -2, 2)) % BUCKETS  # of one byte: that byte
     per = counts.groupBy(F.when(F.length("word") < 2, F.crc32("word") % BUCKETS).otherwise(last).alias("bucket")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
     sums, distinct = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -205,7 +212,7 @@ def scored(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
         model = _new_model(v)
         model.load(vector)
         end_log = np.log10(v.n_docs + 1.0)
-        for batch in by_chunks(batches, "text", 8 << 20):
+        for batch in by_chunks(batches, "text", 3 << 20):
             ids, rare, at_row, base, known, within = [], [], [], [], [], []
             numbers = batch.column("row").to_pylist()
             for x, row in zip(texts(batch, "text"), numbers, strict=True):
