@@ -36,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df marked for broadcast if it has no more than so many rows (counted: checkpointed tables have no size statistics); beyond that, left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int = 2) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

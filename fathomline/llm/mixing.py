@@ -3,8 +3,8 @@
 Documents get hash-random keys; each source's key space is cut into equal ranges, range totals are
 prefix-summed, and only the one range per source that the budget ends in is sorted row by row. What
 is left is a cut point per source, so the decision for a row needs no shuffle of rows or texts: it
-is a join with one row per source, which Spark broadcasts only if that table is measured to be small
-(else AQE's skew join deals a hot source out).
+is a join with one row per source, broadcast if these are counted to be few (else AQE's skew join
+deals a hot source out).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, word_count
+from .common import WORD, cut, small_side, table, word_count
 
 KEY_BITS = 60
 #: Rows in a key range, about; the root of the table's rows where that is more, so that neither ranges nor rows in one grow alone.
@@ -72,13 +72,13 @@ def cut_points(rows: DataFrame, **targets) -> DataFrame:
     everything = W.partitionBy()
     per_range = F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt(F.sum("n_rows").over(everything).cast("double")))
     per = cut(per.withColumn("ranges", F.ceil(F.col("n_rows") / per_range).cast("long")).withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))))
-    ranged = rows.join(per.select(F.col("source").alias("s"), "sid", "ranges", "rest"), F.col("source").eqNullSafe(F.col("s")))
+    ranged = rows.join(small_side(per.select(F.col("source").alias("s"), "sid", "ranges", "rest")), F.col("source").eqNullSafe(F.col("s")))
     ranged = ranged.select("sid", "rest", "key", "ordinal", "size", F.least(F.floor(F.col("key") / float(2**KEY_BITS) * F.col("ranges")), F.col("ranges") - 1).alias("range"))
     totals = ranged.groupBy("sid", "range").agg(F.sum("size").alias("in_range"), F.first("rest").alias("rest"))
     prefix = totals.withColumn("until", F.sum("in_range").over(W.partitionBy("sid").orderBy("range")))
     last = prefix.filter((F.col("rest") > F.col("until") - F.col("in_range")) & (F.col("rest") <= F.col("until")))
     last = cut(last.select("sid", "range", (F.col("until") - F.col("in_range")).alias("before")))
-    ties = ranged.join(last, ["sid", "range"]).groupBy("sid", "key", "ordinal", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    ties = ranged.join(small_side(last), ["sid", "range"]).groupBy("sid", "key", "ordinal", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     upto = F.col("before") + F.sum(F.col("size") * F.col("n")).over(W.partitionBy("sid").orderBy("key", "ordinal", "size"))
     ties = ties.withColumn("upto", upto).withColumn("prior", F.col("upto") - F.col("size") * F.col("n"))
     ends = ties.filter((F.col("rest") > F.col("prior")) & (F.col("rest") <= F.col("upto")))
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     """
     rows = cut(sized(docs))
     points = cut_points(rows, weights=weights, max_epochs=max_epochs)
-    joined = rows.join(points, F.col("source").eqNullSafe(F.col("of_source")))
+    joined = rows.join(small_side(points), F.col("source").eqNullSafe(F.col("of_source")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _taken_once_more()).alias("taken"))
 
 
@@ -112,7 +112,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     order = sized(docs.limit(0)).columns[3:]
     wide = docs.select("*", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("ordinal"))
     assert order == ["key", "ordinal"]
-    wide = wide.join(points, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("more", _taken_once_more())
+    wide = wide.join(small_side(points), F.col("source").eqNullSafe(F.col("of_source"))).withColumn("more", _taken_once_more())
     whole = (F.col("epochs") + F.when((F.col("more") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
     part = F.when((F.col("more") > 0) & (F.col("more") < F.col("size")), F.array(F.col("more"))).otherwise(F.array().cast("array<bigint>"))
     copies = F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole), part)
