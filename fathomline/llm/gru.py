@@ -54,7 +54,7 @@ class Model:
         steps, streams = x.shape
         H = self.hidden
         before = np.empty((steps, streams, H), np.float32)
-        gates = np.empty((steps, streams, 2 * H), np.float32) if keep else None
+        gates = np.empty((2, steps if keep else 1, streams, H), np.float32)  # apart, so that exp and tanh run over contiguous numbers
         inputs = self.E[x]
         live = ~fresh
         for t in range(steps):
@@ -62,14 +62,13 @@ class Model:
             np.multiply(h, live[t][:, None], out=hp)
             a = inputs[t]
             a += hp @ self.U
-            f, c = a[:, :H], a[:, H:]
-            np.multiply(f, -1, out=f)
+            f, c = gates[:, t if keep else 0]
+            np.negative(a[:, :H], out=f)
+            c[...] = a[:, H:]
             np.exp(f, out=f)
             f += 1
             np.reciprocal(f, out=f)
             np.tanh(c, out=c)
-            if keep:
-                gates[t] = a
             h = hp + f * (c - hp)
         return before, gates, h
 
@@ -112,24 +111,23 @@ class Model:
         p[np.arange(n), tokens // self.width] -= scale
         g = {"Wc": s.T @ p, "bc": p.sum(0), "Wo": np.zeros_like(self.Wo), "bo": np.zeros_like(self.bo)}
         ds = p @ self.Wc.T
-        for k in range(self.classes):
-            a, b = starts[k], starts[k + 1]
-            if a == b:
-                continue
-            q = s[a:b] @ self.Wo[k]
-            q += self.bo[k]
-            np.exp(q, out=q)
-            q *= (scale[a:b] / (q @ np.ones(self.width, np.float32)))[:, None]
-            q[np.arange(b - a), tokens[a:b] - k * self.width] -= scale[a:b]
-            g["Wo"][k], g["bo"][k] = s[a:b].T @ q, q.sum(0)
-            ds[a:b] += q @ self.Wo[k].T
+        q = self.bo[tokens // self.width]
+        used = [(k, starts[k], starts[k + 1]) for k in range(self.classes) if starts[k] < starts[k + 1]]
+        for k, a, b in used:
+            q[a:b] += s[a:b] @ self.Wo[k]
+        np.exp(q, out=q)
+        q *= (scale / (q @ np.ones(self.width, np.float32)))[:, None]
+        q[np.arange(n), tokens % self.width] -= scale
+        for k, a, b in used:
+            g["Wo"][k], g["bo"][k] = s[a:b].T @ q[a:b], q[a:b].sum(0)
+            ds[a:b] += q[a:b] @ self.Wo[k].T
         d = np.empty_like(ds)
         d[order] = ds
         d = d.reshape(steps, streams, H)
         da = np.empty((steps, streams, 2 * H), np.float32)
         back = np.zeros((streams, H), np.float32)
         for t in range(steps - 1, -1, -1):
-            f, c, hp = gates[t, :, :H], gates[t, :, H:], before[t]
+            f, c, hp = gates[0, t], gates[1, t], before[t]
             np.multiply(back * (c - hp), f * (1 - f), out=da[t, :, :H])
             np.multiply(back * f, 1 - c * c, out=da[t, :, H:])
             back = (back * (1 - f) + da[t] @ self.U.T + d[t]) * ~fresh[t][:, None]
@@ -186,6 +184,9 @@ def train(model: Model, documents: list[np.ndarray], streams: int = 128, rate: f
     x, fresh, owner = laid_out(documents, streams)
     h = np.zeros((x.shape[1], model.hidden), np.float32)
     for t in range(0, len(x), STEPS):
+        live = np.flatnonzero((owner[t:t + STEPS] >= 0).any(0))
+        if len(live) < 0.9 * x.shape[1]:  # streams that have ended give no gradient: the steps are the same without them
+            x, fresh, owner, h = x[:, live], fresh[:, live], owner[:, live], h[live]
         h = model.train_window(x[t:t + STEPS], fresh[t:t + STEPS], owner[t:t + STEPS] >= 0, h, rate)
 
 

@@ -6,8 +6,8 @@ but its HEAD most frequent words (short ones) reaches the driver.
 Network. Its tokens are the MODEL_WORDS most frequent words, BUCKETS of all other words by their last
 bytes, and the end. A word outside has the probability of its bucket times its add-one share in the
 bucket, so every text has a proper probability. The network starts from a bounded sample (WARM_DOCS
-whole documents); then every task trains a copy on SPAN_BYTES from a hash-random place of each of its
-training documents, and the copies are averaged by a distributed sum weighted by their tokens.
+whole documents); then every task trains a copy on all tokens of its training documents, their ends
+too, and the copies are averaged by a distributed sum weighted by their tokens.
 
 Scores. Head words are settled where the text is. The others travel once, as (word, document, times),
 to the shuffled counts and from there, summed, to their documents.
@@ -32,8 +32,8 @@ MODULUS = 7
 HEAD, LONGEST_HEAD_WORD = 1 << 16, 32
 MODEL_WORDS, BUCKETS = 767, 256
 CLASSES, WIDTH, HIDDEN = 32, 32, 24
-#: What training takes: whole documents for the start, and of each training document a span.
-WARM_DOCS, WARM_BYTES, SPAN_BYTES = 1500, 16 << 20, 256
+#: What the start takes, as whole documents.
+WARM_DOCS, WARM_BYTES = 1500, 16 << 20
 WARM_RATE, RATE = 0.08, 0.03
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
@@ -141,14 +141,22 @@ def _new_model(v: Vocabulary) -> gru.Model:
     return model
 
 
-def _span(text: str) -> list[bytes]:
-    """The whole words inside SPAN_BYTES from a place that the text's own hash chooses."""
-    data = text.encode().lower()
-    if len(data) <= SPAN_BYTES:
-        return data.split()
-    at = zlib.crc32(data) % (len(data) - SPAN_BYTES + 1)
-    found = data[at:at + SPAN_BYTES].split()
-    return found[1:-1]
+def copies(training: DataFrame, v: Vocabulary, start: np.ndarray) -> DataFrame:
+    """at, value, weight: of each task, the parameters that it gets from start by training on its rows (text), times their tokens, and those tokens."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _new_model(v)
+        own.load(start)
+        seen = 0
+        for batch in by_chunks(batches, "text", 16 << 20):
+            given = [v.tokens(words(x))[0] for x in texts(batch, "text")]
+            gru.train(own, given, rate=RATE)
+            seen += sum(map(len, given))
+        if seen:
+            vector = own.vector()
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(vector)), pa.int32()), "value": vector.astype(np.float64) * seen, "weight": pa.array(np.full(len(vector), seen), pa.int64())})
+
+    return training.select("text").mapInArrow(run, "at int, value double, weight long")
 
 
 def train(docs: DataFrame, v: Vocabulary) -> gru.Model:
@@ -169,22 +177,7 @@ def train(docs: DataFrame, v: Vocabulary) -> gru.Model:
         given.append(v.tokens(words(r["text"]))[0])
     gru.train(model, given, rate=WARM_RATE)
     start = model.vector()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _new_model(v)
-        own.load(start)
-        seen = 0
-
-        for batch in by_chunks(batches, "text", 16 << 20):
-            spans = [v.tokens(_span(x))[0] for x in texts(batch, "text")]
-            gru.train(own, [s[:-1] if len(s) > 1 else s for s in spans], rate=RATE)
-            seen += sum(map(len, spans))
-        if seen:
-            vector = own.vector()
-            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(vector)), pa.int32()), "value": vector.astype(np.float64) * seen, "weight": pa.array(np.full(len(vector), seen), pa.int64())})
-
-    copies = training.select("text").mapInArrow(run, "at int, value double, weight long")
-    mean = copies.groupBy("at").agg((F.sum("value") / F.sum("weight")).cast("float").alias("value"))
+    mean = copies(training, v, start).groupBy("at").agg((F.sum("value") / F.sum("weight")).cast("float").alias("value"))
     found = mean.toPandas()  # as many rows as the network has parameters
     vector = start.copy()
     vector[found["at"].to_numpy()] = found["value"].to_numpy()
