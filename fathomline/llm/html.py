@@ -5,8 +5,9 @@ content: nothing inside menus, headers, footers, sidebars, notices, adverts, for
 scripts or styles, and less the link text elsewhere. Lengths are summed over sliding windows of
 lines; where the sums surge from nothing the article starts, where they dive to nothing it ends. A
 page that names its article (article, main) has its surge and dive looked for in there, and every
-content line of it is kept; otherwise the stretch with the most text is kept, over gaps that are
-short beside it.
+content line of it is kept. Otherwise lines that can't be content are left out, the stretch with the
+most text says which container is the article's, and all from the first to the last stretch inside
+that is kept; link text only counts for the choice.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that close an open one of the same kind, as HTML does.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ARTICLE = frozenset(["article", "main"])
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 WINDOW = 3
 #: Of a page that names no article: lines with less text are noise between stretches, and as many of them end one.
@@ -68,26 +70,27 @@ def _decode(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's lines in order: text, characters of it in links, whether it can be content, whether it is in an article element."""
-    found: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...], bool]]:
+    """The page's lines in order: text, characters of it in links, whether it can be content, whether it is in an article element, the numbers of the block elements around the one that it is the text of, whether that is a heading."""
+    found: list[tuple[str, int, bool, bool, tuple[int, ...], bool]] = []
     pieces: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool, bool]] = []  # name, makes aside, makes article
-    aside = article = links = 0
+    open_: list[tuple[str, bool, bool, int]] = []  # name, makes aside, makes article, number
+    aside = article = links = number = 0
 
     def close_line() -> None:
         nonlocal linked
         if pieces:
             text = _SPACE.sub(" ", _decode("".join(pieces))).strip()
             if text:
-                found.append((text, min(linked, len(text)), not aside, article > 0))
+                around = [(k, tag) for tag, _, _, k in open_ if tag in BLOCK]
+                found.append((text, min(linked, len(text)), not aside, article > 0, tuple(k for k, _ in around[:-1]), any(tag in HEADING for _, tag in around)))
             pieces.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal aside, article, links
-        name, a, b = open_.pop()
+        name, a, b, _ = open_.pop()
         aside -= a
         article -= b
         links -= name == "a"
@@ -138,7 +141,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
                 if open_[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "aside", "nav", "footer", "header", "form", "body"):
                     break
-        open_.append((name, makes_aside, makes_article))
+        number += 1
+        open_.append((name, makes_aside, makes_article, number))
         aside += makes_aside
         article += makes_article
         links += name == "a"
@@ -146,37 +150,54 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return found
 
 
-def between(lengths: np.ndarray, least: int, gap: int) -> tuple[int, int]:
-    """First and end of the stretch of lines with the most text: it starts where the sum over a window surges from under least, ends before it dives back and stays down for gap windows."""
+def stretches(lengths: np.ndarray, least: int, gap: int) -> list[tuple[int, int]]:
+    """First and end of each stretch of lines: it starts where the sum over a window surges from under least, ends before it dives back and stays down for gap windows."""
     if not lengths.any():
-        return 0, 0
+        return []
     sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1:]  # of each line and those after it
     high = np.flatnonzero(sums >= least)
     if not len(high):
-        return 0, len(lengths)
+        return [(0, len(lengths))]
     breaks = np.flatnonzero(np.diff(high) > gap)
     starts, ends = high[np.concatenate([[0], breaks + 1])], high[np.concatenate([breaks, [len(high) - 1]])]
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    best = int(np.argmax([total[min(e + WINDOW, len(lengths))] - total[s] for s, e in zip(starts, ends, strict=True)]))
-    first, end = int(starts[best]), min(int(ends[best]) + WINDOW, len(lengths))
-    full = np.flatnonzero(lengths[first:end])
-    return first + int(full[0]), first + int(full[-1]) + 1
+    found = []
+    for start, last in zip(starts.tolist(), ends.tolist(), strict=True):
+        full = np.flatnonzero(lengths[start:last + WINDOW])
+        found.append((start + int(full[0]), start + int(full[-1]) + 1))
+    return found
+
+
+def region(found: list[tuple[str, int, bool, bool, tuple[int, ...], bool]]) -> tuple[int, int]:
+    """First and end of the article among the content lines of a page that names none: the stretches inside the innermost container of the one with the most text, all that is between them, and headings just before."""
+    size = np.array([len(t) - k for t, k, *_ in found], np.int64)
+    apart = stretches(size, LEAST_LINE, GAP_LINES)
+    if not apart:
+        return 0, 0
+    a, b = max(apart, key=lambda x: int(size[x[0]:x[1]].sum()))
+    around = [line[4] for line in found]
+    depth = 0
+    for level in zip(*around[a:b]):  # as deep as the shallowest line
+        if len(set(level)) > 1:
+            break
+        depth += 1
+    container = around[a][:depth]
+    within = [path[:depth] == container for path in around]
+    inside = [(c, d) for c, d in apart if any(within[c:d])]
+    first, end = inside[0][0], inside[-1][1]
+    while first and found[first - 1][5] and within[first - 1]:
+        first -= 1
+    return first, end
 
 
 def extract(page: str | None) -> str:
     """The main text: blocks in page order, joined by one space; empty if there is none (null and empty pages too)."""
     if not page:
         return ""
-    found = lines(page)
-    named = any(in_article and content for _, _, content, in_article in found)
-    size = np.array([(len(t) if named else len(t) - k) if content and (in_article or not named) else 0 for t, k, content, in_article in found], np.int64)
-    if named:  # every line of the article counts, however short
-        first, end = between(size, 1, max(len(size), 1))
-        chosen = range(first, end)
-    else:
-        first, end = between(np.where(size >= 1, size, 0), LEAST_LINE, GAP_LINES)
-        chosen = range(first, end)
-    return " ".join(found[i][0] for i in chosen if size[i] > 0)
+    found = [line for line in lines(page) if line[2]]
+    if any(in_article for _, _, _, in_article, *_ in found):  # every line of the article counts, however short
+        return " ".join(line[0] for line in found if line[3])
+    first, end = region(found)
+    return " ".join(line[0] for line in found[first:end])
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from fathomline.llm import gru, lm
+from fathomline.llm import gru, html, lm
 
 
 def network(spark, monkeypatch, texts):
@@ -22,3 +23,19 @@ def test_lm_trains_on_all_words(spark, monkeypatch):
     gru.train(expected, [v.tokens(lm.words(t))[0] for t in texts], rate=lm.RATE)
     assert np.allclose(model.vector(), expected.vector(), atol=1e-4)
     assert not np.allclose(model.vector(), lm._new_model(v).vector(), atol=1e-2)
+
+
+LONG, LATER = "first part of it. " * 24, "second part of it. " * 20
+PARTS = [
+    ("<div><p>{a}</p><ul class='related'>" + "<li><a href=x>other</a></li>" * 6 + "</ul><p>{b}</p></div>", "{a} {b}"),
+    ("<div><p>{a}</p>" + "<p><a href=x>link</a></p>" * 7 + "<p>{b}</p></div><div><a>out</a></div>", "{a}" + " link" * 7 + " {b}"),
+    ("<div>" + "<p>{a}</p>" * 2 + "<ul>" + "<li>a b</li>" * 9 + "</ul><p>{b}</p></div>", "{a} {a}" + " a b" * 9 + " {b}"),
+    ("<div><h1><a href=x>Title</a></h1><p>{a}</p><h2><a href=x>Part</a></h2><p>{b}</p></div>", "Title {a} Part {b}"),
+    ("<div>" + "<div><a>top</a></div>" * 9 + "</div><div><p>{a}</p><p>{b}</p></div><div>" + "<div><a>end</a></div>" * 9 + "</div>", "{a} {b}"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PARTS)
+def test_main_text_keeps_all_parts(page, text):
+    a, b = LONG.strip(), LATER.strip()
+    assert html.extract(page.format(a=a, b=b)) == text.format(a=a, b=b)
