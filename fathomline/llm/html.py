@@ -7,7 +7,8 @@ lines; where the sums surge from nothing the article starts, where they dive to
 page that names its article (article, main) has its surge and dive looked for in there, and every
 content line of it is kept. Otherwise lines that can't be content are left out, the stretch with the
 most text says which container is the article's, and all from the first to the last stretch inside
-that is kept; link text only counts for the choice.
+that is kept; link text only counts for the choice. So it goes, too, where that finds more text outside
+of the named elements than these hold: they are cards beside the article then.
 """
 
 from __future__ import annotations
@@ -194,10 +195,12 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = [line for line in lines(page) if line[2]]
-    if any(in_article for _, _, _, in_article, *_ in found):  # every line of the article counts, however short
-        return " ".join(line[0] for line in found if line[3])
-    first, end = region(found)
-    return " ".join(line[0] for line in found[first:end])
+    apart = [i for i, line in enumerate(found) if not line[3]]
+    first, end = region([found[i] for i in apart])
+    named = [line for line in found if line[3]]
+    if named and sum(len(found[i][0]) - found[i][1] for i in apart[first:end]) <= sum(len(t) - k for t, k, *_ in named):  # every line of the article counts, however short
+        return " ".join(line[0] for line in named)
+    return " ".join(line[0] for line in found[apart[first]:apart[end - 1] + 1]) if first < end else ""
 
 
 def extracted(pages: DataFrame) -> DataFrame:

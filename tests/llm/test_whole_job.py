@@ -39,3 +39,10 @@ PARTS = [
 def test_main_text_keeps_all_parts(page, text):
     a, b = LONG.strip(), LATER.strip()
     assert html.extract(page.format(a=a, b=b)) == text.format(a=a, b=b)
+
+
+def test_main_text_beside_article_cards():
+    cards = "<div><article><h3><a href=x>Card</a></h3><p>a teaser</p></article><article><p>another</p></article></div>"
+    a, b = LONG.strip(), LATER.strip()
+    assert html.extract(f"{cards}<div><p>{a}</p><p>{b}</p></div>{cards}") == f"{a} {b}"
+    assert html.extract(f"<p>outside</p><article><p>{a}</p></article><div><p>{b}</p></div>") == a
