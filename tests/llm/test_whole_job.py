@@ -46,3 +46,11 @@ def test_main_text_beside_article_cards():
     a, b = LONG.strip(), LATER.strip()
     assert html.extract(f"{cards}<div><p>{a}</p><p>{b}</p></div>{cards}") == f"{a} {b}"
     assert html.extract(f"<p>outside</p><article><p>{a}</p></article><div><p>{b}</p></div>") == a
+
+
+def test_lm_learns_ends(spark, monkeypatch):
+    model, v = network(spark, monkeypatch, ["a b c"] * 200)
+    ids = v.tokens([b"a", b"b", b"c"])[0]
+    end = gru.score(model, [ids])[0] - gru.score(model, [ids[:-1]])[0]
+    fresh = lm._new_model(v)
+    assert end > gru.score(fresh, [ids])[0] - gru.score(fresh, [ids[:-1]])[0]
