@@ -18,7 +18,9 @@ from . import rolling
 from .common import by_chunks, mix64, table, texts
 
 #: n-gram lengths and the largest share of a text's word characters that repeated ones may cover.
-COVERAGE = {2: 0.60, 3: 0.50, 5: 0.50, 8: 0.45, 10: 0.45}
+COVERAGE = {2: 0.60, 3: 0.50, 5: 0.40, 8: 0.35, 10: 0.30}
+#: Fewer words than this in repeated n-grams of LONG words or more are no fault: one phrase said twice in a short clean text.
+LONG, LEAST_REPEATED = 5, 30
 #: The same for lines that equal an earlier one, and symbols a word.
 LINE_COVERAGE = 0.30
 SYMBOLS_PER_WORD = 0.3
@@ -73,18 +75,20 @@ def measure(batch_texts: list[str]) -> dict[str, np.ndarray]:
     line_chars = np.bincount(text_of[again], weights=(points[line_end] - points[line_start])[again], minlength=t.n)
     all_line_chars = np.bincount(text_of, weights=points[line_end] - points[line_start], minlength=t.n)
 
-    share = {}
+    share, few = {}, {}
     for n in COVERAGE:
         inside = covered(n)
         share[n] = np.bincount(t.word_text[inside], weights=length[inside], minlength=t.n) / np.maximum(chars, 1)
+        repeats = np.bincount(t.word_text[inside], minlength=t.n).astype(np.int64)
+        few[n] = (n >= LONG) & (repeats < LEAST_REPEATED)
         if n == BASE_WINDOW:
-            n_repeat = np.bincount(t.word_text[inside], minlength=t.n).astype(np.int64)
+            n_repeat = repeats
     line_share = line_chars / np.maximum(all_line_chars, 1)
 
     failed = (n_words < LEAST_WORDS) | (100 * n_repeat > REPEAT_SHARE * n_words)
     kept = ~failed & (line_share <= LINE_COVERAGE) & (n_symbols <= SYMBOLS_PER_WORD * n_words)
     for n, most in COVERAGE.items():
-        kept &= share[n] <= most
+        kept &= (share[n] <= most) | few[n]
     return {"n_words": n_words, "word_chars": chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat, "base_failed": failed, "kept": kept, "dup_line_share": line_share} | {f"dup_{n}gram_share": share[n] for n in COVERAGE}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from fathomline.llm import gru, html, lm
+from fathomline.llm import gru, html, lm, quality
 
 
 def network(spark, monkeypatch, texts):
@@ -48,6 +48,14 @@ def test_main_text_beside_article_cards():
     assert html.extract(f"<p>outside</p><article><p>{a}</p></article><div><p>{b}</p></div>") == a
 
 
+def test_quality_fails_by_long_repeats_alone():
+    fresh = [f"word{i:05d}" for i in range(260)]
+    once, part, short = " ".join(fresh[:200]), " ".join(fresh[200:250]), " ".join(fresh[250:])
+    m = quality.measure([f"{part} {once} {part}", f"{short} {' '.join(fresh[:33])} {short}"])
+    assert not m["base_failed"].any() and 0.30 < m["dup_10gram_share"][0] < 0.35 < m["dup_10gram_share"][1]
+    assert m["kept"].tolist() == [False, True]
+
+
 def test_lm_learns_ends(spark, monkeypatch):
     model, v = network(spark, monkeypatch, ["a b c"] * 200)
     ids = v.tokens([b"a", b"b", b"c"])[0]
