@@ -55,12 +55,12 @@ class Model:
         H = self.hidden
         before = np.empty((steps, streams, H), np.float32)
         gates = np.empty((2, steps if keep else 1, streams, H), np.float32)  # apart, so that exp and tanh run over contiguous numbers
-        inputs = self.E[x]
+        a = np.empty((streams, 2 * H), np.float32)
         live = ~fresh
         for t in range(steps):
             hp = before[t]
             np.multiply(h, live[t][:, None], out=hp)
-            a = inputs[t]
+            np.take(self.E, x[t], axis=0, out=a, mode="clip")  # ids are in range; clip spares a buffer
             a += hp @ self.U
             f, c = gates[:, t if keep else 0]
             np.negative(a[:, :H], out=f)
@@ -72,26 +72,29 @@ class Model:
             h = hp + f * (c - hp)
         return before, gates, h
 
-    def _by_class(self, states: np.ndarray, x: np.ndarray):
-        """The order that puts tokens of a class together, states and tokens in it, and where each class starts."""
-        order = np.argsort((x // self.width).astype(np.int16), kind="stable")
+    def _by_token(self, states: np.ndarray, x: np.ndarray):
+        """The order that puts equal tokens, and so those of a class, together; states, tokens and their places in their class in it; where each class starts."""
+        order = np.argsort(x.astype(np.int16) if self.classes * self.width < 1 << 15 else x, kind="stable")  # small numbers are sorted by radix
         x = x[order]
-        return order, states[order], x, np.searchsorted(x, np.arange(self.classes + 1) * self.width)
+        starts = np.searchsorted(x, np.arange(self.classes + 1) * self.width)
+        klass = np.repeat(np.arange(self.classes), np.diff(starts))
+        return order, states[order], x, klass, x - klass * self.width, starts.tolist()
 
     def log_likelihoods(self, states: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Natural log p of tokens x (n,) after states (n, hidden)."""
-        order, states, x, starts = self._by_class(states, x)
+        order, states, x, klass, place, starts = self._by_token(states, x)
+        at = np.arange(len(x))
         z = states @ self.Wc
         z += self.bc
-        found = z[np.arange(len(x)), x // self.width]
+        found = z[at, klass]
         total = np.exp(z, out=z) @ np.ones(self.classes, np.float32)
-        for k in range(self.classes):
-            a, b = starts[k], starts[k + 1]
+        z = np.empty((len(x), self.width), np.float32)
+        for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
             if a < b:
-                z = states[a:b] @ self.Wo[k]
-                z += self.bo[k]
-                found[a:b] += z[np.arange(b - a), x[a:b] - k * self.width]
-                total[a:b] *= np.exp(z, out=z) @ np.ones(self.width, np.float32)
+                np.matmul(states[a:b], self.Wo[k], out=z[a:b])
+                z[a:b] += self.bo[k]
+        found += z[at, place]
+        total *= np.exp(z, out=z) @ np.ones(self.width, np.float32)
         out = np.empty(len(x))
         out[order] = found - np.log(total)
         return out
@@ -102,24 +105,28 @@ class Model:
         H = self.hidden
         before, gates, last = self._run(x, fresh, h, True)
         flat, ids, n = before.reshape(-1, H), x.ravel(), x.size
-        order, s, tokens, starts = self._by_class(flat, ids)
+        order, s, tokens, klass, place, starts = self._by_token(flat, ids)
+        at = np.arange(n)
         scale = valid.ravel()[order].astype(np.float32)
         p = s @ self.Wc
         p += self.bc
         np.exp(p, out=p)
         p *= (scale / (p @ np.ones(self.classes, np.float32)))[:, None]
-        p[np.arange(n), tokens // self.width] -= scale
-        g = {"Wc": s.T @ p, "bc": p.sum(0), "Wo": np.zeros_like(self.Wo), "bo": np.zeros_like(self.bo)}
+        p[at, klass] -= scale
+        ones = np.ones(n, np.float32)  # sums by BLAS
+        g = {"Wc": s.T @ p, "bc": ones @ p, "Wo": np.zeros_like(self.Wo), "bo": np.zeros_like(self.bo)}
         ds = p @ self.Wc.T
-        q = self.bo[tokens // self.width]
+        q = np.empty((n, self.width), np.float32)
         used = [(k, starts[k], starts[k + 1]) for k in range(self.classes) if starts[k] < starts[k + 1]]
         for k, a, b in used:
-            q[a:b] += s[a:b] @ self.Wo[k]
+            np.matmul(s[a:b], self.Wo[k], out=q[a:b])
+            q[a:b] += self.bo[k]
         np.exp(q, out=q)
         q *= (scale / (q @ np.ones(self.width, np.float32)))[:, None]
-        q[np.arange(n), tokens % self.width] -= scale
+        q[at, place] -= scale
         for k, a, b in used:
-            g["Wo"][k], g["bo"][k] = s[a:b].T @ q[a:b], q[a:b].sum(0)
+            np.matmul(s[a:b].T, q[a:b], out=g["Wo"][k])
+            np.matmul(ones[a:b], q[a:b], out=g["bo"][k])
             ds[a:b] += q[a:b] @ self.Wo[k].T
         d = np.empty_like(ds)
         d[order] = ds
@@ -133,8 +140,8 @@ class Model:
             back = (back * (1 - f) + da[t] @ self.U.T + d[t]) * ~fresh[t][:, None]
         flat_da = da.reshape(-1, 2 * H)
         g["U"] = flat.T @ flat_da
-        order = np.argsort(ids, kind="stable")
-        tokens, first = np.unique(ids[order], return_index=True)
+        first = np.flatnonzero(np.diff(tokens, prepend=-1))
+        tokens = tokens[first]
         g["E"] = np.add.reduceat(flat_da[order], first, axis=0)
         # steps are averages over a stream's tokens, with the sum over streams bounded
         for k, value in g.items():
@@ -203,6 +210,8 @@ def score(model: Model, documents: list[np.ndarray], streams: int = 256) -> np.n
             of = owner[t:t + SCORE_STEPS]
         before, _, h = model._run(x[t:t + SCORE_STEPS], fresh[t:t + SCORE_STEPS], h, False)
         use = of.ravel() >= 0
-        found = model.log_likelihoods(before.reshape(-1, model.hidden)[use], x[t:t + SCORE_STEPS].ravel()[use])
-        out += np.bincount(of.ravel()[use], weights=found, minlength=len(out))
+        states, tokens, of = before.reshape(-1, model.hidden), x[t:t + SCORE_STEPS].ravel(), of.ravel()
+        if not use.all():
+            states, tokens, of = states[use], tokens[use], of[use]
+        out += np.bincount(of, weights=model.log_likelihoods(states, tokens), minlength=len(out))
     return out[:-1]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import by_chunks, cut, held_out, table, texts
 
 MODULUS = 7
 #: Head words stay with the text; longer ones never belong to it, which bounds what is broadcast.
-HEAD, LONGEST_HEAD_WORD = 1 << 16, 32
+HEAD, LONGEST_HEAD_WORD = 1 << 18, 32
 MODEL_WORDS, BUCKETS = 767, 256
 CLASSES, WIDTH, HIDDEN = 32, 32, 24
 #: What the start takes, as whole documents.
@@ -98,18 +99,18 @@ class Vocabulary:
         within[m:] = self.log_count[m:] + self.log_share[outside]
         self.within = within  # log10 p(word | bucket) of head words that the network has no token for
 
-    def tokens(self, document: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The network's token ids with the end, head numbers (-1: not a head word), and the words that aren't in the head."""
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in document), np.int64, len(document))
+    def tokens(self, document: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """The network's token ids with the end, head numbers (-1: not a head word), the words that aren't in the head, and their buckets."""
+        at = np.fromiter(map(self.index.get, document, repeat(-1)), np.int64, len(document))
         ids = np.empty(len(document) + 1, np.int32)
         ids[-1] = self.end
         rare = [document[i] for i in np.flatnonzero(at < 0).tolist()]
         if len(self.token):
             ids[:-1] = self.token[at]
+        buckets = np.fromiter(map(bucket, rare), np.int64, len(rare))
         if rare:
-            ids[:-1][at < 0] = self.bucket_token[np.fromiter(map(bucket, rare), np.int64, len(rare))]
-        return ids, at, rare
+            ids[:-1][at < 0] = self.bucket_token[buckets]
+        return ids, at, rare, buckets
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
@@ -209,12 +210,12 @@ def scored(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
             ids, rare, at_row, base, known, within = [], [], [], [], [], []
             numbers = batch.column("row").to_pylist()
             for x, row in zip(texts(batch, "text"), numbers, strict=True):
-                tokens, at, others = v.tokens(words(x))
+                tokens, at, others, buckets = v.tokens(words(x))
                 ids.append(tokens)
                 inside = at[at >= 0]
                 base.append(v.log_count[inside].sum() + end_log)
                 known.append(len(inside) + (v.n_docs > 0))
-                within.append(v.within[inside].sum() + v.log_share[[bucket(w) for w in others]].sum())
+                within.append(v.within[inside].sum() + v.log_share[buckets].sum())
                 times = Counter(others)
                 rare.extend(times.items())
                 at_row.extend([row] * len(times))
