@@ -1,21 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element gives a line. A line's length is the text that can be
-content: nothing inside menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts or styles, and less the link text elsewhere. Lengths are summed over sliding windows of
-lines; where the sums surge from nothing the article starts, where they dive to nothing it ends. A
-page that names its article (article, main) has its surge and dive looked for in there, and every
-content line of it is kept. Otherwise lines that can't be content are left out, the stretch with the
-most text says which container is the article's, and all from the first to the last stretch inside
-that is kept; link text only counts for the choice. So it goes, too, where that finds more text outside
-of the named elements than these hold: they are cards beside the article then.
+Markup is stripped so that each block element gives a line. A line's length is its text less that in
+links; lengths are summed over sliding windows of lines. Where the sums surge from nothing a stretch
+starts, where they dive to nothing it ends, and of all stretches the one with the most text is the
+article's. So it goes on every page. Tags only weigh: lines inside menus, footers, adverts, forms and
+the like weigh nothing and are left out; in an article or main element link text counts as text and
+lines weigh ARTICLE_WEIGHT times as much, so that short ones don't end a stretch; and where such an
+element begins or ends there are blank lines, so that cards beside an article are other stretches.
+
+The stretch also says which container is the article's. All from the first to the last stretch inside
+that is kept, headings just before, and at both ends what stands right beside its paragraphs: lines
+that are links alone too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ OWN_IN_ARTICLE = frozenset(["header", "masthead"])
 #: Elements that end a line.
 BLOCK = frozenset("""address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
 hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend""".split())
+#: Those that can be around the article's paragraphs alone.
+CONTAINER = BLOCK - {"html", "body"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that close an open one of the same kind, as HTML does.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,10 +49,14 @@ ARTICLE = frozenset(["article", "main"])
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 WINDOW = 3
-#: Of a page that names no article: lines with less text are noise between stretches, and as many of them end one.
+#: Windows with less text are down, and more of them than GAP_LINES end a stretch.
 LEAST_LINE, GAP_LINES = 25, 4
+ARTICLE_WEIGHT = LEAST_LINE
+#: Blank lines where an article element begins or ends: a stretch never bridges them.
+BREAK = WINDOW + GAP_LINES
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Quotes open a value only after "=", as in HTML; a value or tag that isn't closed runs to the end. So no try fails late, and any page takes linear time.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|))*+)(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
@@ -71,30 +81,72 @@ def _decode(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...], bool]]:
-    """The page's lines in order: text, characters of it in links, whether it can be content, whether it is in an article element, the numbers of the block elements around the one that it is the text of, whether that is a heading."""
-    found: list[tuple[str, int, bool, bool, tuple[int, ...], bool]] = []
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    content: bool
+    named: bool  # in an article element
+    container: int  # number of the block element around the one that it is the text of; 0: none
+    heading: bool
+
+
+class Containers:
+    """Block elements by number, in order of their starts: the one around each, and the number after its last descendant's."""
+
+    def __init__(self):
+        self.around, self.end = [0], [-1]
+
+    def opened(self, around: int) -> int:
+        self.around.append(around)
+        self.end.append(-1)
+        return len(self.around) - 1
+
+    def closed(self, number: int) -> None:
+        self.end[number] = len(self.around)
+
+    def holds(self, number: int, other: int) -> bool:
+        end = self.end[number]
+        return number <= other and (end < 0 or other < end)
+
+    def common(self, numbers: list[int]) -> int:
+        """The innermost that holds all of them."""
+        number, low, high = numbers[0], min(numbers), max(numbers)
+        while not (self.holds(number, low) and self.holds(number, high)):
+            number = self.around[number]
+        return number
+
+
+def lines(page: str) -> tuple[list[Line], Containers]:
+    """The page's lines in order, and its block elements."""
+    found: list[Line] = []
+    containers = Containers()
     pieces: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool, bool, int]] = []  # name, makes aside, makes article, number
-    aside = article = links = number = 0
+    open_: list[tuple[str, bool, bool, int]] = []  # name, makes aside, makes article, number of the innermost block element
+    aside = article = links = headings = 0
+    unmatched: Counter = Counter()  # open elements by name
+    unclosed: set[str] = set()  # silent elements that no end tag follows any more
 
     def close_line() -> None:
         nonlocal linked
         if pieces:
             text = _SPACE.sub(" ", _decode("".join(pieces))).strip()
             if text:
-                around = [(k, tag) for tag, _, _, k in open_ if tag in BLOCK]
-                found.append((text, min(linked, len(text)), not aside, article > 0, tuple(k for k, _ in around[:-1]), any(tag in HEADING for _, tag in around)))
+                container = containers.around[open_[-1][3]] if open_ else 0
+                found.append(Line(text, min(linked, len(text)), not aside, article > 0, container, headings > 0))
             pieces.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal aside, article, links
-        name, a, b, _ = open_.pop()
+        nonlocal aside, article, links, headings
+        name, a, b, number = open_.pop()
         aside -= a
         article -= b
         links -= name == "a"
+        headings -= name in HEADING
+        unmatched[name] -= 1
+        if name in CONTAINER:
+            containers.closed(number)
 
     at, n = 0, len(page)
     while at < n:
@@ -112,7 +164,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...], bool]]
         name, attributes = m[2].lower(), m[3]
         block = name in BLOCK
         if m[1]:
-            depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
+            depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None) if unmatched[name] else None
             if block or depth is not None and (open_[depth][1] or open_[depth][2]):
                 close_line()
             if depth is not None:
@@ -121,12 +173,14 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...], bool]]
             continue
         if name in SILENT:
             close_line() if name in ("head", "title") else None
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and name not in unclosed:
                 end = re.compile(rf"</{re.escape(name)}\s*>|</{re.escape(name)}\Z" if name != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
                 if end:
                     at = end.end()
                 elif name in ("script", "style", "textarea", "title", "noscript", "iframe"):
                     at = n
+                else:
+                    unclosed.add(name)
             continue
         makes_aside, makes_article = name not in ("html", "body") and _is_aside(name, attributes, article > 0), name in ARTICLE
         if block or makes_aside:
@@ -142,65 +196,62 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...], bool]]
                     break
                 if open_[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "aside", "nav", "footer", "header", "form", "body"):
                     break
-        number += 1
-        open_.append((name, makes_aside, makes_article, number))
+        number = open_[-1][3] if open_ else 0
+        open_.append((name, makes_aside, makes_article, containers.opened(number) if name in CONTAINER else number))
         aside += makes_aside
         article += makes_article
         links += name == "a"
+        headings += name in HEADING
+        unmatched[name] += 1
     close_line()
-    return found
+    return found, containers
 
 
-def stretches(lengths: np.ndarray, least: int, gap: int) -> list[tuple[int, int]]:
-    """First and end of each stretch of lines: it starts where the sum over a window surges from under least, ends before it dives back and stays down for gap windows."""
-    if not lengths.any():
+def stretches(weights: np.ndarray, least: int, gap: int) -> list[tuple[int, int]]:
+    """First and end of each stretch of lines: it starts where the sum over a window surges from under least, ends before it dives back and stays down for more than gap windows. If no window has as much, any text counts."""
+    if not weights.any():
         return []
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1:]  # of each line and those after it
-    high = np.flatnonzero(sums >= least)
-    if not len(high):
-        return [(0, len(lengths))]
+    sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1:]  # of each line and those after it
+    high = np.flatnonzero(sums >= min(least, sums.max()))
     breaks = np.flatnonzero(np.diff(high) > gap)
     starts, ends = high[np.concatenate([[0], breaks + 1])], high[np.concatenate([breaks, [len(high) - 1]])]
     found = []
     for start, last in zip(starts.tolist(), ends.tolist(), strict=True):
-        full = np.flatnonzero(lengths[start:last + WINDOW])
+        full = np.flatnonzero(weights[start:last + WINDOW])
         found.append((start + int(full[0]), start + int(full[-1]) + 1))
     return found
 
 
-def region(found: list[tuple[str, int, bool, bool, tuple[int, ...], bool]]) -> tuple[int, int]:
-    """First and end of the article among the content lines of a page that names none: the stretches inside the innermost container of the one with the most text, all that is between them, and headings just before."""
-    size = np.array([len(t) - k for t, k, *_ in found], np.int64)
-    apart = stretches(size, LEAST_LINE, GAP_LINES)
+def region(found: list[Line], containers: Containers) -> tuple[int, int]:
+    """First and end of the article among the content lines of a page."""
+    named = np.array([line.named for line in found], bool)
+    size = np.array([len(line.text) - (0 if line.named else line.linked) for line in found], np.int64)
+    place = np.arange(len(found)) + BREAK * np.cumsum(np.diff(named, prepend=named[:1]))  # of each line among the blank ones
+    weights = np.zeros(len(found) and int(place[-1]) + 1, np.int64)
+    weights[place] = size * np.where(named, ARTICLE_WEIGHT, 1)
+    apart = [tuple(np.searchsorted(place, x).tolist()) for x in stretches(weights, LEAST_LINE, GAP_LINES)]
     if not apart:
         return 0, 0
     a, b = max(apart, key=lambda x: int(size[x[0]:x[1]].sum()))
-    around = [line[4] for line in found]
-    depth = 0
-    for level in zip(*around[a:b]):  # as deep as the shallowest line
-        if len(set(level)) > 1:
-            break
-        depth += 1
-    container = around[a][:depth]
-    within = [path[:depth] == container for path in around]
+    article = containers.common([line.container for line in found[a:b]])
+    within = [line.named == found[a].named and containers.holds(article, line.container) for line in found]
     inside = [(c, d) for c, d in apart if any(within[c:d])]
     first, end = inside[0][0], inside[-1][1]
-    while first and found[first - 1][5] and within[first - 1]:
+    while first and within[first - 1] and (found[first - 1].heading or article and found[first - 1].container == article):
         first -= 1
+    while end < len(found) and within[end] and article and found[end].container == article:
+        end += 1
     return first, end
 
 
 def extract(page: str | None) -> str:
-    """The main text: blocks in page order, joined by one space; empty if there is none (null and empty pages too)."""
+    """The main text: blocks in page order, joined by one space; empty if there is none (null and empty pages too). Takes time in proportion to the page's length."""
     if not page:
         return ""
-    found = [line for line in lines(page) if line[2]]
-    apart = [i for i, line in enumerate(found) if not line[3]]
-    first, end = region([found[i] for i in apart])
-    named = [line for line in found if line[3]]
-    if named and sum(len(found[i][0]) - found[i][1] for i in apart[first:end]) <= sum(len(t) - k for t, k, *_ in named):  # every line of the article counts, however short
-        return " ".join(line[0] for line in named)
-    return " ".join(line[0] for line in found[apart[first]:apart[end - 1] + 1]) if first < end else ""
+    found, containers = lines(page)
+    found = [line for line in found if line.content]
+    first, end = region(found, containers)
+    return " ".join(line.text for line in found[first:end])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
