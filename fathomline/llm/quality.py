@@ -2,8 +2,8 @@
 
 Per text, rolling hashes of word n-grams of several lengths find the n-grams that occur twice or
 more; what counts is the share of the words' characters inside them, and inside repeated lines.
-Texts are handled many at a time, in blocks of BLOCK bytes (a longer text is a block of its own),
-whatever the size of a partition.
+Texts are handled many at a time, in blocks of BLOCK bytes (a longer text is a block of its own, and
+takes some 30 bytes of memory a byte), whatever the size of a partition.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ LONG, LEAST_REPEATED = 5, 30
 LINE_COVERAGE = 0.30
 SYMBOLS_PER_WORD = 0.3
 SYMBOLS = b"#*$%&|<>"
+WHITE = " \t\n\v\f\r"
 BLOCK = 1 << 20
 BASE_WINDOW, LEAST_WORDS, REPEAT_SHARE = 3, 50, 50
 _WORD_BASE = 0x9FB21C651E98DF25
@@ -32,15 +33,28 @@ _WORD_BASE = 0x9FB21C651E98DF25
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_share double, " + ", ".join(f"dup_{n}gram_share double" for n in COVERAGE)
 
 
+def repeated_lines(text: str) -> tuple[int, int, int]:
+    """How many lines with a word equal an earlier one, their characters, and those of all lines with a word."""
+    seen: set[str] = set()
+    n = repeated = total = 0
+    for line in text.split("\n"):
+        if line.strip(WHITE):
+            total += len(line)
+            if line in seen:
+                n, repeated = n + 1, repeated + len(line)
+            else:
+                seen.add(line)
+    return n, repeated, total
+
+
 def measure(batch_texts: list[str]) -> dict[str, np.ndarray]:
     """The columns of SCHEMA for a list of texts.
 
-    Words are runs of non-white ASCII-space bytes; lines are split at newlines, compared byte for
-    byte, and count only if they have a word. A text without words has zeros everywhere and fails.
+    Words are runs of anything but ASCII white space; lines are split at newlines, compared as they
+    are, and count only if they have a word. A text without words has zeros everywhere and fails.
     """
     t = rolling.Texts(batch_texts)
-    points = t.code_points()
-    length = points[t.word_end] - points[t.word_start]
+    length = t.word_points()
     n_words = np.bincount(t.word_text, minlength=t.n).astype(np.int64)
     chars = np.bincount(t.word_text, weights=length, minlength=t.n).astype(np.int64)
     symbol = np.zeros(256, bool)
@@ -48,7 +62,7 @@ def measure(batch_texts: list[str]) -> dict[str, np.ndarray]:
     n_symbols = t.per_text(symbol[t.bytes])
 
     salt = mix64(np.arange(1, t.n + 1, dtype=np.uint64))
-    words = rolling.Prefix(mix64(t.prefix.hashes(t.word_start, t.word_end)), _WORD_BASE)
+    words = rolling.Prefix(mix64(t.word_hashes()), _WORD_BASE)
     total = len(t.word_start)
 
     def covered(n: int) -> np.ndarray:
@@ -63,18 +77,7 @@ def measure(batch_texts: list[str]) -> dict[str, np.ndarray]:
         i = np.arange(1, total + 1)
         return starts[i] > starts[np.maximum(i - n, 0)]
 
-    line_end = np.flatnonzero(t.bytes == 0x0A)
-    line_start = np.concatenate([[0], line_end[:-1] + 1]) if len(line_end) else line_end
-    text_of = np.searchsorted(t.starts, line_start, "right") - 1
-    with_word = np.searchsorted(t.word_start, line_end) > np.searchsorted(t.word_start, line_start)
-    line_start, line_end, text_of = line_start[with_word], line_end[with_word], text_of[with_word]
-    key = mix64(t.prefix.hashes(line_start, line_end) ^ mix64(salt[text_of] + (line_end - line_start).astype(np.uint64)))
-    again = np.ones(len(key), bool)
-    again[np.unique(key, return_index=True)[1]] = False
-    n_dup_lines = np.bincount(text_of[again], minlength=t.n).astype(np.int64)
-    line_chars = np.bincount(text_of[again], weights=(points[line_end] - points[line_start])[again], minlength=t.n)
-    all_line_chars = np.bincount(text_of, weights=points[line_end] - points[line_start], minlength=t.n)
-
+    lines = np.array([repeated_lines(x) for x in batch_texts], np.int64).reshape(-1, 3)
     share, few = {}, {}
     for n in COVERAGE:
         inside = covered(n)
@@ -83,7 +86,7 @@ def measure(batch_texts: list[str]) -> dict[str, np.ndarray]:
         few[n] = (n >= LONG) & (repeats < LEAST_REPEATED)
         if n == BASE_WINDOW:
             n_repeat = repeats
-    line_share = line_chars / np.maximum(all_line_chars, 1)
+    n_dup_lines, line_share = lines[:, 0], lines[:, 1] / np.maximum(lines[:, 2], 1)
 
     failed = (n_words < LEAST_WORDS) | (100 * n_repeat > REPEAT_SHARE * n_words)
     kept = ~failed & (line_share <= LINE_COVERAGE) & (n_symbols <= SYMBOLS_PER_WORD * n_words)

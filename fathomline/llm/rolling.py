@@ -2,18 +2,24 @@
 
 A sequence's hash is its polynomial in 64-bit wrapping arithmetic: with prefix sums P of
 value[i] * B**i, the hash of [s, e) is (P[e] - P[s]) * B**-s, so that any number of windows of any
-lengths cost a gather each. Bytes get random 64-bit values and results are mixed, so that texts that
-aren't made to collide don't.
+lengths cost a gather each. Bytes get random 64-bit values. In such arithmetic only long sequences of
+a special build collide (of 1,024 items or so), so none longer than LONGEST is hashed by it: longer
+words get a cryptographic hash.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = 0x5851F42D4C957F2D
 _powers: dict[int, np.ndarray] = {}
+LONGEST = 64
+#: Bytes whose prefix sums are held at a time.
+BLOCK = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -63,17 +69,28 @@ class Texts:
         size = np.fromiter(map(len, parts), np.int64, self.n) + 1
         self.starts = np.concatenate([[0], np.cumsum(size)])  # of each text, and the end
         self.bytes = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8) if self.n else np.zeros(0, np.uint8)
-        inside = ~WHITE[self.bytes]
-        edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+        edge = np.diff((~WHITE[self.bytes]).view(np.int8), prepend=0, append=0)
         self.word_start, self.word_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.word_text = np.repeat(np.arange(self.n), np.diff(np.searchsorted(self.word_start, self.starts)))
-        self.prefix = Prefix(BYTE_VALUE[self.bytes])
+
+    def word_hashes(self) -> np.ndarray:
+        """A hash of each word's bytes, block by block."""
+        out = np.empty(len(self.word_start), np.uint64)
+        for at in range(0, len(self.bytes), BLOCK):
+            i, k = np.searchsorted(self.word_start, [at, at + BLOCK])
+            block = self.bytes[at:at + BLOCK + LONGEST]  # a word that goes on behind it is whole, or long
+            start = self.word_start[i:k] - at
+            out[i:k] = Prefix(BYTE_VALUE[block]).hashes(start, np.minimum(self.word_end[i:k] - at, start + LONGEST))
+        for i in np.flatnonzero(self.word_end - self.word_start > LONGEST).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.bytes[self.word_start[i]:self.word_end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many of the flagged bytes each text has."""
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return np.diff(total[self.starts])
+        return np.add.reduceat(flags, self.starts[:-1], dtype=np.int64) if self.n else np.zeros(0, np.int64)
 
-    def code_points(self) -> np.ndarray:
-        """Code points before each byte."""
-        return np.concatenate([[0], np.cumsum((self.bytes & 0xC0) != 0x80, dtype=np.int64)])
+    def word_points(self) -> np.ndarray:
+        """Code points of each word."""
+        if not len(self.word_start):
+            return np.zeros(0, np.int64)
+        return np.add.reduceat((self.bytes & 0xC0) != 0x80, np.stack([self.word_start, self.word_end], 1).ravel(), dtype=np.int64)[::2]

@@ -62,3 +62,29 @@ def test_lm_learns_ends(spark, monkeypatch):
     end = gru.score(model, [ids])[0] - gru.score(model, [ids[:-1]])[0]
     fresh = lm._new_model(v)
     assert end > gru.score(fresh, [ids])[0] - gru.score(fresh, [ids[:-1]])[0]
+
+
+def thue_morse(n, letters="ab"):
+    """Two words of 2**n letters that wrapping polynomials of any base and letter values confuse for large n."""
+    word = [letters[bin(i).count("1") % 2] for i in range(1 << n)]
+    return "".join(word), "".join(letters[letters.index(c) ^ 1] for c in word)
+
+
+@pytest.mark.parametrize("n", [6, 10, 11, 12])
+def test_quality_counts_are_exact_on_built_texts(n):
+    a, b = thue_morse(n)
+    m = quality.measure([f"{a}\n{b}", f"{a}\n{b}\n{a}", f"x {a} y\nx {b} y", f"x {a} y z\nx {a} y"])
+    assert m["n_dup_lines"].tolist() == [0, 1, 0, 0]
+    assert m["n_repeat_words"].tolist() == [0, 0, 0, 6]
+
+
+def test_quality_of_long_texts_in_blocks(monkeypatch):
+    from fathomline.llm import rolling
+
+    texts = [" ".join(f"w{i * i % 97}{'é' * (i % 90)}" for i in range(3000)) + "\n" + "same line\n" * 9, "", "z" * 5000, "a b c a b c"]
+    whole = quality.measure(texts)
+    monkeypatch.setattr(rolling, "BLOCK", 100)
+    parts = quality.measure(texts)
+    assert all((whole[k] == parts[k]).all() for k in whole)
+    words = texts[0].split()
+    assert (whole["n_words"][0], whole["word_chars"][0], whole["n_dup_lines"][0]) == (len(words), sum(map(len, words)), 8)
