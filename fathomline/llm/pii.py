@@ -5,7 +5,12 @@ octets for addresses, area rules for social security numbers). Its free characte
 a mixed radix, go through a keyed Feistel network with cycle walking: a permutation of exactly the
 values of that format. Separators, letter case, prefixes and check digits stay or are recomputed, so
 a pseudonym passes the same validation, equal values get equal pseudonyms in every document, and who
-has the key can undo it. A value's separators don't matter: the same digits stay linked.
+has the key can undo it. A value's separators, its letter case and how a date is written don't matter:
+the same digits, letters or day stay linked. A phone number keeps its country code; dates are permuted
+among those that any format writes alike (months and days of as many digits, days that can't be months).
+
+The key is the session's spark.fathomline.pii.key, or given. Without one, local sessions (tests) use
+PUBLISHED_KEY, which protects nothing; others fail.
 """
 
 from __future__ import annotations
@@ -21,10 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_chunks, table
 
-DEFAULT_KEY = b"fathomline: set a secret of your own"
+PUBLISHED_KEY = b"fathomline: set a secret of your own"
+KEY_SETTING = "spark.fathomline.pii.key"
 ROUNDS = 8
-#: The days that dates are permuted among.
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: The years whose days are permuted.
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+# Country calling codes of one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 #: Secrets, each with literals of which a text (in lower case) must have one before its pattern is tried at all.
@@ -91,8 +99,22 @@ class Feistel:
         return x
 
 
-_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz")
 _PLACE = {c: (i, alphabet) for alphabet in _CLASSES for i, c in enumerate(alphabet)}
+_PLACE |= {c.upper(): x for c, x in _PLACE.items()}
+
+
+def _kind_of_day(month: int, day: int) -> tuple[bool, int]:
+    """What every way to write a date keeps: the digits of the month and of the day, and whether the day can't be a month."""
+    return month > 9, (day > 9) + (day > 12)
+
+
+@functools.cache
+def _days(kind: tuple[bool, int]) -> tuple[list[datetime.date], dict[datetime.date, int]]:
+    """All days of a kind in order, and their numbers."""
+    first, end = datetime.date(FIRST_YEAR, 1, 1).toordinal(), datetime.date(LAST_YEAR, 12, 31).toordinal() + 1
+    days = [d for d in map(datetime.date.fromordinal, range(first, end)) if _kind_of_day(d.month, d.day) == kind]
+    return days, {d: i for i, d in enumerate(days)}
 
 
 def luhn(digits: str) -> int:
@@ -111,7 +133,7 @@ def _iban_number(text: str) -> int:
 class Pseudonyms:
     """Replaces the personal data of a text; undo=True restores it."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, undo: bool = False):
+    def __init__(self, key: bytes = PUBLISHED_KEY, undo: bool = False):
         self.key, self.undo = key, undo
         self.feistel = functools.lru_cache(4096)(lambda n, tweak: Feistel(key, n, tweak))
         self.found = 0
@@ -121,7 +143,7 @@ class Pseudonyms:
         return f.invert(x) if self.undo else f.permute(x)
 
     def characters(self, text: str, tweak: str, hexadecimal: bool = False) -> str:
-        """Permutes the ASCII digits and letters of text jointly, each within its class; the rest stays."""
+        """Permutes the ASCII digits and letters of text jointly, each within its class; letter case and the rest stay."""
         alphabets = dict.fromkeys("0123456789abcdef", "0123456789abcdef") if hexadecimal else {}
         places = [(i, *((alphabets[c].index(c), alphabets[c]) if c in alphabets else _PLACE[c])) for i, c in enumerate(text) if c in alphabets or c in _PLACE]
         n = x = 0
@@ -133,7 +155,7 @@ class Pseudonyms:
         out = list(text)
         for i, _, alphabet in reversed(places):
             x, value = divmod(x, len(alphabet))
-            out[i] = alphabet[value]
+            out[i] = alphabet[value].upper() if out[i].isupper() else alphabet[value]
         return "".join(out)
 
     def _digits(self, shown: str, digits: str) -> str:
@@ -167,27 +189,30 @@ class Pseudonyms:
         return "".join(c if c == " " else next(new) for c in text)
 
     def _date(self, year: int, month: int, day: int) -> datetime.date | None:
-        try:
-            at = datetime.date(year, month, day).toordinal()
-        except ValueError:
+        if not (FIRST_YEAR <= year <= LAST_YEAR and 1 <= month <= 12 and day >= 1):
             return None
-        if not FIRST_DAY <= at <= LAST_DAY:
+        kind = _kind_of_day(month, day)
+        days, number = _days(kind)
+        try:
+            at = number[datetime.date(year, month, day)]
+        except ValueError:  # no such day
             return None
-        return datetime.date.fromordinal(FIRST_DAY + self._walk(LAST_DAY - FIRST_DAY + 1, "date", at - FIRST_DAY))
+        return days[self._walk(len(days), f"date {kind[0]:d}{kind[1]}", at)]
 
     def iso(self, text: str) -> str | None:
         new = self._date(*map(int, text.split("-")))
         return new and new.isoformat()
 
     def dmy(self, text: str) -> str | None:
+        """Day first with dots, and with slashes where the first number can't be a month; else month first."""
         sep = "." if "." in text else "/"
-        day, month, year = map(int, text.split(sep))
-        us = sep == "/" and day <= 12  # month first, where that is a date
-        new = self._date(year, day, month) if us and month <= 31 else self._date(year, month, day)
+        first, second, year = text.split(sep)
+        month_first = sep == "/" and int(first) <= 12
+        new = self._date(int(year), *((int(first), int(second)) if month_first else (int(second), int(first))))
         if new is None:
             return None
-        first, second = (new.month, new.day) if us else (new.day, new.month)
-        return f"{first:02d}{sep}{second:02d}{sep}{new.year}"
+        a, b = (new.month, new.day) if month_first else (new.day, new.month)
+        return f"{a:0{len(first)}d}{sep}{b:0{len(second)}d}{sep}{new.year}"
 
     def ip(self, text: str) -> str | None:
         octets = [int(x) for x in text.split(".")]
@@ -223,9 +248,11 @@ class Pseudonyms:
         return self._digits(text, body + last[was])
 
     def phone(self, text: str) -> str:
-        country = re.match(r"\+\d{1,3}(?=[ .(-])|", text).group()
-        digits = re.sub(r"\D", "", text[len(country):])
-        return country + self._digits(text[len(country):], self.characters(digits, "phone"))
+        """Numbers without a country code are in a North American format: their code is 1."""
+        digits = re.sub(r"\D", "", text)
+        size = next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3) if text[0] == "+" else 0
+        code = digits[:size] or "1"
+        return self._digits(text, digits[:size] + self.characters(digits[size:], "phone " + code))
 
     def number(self, m: re.Match) -> str:
         kind, text = m.lastgroup if m.lastgroup != "sep" else "dmy", m.group()
@@ -287,19 +314,27 @@ def _run(key: bytes, columns: list[str], counted: bool) -> Callable[[Iterable[pa
     return run
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with its text column pseudonymised (and n_chars, where there is one, counted anew); null texts stay null."""
-    return docs.mapInArrow(_run(key, docs.columns, False), docs.schema)
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names in KEY_SETTING."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"no key for pseudonyms: set {KEY_SETTING}")
+    return key.encode() if key else PUBLISHED_KEY
+
+
+def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """docs with its text column pseudonymised under key or else the session's (and n_chars, where there is one, counted anew); null texts stay null, empty ones empty, repeated rows alike, other columns as they are; an empty table gives none."""
+    return docs.mapInArrow(_run(key or session_key(docs.sparkSession), docs.columns, False), docs.schema)
 
 
-def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, text, n_replaced for each row of docs (doc_id, text; other columns are ignored).
 
     Null stays null, empty stays empty, repeated rows stay alike, an empty table gives none. Whole
     texts are scanned; a text without personal data comes back unchanged.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_run(key, ["doc_id", "text"], True), f"doc_id {kind}, text string, n_replaced long")
+    return docs.select("doc_id", "text").mapInArrow(_run(key or session_key(docs.sparkSession), ["doc_id", "text"], True), f"doc_id {kind}, text string, n_replaced long")
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
