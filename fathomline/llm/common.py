@@ -23,16 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Local sessions (tests) that name none get a temporary one; others fail, for no machine-local folder would do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="fathomline-")
+
 
-    Reliable checkpoint(): a lost executor costs a re-read, not a recomputation. The folder is
-    spark.checkpoint.dir; one of our own is set only where a session names none (tests).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the cluster's shared checkpoint folder and cut its lineage. Reliable checkpoint(): a lost executor costs a re-read, not a recomputation."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -86,9 +86,10 @@ def cut_points(rows: DataFrame, **targets) -> DataFrame:
     return cut(per.join(ends, "sid", "left").select(F.col("source").alias("of_source"), "source_size", "target", "epochs", "cut_key", "cut_ordinal", "cut_size", "part"))
 
 
-def _taken_once_more():
-    at, end = F.struct("key", "ordinal", "size"), F.struct("cut_key", "cut_ordinal", "cut_size")
-    return F.when(F.col("cut_key").isNull(), F.lit(0)).when(at < end, F.col("size")).when(at == end, F.col("part")).otherwise(0).cast("long")
+def _taken_once_more(prefix: str = ""):
+    at = F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in ("key", "ordinal", "size")))
+    end = F.struct(*(F.col(f"{prefix}cut_{c}").alias(c) for c in ("key", "ordinal", "size")))
+    return F.when(F.col(f"{prefix}cut_key").isNull(), F.lit(0)).when(at < end, F.col(f"{prefix}size")).when(at == end, F.col(f"{prefix}part")).otherwise(0).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -104,24 +105,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _taken_once_more()).alias("taken"))
 
 
+#: Before the names of helper columns beside those of a table that may have any.
+_OWN = "__mix_"
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """The mix itself: rows of docs repeated as often as they are taken whole, and at each source's cut point a row with the first words of its text (space-joined), with docs' columns."""
-    rows = cut(sized(docs))
-    points = cut_points(rows, weights=weights, max_epochs=max_epochs)
-    names = docs.columns
-    order = sized(docs.limit(0)).columns[3:]
-    wide = docs.select("*", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("ordinal"))
-    assert order == ["key", "ordinal"]
-    wide = wide.join(small_side(points), F.col("source").eqNullSafe(F.col("of_source"))).withColumn("more", _taken_once_more())
-    whole = (F.col("epochs") + F.when((F.col("more") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
-    part = F.when((F.col("more") > 0) & (F.col("more") < F.col("size")), F.array(F.col("more"))).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole), part)
-    wide = wide.withColumn("words", F.explode(copies))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
-    wide = wide.withColumn("text", F.when(F.col("words").isNull(), F.col("text")).otherwise(first))
-    if "n_chars" in names:
-        wide = wide.withColumn("n_chars", F.when(F.col("words").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return wide.select(*names)
+    """The mix itself: rows of docs repeated as often as they are taken whole, and at each source's cut point a row with the first words of its text (space-joined), with docs' columns, whatever their names.
+
+    Null and empty texts have no words and are taken as often as their source's whole passes; a null
+    source is one of its own; repeated rows (equal ids and sizes) at a cut point share what is left
+    evenly; n_chars, where there is one, is counted anew for cut texts; an empty table gives none.
+    """
+    points = cut_points(cut(sized(docs)), weights=weights, max_epochs=max_epochs)
+    points = points.select(*(F.col(c).alias(_OWN + c) for c in points.columns))
+    helpers = sized(docs.limit(0)).columns[2:]  # size, key, ordinal
+    own = {"size": word_count(F.col("text")), "key": random_key(F.col("doc_id")), "ordinal": F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long")}
+    wide = docs.select("*", *(own[c].alias(_OWN + c) for c in helpers))
+    wide = wide.join(small_side(points), F.col("source").eqNullSafe(F.col(_OWN + "of_source"))).withColumn(_OWN + "more", _taken_once_more(_OWN))
+    more, size, words = (F.col(_OWN + c) for c in ("more", "size", "words"))
+    whole = (F.col(_OWN + "epochs") + F.when((more == size) & (size > 0), 1).otherwise(0)).cast("int")
+    part = F.when((more > 0) & (more < size), F.array(more)).otherwise(F.array().cast("array<bigint>"))
+    wide = wide.withColumn(_OWN + "words", F.explode(F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole), part)))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
+    wide = wide.withColumn("text", F.when(words.isNull(), F.col("text")).otherwise(first))
+    if "n_chars" in docs.columns:
+        wide = wide.withColumn("n_chars", F.when(words.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return wide.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
