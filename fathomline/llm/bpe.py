@@ -3,8 +3,18 @@
 Encoding splits texts by the vocabulary's pattern; the distinct pieces of a block of texts become
 token-position rows, one per byte. A recursive query joins neighbouring tokens with the merge table,
 contracts each piece's leftmost pair of minimum rank, and stops where no piece has a pair left.
-Pieces longer than SHORT bytes contract all separate occurrences of that pair in a step, which is
-the same (a merge never makes a pair of lower rank than its own) but takes few steps for any length.
+
+That takes as many steps as a piece has merges, so pieces longer than SHORT bytes are cut, the parts
+encoded by that query side by side, and neighbours joined level by level: the tokens around a cut are
+encoded anew as a piece of their own, and of more and more tokens until the outermost ones come out
+as they were. This is exact where every token's own bytes encode to it (so for every trained
+vocabulary; sound() looks): then tokens are the encoding of their bytes if and only if each two
+neighbours are the encoding of theirs, and all neighbours are seen to be. It also means that a merge
+never makes a pair of lower rank than its own (what lies between two ends that nothing has crossed is
+contracted as if it stood alone, and a token of lower rank would have been made by then); so around
+cuts that need many tokens, as in long runs, all separate occurrences of the minimum pair contract in
+a step. Other vocabularies get the leftmost rule for pieces of any length.
+
 Decoding joins ids with the vocabulary and aggregates their bytes in order of position.
 
 What a task has found out about a piece it remembers, up to a bound, so text is whole but work isn't
@@ -67,12 +77,18 @@ FROM ids JOIN vocabulary USING (id) GROUP BY text ORDER BY text
 """
 
 
+#: What sound() has found, by the vocabulary's path.
+_sound: dict[str, bool] = {}
+
+
 class Coder:
     """One vocabulary in one DuckDB connection."""
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.name = ranks_path
+        self.bytes_of: dict[int, bytes] = {}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -87,7 +103,7 @@ class Coder:
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
-    def _query(self, pieces: list[str], data: list[bytes], sql: str) -> None:
+    def _query(self, data: list[bytes], sql: str) -> list[bytes]:
         raw = np.frombuffer(b"".join(data), np.uint8)
         size = np.fromiter(map(len, data), np.int64, len(data))
         piece = np.repeat(np.arange(len(data)), size)
@@ -96,31 +112,64 @@ class Coder:
         found = self.db.execute(sql).fetchnumpy()
         ids = found["id"].astype("<u4").tobytes()
         ends = (np.cumsum(np.bincount(found["piece"], minlength=len(data))) * 4).tolist()
-        at = 0
-        for p, end in zip(pieces, ends, strict=True):
-            self.known[p] = ids[at:end]
+        return [ids[at:end] for at, end in zip([0, *ends], ends, strict=False)]
+
+    def contracted(self, data: list[bytes], sql: str) -> list[bytes]:
+        """The ids of each piece's bytes, by queries of bounded size (a piece larger than that has one of its own)."""
+        out, at = [], 0
+        while at < len(data):
+            end, size = at, 0
+            while end < len(data) and end - at < QUERY_PIECES and (end == at or size + len(data[end]) <= QUERY_BYTES):
+                size += len(data[end])
+                end += 1
+            out += self._query(data[at:end], sql)
             at = end
+        return out
+
+    def sound(self) -> bool:
+        """Whether the bytes of every token encode to it."""
+        if self.name not in _sound:
+            many = list(self.ranks)
+            _sound[self.name] = self.contracted(many, _LEFTMOST) == [self.ranks[x].to_bytes(4, "little") for x in many]
+        return _sound[self.name]
+
+    def long(self, data: bytes) -> bytes:
+        """The ids of a piece of any length."""
+        if not self.sound():
+            return self.contracted([data], _LEFTMOST)[0]
+        parts = [np.frombuffer(x, "<u4") for x in self.contracted([data[i:i + SHORT] for i in range(0, len(data), SHORT)], _LEFTMOST)]
+        if not self.bytes_of:
+            self.bytes_of = {i: t for t, i in self.ranks.items()}
+        while len(parts) > 1:
+            joined = parts[::2]
+            open_, k = range(len(parts) // 2), 4
+            while open_:
+                around = [b"".join(map(self.bytes_of.__getitem__, [*parts[2 * i][-k:].tolist(), *parts[2 * i + 1][:k].tolist()])) for i in open_]
+                few, many = [x for x in around if len(x) <= 4 * SHORT], [x for x in around if len(x) > 4 * SHORT]
+                found = iter(self.contracted(few, _LEFTMOST)), iter(self.contracted(many, _EVERYWHERE))
+                again = []
+                for i, x in zip(open_, around, strict=True):
+                    new, a, b = np.frombuffer(next(found[len(x) > 4 * SHORT]), "<u4"), parts[2 * i], parts[2 * i + 1]
+                    if (k >= len(a) or new[0] == a[-k]) and (k >= len(b) or new[-1] == b[k - 1]):
+                        joined[i] = np.concatenate([a[:-k], new, b[k:]])
+                    else:
+                        again.append(i)
+                open_, k = again, 4 * k
+            parts = joined
+        return parts[0].tobytes()
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encodes the pieces that aren't known yet."""
-        short, long_ = ([], []), ([], [])
+        short: dict[str, bytes] = {}
         for p in pieces:
             data = p.encode()
             if (whole := self.ranks.get(data)) is not None:
                 self.known[p] = whole.to_bytes(4, "little")
+            elif len(data) <= SHORT:
+                short[p] = data
             else:
-                to = short if len(data) <= SHORT else long_
-                to[0].append(p)
-                to[1].append(data)
-        for (names, data), sql in ((short, _LEFTMOST), (long_, _EVERYWHERE)):
-            at = 0
-            while at < len(names):
-                end, size = at, 0
-                while end < len(names) and end - at < QUERY_PIECES and (end == at or size + len(data[end]) <= QUERY_BYTES):
-                    size += len(data[end])
-                    end += 1
-                self._query(names[at:end], data[at:end], sql)
-                at = end
+                self.known[p] = self.long(data)
+        self.known.update(zip(short, self.contracted(list(short.values()), _LEFTMOST), strict=True))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
