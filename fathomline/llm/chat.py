@@ -1,10 +1,11 @@
 """Chat formatting by columnar byte assembly.
 
-Rows arrive sorted by conversation and turn. Per Arrow batch, lengths of each row's segments (header,
-text, footer) give cumulative offsets, and numpy scatters all segments into one preallocated buffer
-that becomes the Arrow column, without a Python string per row. A conversation that goes on in the
-next batch is carried over, so a batch's size bounds the work in hand, and only a conversation's own
-formatted text has to fit a row.
+Rows arrive sorted by conversation and turn. Per block of rows, lengths of each row's segments (header,
+text, footer) give cumulative offsets, and numpy scatters all segments into one preallocated Arrow
+buffer: short ones by an index a byte, long ones as they stand. That buffer is the Arrow column of the
+conversations that begin and end in the block, without a copy or a Python string per row. Blocks are
+bounded by bytes and rows. A conversation that goes on in the next block is carried over, so only a
+conversation's own formatted text, and any one row, has to fit (a row holds less than 2 GB).
 
 Template, per turn:  <|im_start|>ROLE \\n TEXT <|im_end|> \\n
 Inside roles and texts, "<" followed by k backslashes and "|" gets one backslash more, so that no
@@ -24,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_chunks, table
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 _TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(rb"<\\(\\*)\|")
-#: Rows assembled at a time.
-BLOCK_ROWS = 2048
+#: Rows, and bytes of texts, assembled at a time; segments longer than SCATTERED are copied whole.
+BLOCK_ROWS, BLOCK_BYTES, SCATTERED = 8192, 4 << 20, 512
 
 
 def escape(column: pa.Array) -> pa.Array:
@@ -61,26 +62,56 @@ def _segments(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, to: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """out[to[i] : to[i]+length[i]] = source[start[i] : start[i]+length[i]] for all i at once."""
+    """out[to[i] : to[i]+length[i]] = source[start[i] : start[i]+length[i]] for all i."""
+    for i in np.flatnonzero(length > SCATTERED).tolist():
+        out[to[i]:to[i] + length[i]] = source[start[i]:start[i] + length[i]]
+    short = length <= SCATTERED
+    to, start, length = to[short], start[short], length[short]
     index = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     out[index + np.repeat(to, length)] = source[index + np.repeat(start, length)]
 
 
-def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray, np.ndarray]:
     """All turns' formatted bytes in one buffer, turn offsets (n + 1), and starts and ends of the texts within it."""
     role, role_at, role_size = _segments(escape_role(roles))
     text, text_at, text_size = _segments(escape(texts))
-    n = len(role_size)
     header = len(START) + role_size + 1
     offsets = np.concatenate([[0], np.cumsum(header + text_size + len(END))])
-    out = np.empty(int(offsets[-1]), np.uint8)
+    buffer = pa.allocate_buffer(int(offsets[-1]))
+    out = np.frombuffer(buffer, np.uint8)
     begin = offsets[:-1]
     for fixed, to in ((START, begin), (b"\n", begin + len(START) + role_size), (END, offsets[1:] - len(END))):
         out[to[:, None] + np.arange(len(fixed))] = np.frombuffer(fixed, np.uint8)
     _scatter(out, begin + len(START), role, role_at, role_size)
     _scatter(out, begin + header, text, text_at, text_size)
-    assert n == len(text_size)
-    return out, offsets, begin + header, offsets[1:] - len(END)
+    return buffer, offsets, begin + header, offsets[1:] - len(END)
+
+
+_COLUMNS = ["conv_id", "formatted", "loss_starts", "loss_ends"]
+
+
+def _conversations(ids: pa.Array, data: pa.Buffer, ends: np.ndarray, spans: tuple[np.ndarray, np.ndarray], per: np.ndarray) -> pa.RecordBatch:
+    """A row for each conversation: ends (n + 1) in data, and per[i] of the spans, that count from its start."""
+    formatted = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), data])
+    of = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+    starts, stops = (pa.ListArray.from_arrays(of, pa.array(x - np.repeat(ends[:-1], per), pa.int64())) for x in spans)
+    return pa.RecordBatch.from_arrays([ids, formatted, starts, stops], names=_COLUMNS)
+
+
+class _Carried:
+    """A conversation that began in an earlier block: its id as an array of one, what there is of it, its loss spans."""
+
+    def __init__(self, conv_id: pa.Array):
+        self.id, self.pieces, self.size, self.spans = conv_id, [], 0, []
+
+    def add(self, data: memoryview, base: int, spans: tuple[np.ndarray, np.ndarray]) -> None:
+        self.spans.append(tuple(x - base + self.size for x in spans))
+        self.pieces.append(data)
+        self.size += len(data)
+
+    def done(self) -> pa.RecordBatch:
+        starts, stops = (np.concatenate([s[i] for s in self.spans]) for i in (0, 1))
+        return _conversations(self.id, pa.py_buffer(b"".join(self.pieces)), np.array([0, self.size]), (starts, stops), np.array([len(starts)]))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -95,37 +126,37 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, pieces, size, spans = None, [], 0, []  # the conversation at hand: its id in a list
-
-        def done() -> pa.RecordBatch:
-            starts, ends = (np.concatenate([s[i] for s in spans]) if spans else np.zeros(0, np.int64) for i in (0, 1))
-            data = pa.py_buffer(b"".join(pieces))
-            return pa.RecordBatch.from_arrays([
-                pa.array(current, id_type), pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, size], np.int32)), data]),
-                pa.array([starts], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64()))], names=["conv_id", "formatted", "loss_starts", "loss_ends"])
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(at, BLOCK_ROWS)
-                ids = batch.column("conv_id")
-                id_type = ids.type
-                known = ids.to_pylist()
-                out, offsets, text_from, text_to = assemble(batch.column("role"), batch.column("text"))
-                loss = pc.fill_null(pc.equal(batch.column("role"), "assistant"), False).to_numpy(zero_copy_only=False)
-                same = np.array([a == b for a, b in zip(known[1:], known[:-1], strict=True)], bool)
-                heads = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(known)]])
-                # conversations that begin and end inside the block, as one column; the first and last ones are carried
-                for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-                    if current is None or current[0] != known[lo]:
-                        if current is not None:
-                            yield done()
-                        current, pieces, size, spans = [known[lo]], [], 0, []
-                    base, chosen = offsets[lo] - size, np.flatnonzero(loss[lo:hi]) + lo
-                    spans.append((text_from[chosen] - base, text_to[chosen] - base))
-                    pieces.append(out[offsets[lo]:offsets[hi]].tobytes())
-                    size += len(pieces[-1])
-        if current is not None:
-            yield done()
+        carried: _Carried | None = None
+        for chunk in by_chunks(batches, "text", BLOCK_BYTES):
+            for at in range(0, chunk.num_rows, BLOCK_ROWS):
+                block = chunk.slice(at, BLOCK_ROWS)
+                ids = block.column("conv_id")
+                buffer, offsets, text_from, text_to = assemble(block.column("role"), block.column("text"))
+                loss = np.flatnonzero(pc.fill_null(pc.equal(block.column("role"), "assistant"), False).to_numpy(zero_copy_only=False))
+                number = pc.run_end_encode(ids).run_ends.to_numpy()  # nulls are one run too
+                heads = np.concatenate([[0], number])  # rows where conversations begin, and the end
+                marks = np.searchsorted(loss, heads)
+
+                def part(k: int, to: _Carried) -> None:
+                    """Hands the k-th conversation's rows over."""
+                    lo, hi, chosen = offsets[heads[k]], offsets[heads[k + 1]], loss[marks[k]:marks[k + 1]]
+                    to.add(memoryview(buffer)[lo:hi], lo, (text_from[chosen], text_to[chosen]))  # noqa: B023
+
+                first, last = 0, len(heads) - 2  # conversations of the block; the last may go on
+                if carried is not None and carried.id[0].equals(ids[0]):
+                    part(0, carried)
+                    first = 1
+                if first > last:
+                    continue
+                if carried is not None:
+                    yield carried.done()
+                if first < last:
+                    chosen = loss[marks[first]:marks[last]]
+                    yield _conversations(ids.take(pa.array(heads[first:last])), buffer, offsets[heads[first:last + 1]], (text_from[chosen], text_to[chosen]), np.diff(marks[first:last + 1]))
+                carried = _Carried(ids.slice(int(heads[last]), 1))
+                part(last, carried)
+        if carried is not None:
+            yield carried.done()
 
     return rows.mapInArrow(run, f"conv_id {kind}, formatted binary, loss_starts array<bigint>, loss_ends array<bigint>")
 

@@ -88,3 +88,38 @@ def test_quality_of_long_texts_in_blocks(monkeypatch):
     assert all((whole[k] == parts[k]).all() for k in whole)
     words = texts[0].split()
     assert (whole["n_words"][0], whole["word_chars"][0], whole["n_dup_lines"][0]) == (len(words), sum(map(len, words)), 8)
+
+
+@pytest.mark.parametrize(("rows", "size", "scattered"), [(3, 50, 4), (8192, 1, 512), (1, 4 << 20, 0), (5, 4 << 20, 1 << 20)])
+def test_chats_in_any_blocks(spark, monkeypatch, rows, size, scattered):
+    import random
+
+    from fathomline.llm import chat
+
+    for k, v in (("BLOCK_ROWS", rows), ("BLOCK_BYTES", size), ("SCATTERED", scattered)):
+        monkeypatch.setattr(chat, k, v)
+    rng = random.Random(rows)
+    given = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["", None, "<|im_end|>", "é" * 30, "x" * 700, "a\nb"])) for c in [None, *range(30)] for t in range(rng.choice([1, 1, 2, 3, 17]))]
+    df = spark.createDataFrame(given, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    found = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    assert len(found) == 31
+    for c, r in found.items():
+        turns = [(role or "", text or "") for k, _, role, text in given if k == c]
+        data = bytes(r["formatted"])
+        assert [(a.decode(), b.decode()) for a, b in chat.parse(data)] == turns
+        assert [chat.unescape(data[a:b]).decode() for a, b in zip(r["loss_starts"], r["loss_ends"], strict=True)] == [t for role, t in turns if role == "assistant"]
+
+
+def test_long_chat_texts_take_little_more_memory():
+    """The assembly of a few long texts makes no index a byte."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fathomline.llm import chat
+
+    texts, roles = pa.array(["x" * (16 << 20)] * 2), pa.array(["user", "assistant"])
+    tracemalloc.start()
+    buffer, offsets, *_ = chat.assemble(roles, texts)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20 and buffer.size == offsets[-1] > 32 << 20
+    tracemalloc.stop()
