@@ -248,8 +248,8 @@ def decoded(ids: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(lambda x: _released(run(x)), f"doc_id {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes those ids, in one pass over docs (doc_id, text)."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, where asked for, the ids themselves (as encoded() has them): encodes, then decodes those ids, in one pass over docs (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_chunks(batches, "text", BLOCK):
@@ -258,10 +258,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             back = c.decode(ids)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]})
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]} | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda x: _released(run(x)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lambda x: _released(run(x)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

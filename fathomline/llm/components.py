@@ -2,8 +2,9 @@
 
 Every node keeps a parent that only ever gets smaller. A round hooks parents to the smallest parent
 that a link offers and then shortcuts each parent to its parent's parent, so the number of rounds
-grows with the logarithm of the longest chain. Joins read checkpointed tables, so AQE can split a
-hot node's rows; minima are combined before they are shuffled.
+grows with the logarithm of the longest chain. The side of a join that has a row a node is broadcast
+where it is counted to be small; otherwise both are shuffled, and as both are checkpointed tables AQE
+splits a hot node's rows. Minima are combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,12 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             return parents
         state = now
-        offered = (both.join(parents.select(F.col("node").alias("b"), "label"), "b")
+        offered = (both.join(small_side(parents.select(F.col("node").alias("b"), "label")), "b")
                    .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer")))
-        seen = cut(parents.join(offered, "node"))
+        seen = cut(offered.join(small_side(parents), "node"))
         hooked = (seen.select("node", F.least("label", "offer").alias("label"))
                   .unionByName(seen.filter("offer < label").select(F.col("label").alias("node"), F.col("offer").alias("label")))
                   .groupBy("node").agg(F.min("label").alias("label")))
         hooked = cut(hooked)
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        parents = cut(hooked.join(up, "label").select("node", F.col("upper").alias("label")))
+        parents = cut(hooked.join(small_side(up), "label").select("node", F.col("upper").alias("label")))

@@ -63,8 +63,8 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 class Texts:
     """The bytes of many texts, each closed by a newline, and where their words are."""
 
-    def __init__(self, texts: list[str]):
-        parts = [x.encode() for x in texts]
+    def __init__(self, texts: list[str] | list[bytes]):
+        parts = [x if isinstance(x, bytes) else x.encode() for x in texts]
         self.n = len(parts)
         size = np.fromiter(map(len, parts), np.int64, self.n) + 1
         self.starts = np.concatenate([[0], np.cumsum(size)])  # of each text, and the end

@@ -19,11 +19,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_chunks, cut, table, texts
+from .common import by_chunks, cut, small_side, table, texts
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -66,20 +66,29 @@ def fingerprints(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
 
 
-def _mask(segments: Iterable[int]) -> int:
-    value = sum(((1 << RING[i]) - 1) << sum(RING[:i]) for i in segments)
+def _mask(ring: tuple[int, ...], segments: Iterable[int]) -> int:
+    value = sum(((1 << ring[i]) - 1) << sum(ring[:i]) for i in segments)
     return value - (1 << 64) if value >> 63 else value
 
 
-def _chain(first: int, length: int) -> int:
-    return _mask((first + k) % len(RING) for k in range(length))
+def chain(ring: tuple[int, ...], first: int, length: int) -> int:
+    """The bits of so many consecutive segments from one on, around the ring."""
+    return _mask(ring, ((first + k) % len(ring) for k in range(length)))
+
+
+def within(differ: Column, ring: tuple[int, ...], distance: int, first: int, least: int = 1) -> Column:
+    """Whether chains from a segment on keep their budgets, shortest first; the last is the full comparison. differ: two fingerprints' differing bits; chains shorter than least are known to."""
+    found = F.lit(True)
+    for n in range(least, len(ring) + 1):
+        found = found & (F.bit_count(differ.bitwiseAND(F.lit(chain(ring, first, n)))) <= n * distance // len(ring))
+    return found
 
 
 def links(prints: DataFrame) -> DataFrame:
     """prints(fp) distinct bigints -> (a, b): links whose components are those of all pairs within DISTANCE."""
     m = len(RING)
     equal = next(n for n in range(1, m + 1) if (n + 1) * DISTANCE // m > 0)  # segments whose budget is 0
-    rotations = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.col("fp").bitwiseAND(F.lit(_chain(i, equal))).alias("part")) for i in range(m))))
+    rotations = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.col("fp").bitwiseAND(F.lit(chain(RING, i, equal))).alias("part")) for i in range(m))))
     placed = cut(prints.select("fp", rotations.alias("r")).select("fp", "r.turn", "r.part"))
     crowd = placed.groupBy("turn", "part").agg(F.count("*").alias("members")).filter("members > 1")
     placed = cut(placed.join(crowd, ["turn", "part"]))
@@ -88,16 +97,9 @@ def links(prints: DataFrame) -> DataFrame:
     a, b = few.alias("a"), few.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
 
-    def within(turn: int):
-        """Chains from this segment on, shortest first; the last is the full comparison."""
-        found = F.lit(True)
-        for n in range(equal + 1, m + 1):
-            found = found & (F.bit_count(differ.bitwiseAND(F.lit(_chain(turn, n)))) <= n * DISTANCE // m)
-        return found
-
     viable = F.lit(False)
     for i in range(m):
-        viable = viable | ((F.col("a.turn") == i) & within(i))
+        viable = viable | ((F.col("a.turn") == i) & within(differ, RING, DISTANCE, i, equal + 1))
     pairs = a.join(b, (F.col("a.turn") == F.col("b.turn")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.fp") < F.col("b.fp")) & viable)
     pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
@@ -115,7 +117,7 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     labelled = own.join(linked, own.fp == linked.node, "left").select("fp", "doc", F.coalesce("label", "fp").alias("label"))
     heads = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "fp")).alias("h"))
     heads = heads.select("label", F.col("h.doc").alias("component_id"), F.col("h.fp").alias("head_fp"))
-    return cut(cut(labelled).join(cut(heads), "label").select("fp", "component_id", (F.col("fp") == F.col("head_fp")).alias("head")))
+    return cut(cut(labelled).join(small_side(cut(heads)), "label").select("fp", "component_id", (F.col("fp") == F.col("head_fp")).alias("head")))
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -131,7 +133,12 @@ def simhash(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component: its smallest doc_id, once."""
+    """The rows of docs that stand for their component of op5's links: its smallest doc_id, once.
+
+    Texts without words are one component, or linked like any other; rows of equal doc_id and
+    fingerprint are one; null ids stand only for components that have no others; other columns stay
+    as they are; an empty table gives none. near_copies.one_of_each takes likeness of 0.8 instead.
+    """
     named = docs.columns
     carried = fingerprints(docs, "__fingerprint")
     found = near_duplicates(cut(carried.select("doc_id", F.col("__fingerprint").alias("fingerprint"))))
