@@ -33,11 +33,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_chunks, table, texts
+from .common import by_chunks, give_back, table, texts
 
 SHORT = 40
 #: Pieces and bytes per recursive query, tokens per decoding query, pieces remembered.
-QUERY_PIECES, QUERY_BYTES, DECODE_TOKENS, REMEMBERED = 60_000, 1 << 19, 1 << 19, 200_000
+QUERY_PIECES, QUERY_BYTES, DECODE_TOKENS, REMEMBERED = 60_000, 1 << 18, 1 << 18, 200_000
 
 _LEFTMOST = """
 WITH RECURSIVE step(piece, pos, id, done) AS (
@@ -93,7 +93,7 @@ class Coder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
@@ -205,7 +205,7 @@ class Coder:
 
 
 _coders: dict[tuple[str, str], Coder] = {}
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def coder(ranks_path: str, pattern: str) -> Coder:
@@ -223,6 +223,7 @@ def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _coders.values():
             c.db.close()
         _coders.clear()
+        give_back()
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -77,6 +79,21 @@ def by_chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4
         yield from chunks(batch, column, max_bytes)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive tasks, and what one task needed the next would hold beside its own."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task that uses much memory."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit (xor-shift-multiply)."""
     x = x ^ (x >> np.uint64(31))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import rolling
-from .common import by_chunks, mix64, table, texts
+from .common import by_chunks, mix64, released, table, texts
 
 #: n-gram lengths and the largest share of a text's word characters that repeated ones may cover.
 COVERAGE = {2: 0.60, 3: 0.50, 5: 0.40, 8: 0.35, 10: 0.30}
@@ -117,7 +117,7 @@ def kept(docs: DataFrame) -> DataFrame:
         for batch in by_chunks(batches, "text", BLOCK):
             yield batch.filter(pa.array(measure(texts(batch, "text"))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda x: released(run(x)), docs.schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
