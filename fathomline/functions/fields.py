@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: How deep nested objects of an event are followed.
-DEPTH = 3
+_NO_KEY = re.compile("[^A-Za-z0-9_]")
 
 
 def normal_key(key: Column) -> Column:
@@ -14,19 +18,48 @@ def normal_key(key: Column) -> Column:
     return F.lower(F.regexp_replace(key, "[^A-Za-z0-9_]", ""))
 
 
-def _entries(text: Column) -> Column:
-    return F.map_entries(F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>")))
+class _Number(str):
+    """A number as it is written."""
+
+
+def _written(value) -> str:
+    if isinstance(value, _Number):
+        return value
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_written(k)}:{_written(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def leaves(text: str | None) -> dict[str, str | None]:
+    """A JSON object's leaves under normal keys, to any depth that the JSON reader takes, as text: numbers as they are written, lists as JSON."""
+    try:
+        source = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number) if text else None
+    except (ValueError, RecursionError):
+        return {}
+    found: dict[str, str | None] = {}
+    stack = [iter(source.items())] if isinstance(source, dict) else []
+    while stack:
+        for key, value in stack[-1]:
+            if isinstance(value, dict):
+                stack.append(iter(value.items()))  # opened in place; the rest of this level comes after it
+                break
+            name = _NO_KEY.sub("", key).lower()
+            if found.get(name) in (None, ""):
+                found[name] = value if value is None or isinstance(value, str) else _written(value)
+        else:
+            stack.pop()
+    return found
+
+
+def _leaves(text: pd.Series) -> pd.Series:
+    return text.map(leaves)
 
 
 def flatten(text: Column) -> Column:
-    """map<string,string> of a JSON object's leaves under normal keys. Nested objects are opened in place, depth first; of equal keys the first that isn't empty wins; malformed text gives an empty map."""
-    entries = _entries(text)
-    for _ in range(DEPTH - 1):
-        entries = F.flatten(F.transform(entries, lambda e: F.when(e["value"].startswith("{"), _entries(e["value"])).otherwise(F.array(e))))
-    named = F.transform(entries, lambda e: F.struct(normal_key(e["key"]).alias("key"), e["value"].alias("value")))
-    filled = F.filter(named, lambda e: e["value"].isNotNull() & (e["value"] != ""))
-    keys = F.array_distinct(F.transform(filled, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(filled, lambda e: e["key"] == k), 1)["value"]))
+    """map<string,string> of a JSON object's leaves under normal keys. Nested objects are opened in place, depth first; of equal keys the first that isn't empty wins; malformed text gives an empty map. Depth is unbounded, which no built-in expression can follow, so texts go through Python in Arrow batches."""
+    return F.pandas_udf(_leaves, T.MapType(T.StringType(), T.StringType()))(text)
 
 
 def parse_json(text: Column) -> Column:

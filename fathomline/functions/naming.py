@@ -15,7 +15,7 @@ AUG_MARK = r"(?i)\b-?aug\b"
 def parts(name: Column, pattern: str) -> Column:
     """struct(sequence_id, orig_ext, extra, curr_ext); all null unless the name has that form and starts with a number."""
     first = F.regexp_extract(name, pattern, 1)
-    number = F.expr("null").cast("int") if first is None else F.when(first.rlike(NUMBER), F.trim(first)).try_cast("int")
+    number = F.when(first.rlike(NUMBER), F.trim(first)).try_cast("int")
     ok = number.isNotNull()
     return F.struct(number.alias("sequence_id"), *(F.when(ok, F.regexp_extract(name, pattern, i)).alias(c) for i, c in ((2, "orig_ext"), (3, "extra"), (4, "curr_ext"))))
 

@@ -56,6 +56,16 @@ def instant(text: Column) -> Column:
     return F.when(number > 1e14, filetime).when(number.isNotNull(), F.timestamp_micros((number * 1e6).cast("long"))).otherwise(F.try_to_timestamp(text))
 
 
+def utf16_text(data: Column) -> Column:
+    """Little-endian UTF-16 up to its first NUL."""
+    return F.substring_index(F.decode(data, "UTF-16LE"), "\0", 1)
+
+
+def pointer(number: Column) -> Column:
+    """A number as 0x and upper-case hexadecimal digits."""
+    return F.concat(F.lit("0x"), F.hex(number))
+
+
 def process_key(pid: Column, started: Column, name: Column) -> Column:
     stamp = F.date_format(started, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     return F.when(pid.isNotNull(), F.concat(pid.cast("string"), F.lit(":"), F.coalesce(stamp, F.lit("unknown")))).otherwise(F.concat(F.lit("unknown:"), F.coalesce(name, F.lit("unknown"))))
@@ -76,26 +86,53 @@ def is_temporary(path: Column, extension: Column, config: FilterConfig) -> Colum
 def prefilter(events: DataFrame, config: FilterConfig) -> DataFrame:
     """events with filter_decision, filter_reason, event_priority: one decision chain, cheap tests first.
 
-    Activity counts, per process and in the window up to the event's own time, only events that pass
-    or delete. One window, on process_key.
+    Events outside of the monitored folders, where any are named, are no input and left out. What is
+    dropped or too large has low priority; passed and delete events have a high one if anything about
+    them is unusual. Activity counts, per process and in the window up to the event's own time, only
+    events that pass or delete. One window, on process_key.
     """
+    if config.monitored:
+        events = events.filter(within(F.col("file_path"), config.monitored))
     size, ext = F.col("file_size"), F.col("file_extension")
+    trusted = F.lower(naming.basename(F.col("process_name"))).isin(*config.trusted) if config.trusted else F.lit(False)
     decided = events.withColumn("filter_reason", F.when(F.col("event_type") == "deleted", "delete_event").when(within(F.col("file_path"), config.ignored), "ignored_directory")
-                                .when(is_temporary(F.col("file_path"), ext, config), "temporary_file").when(F.lower("process_name").isin(*config.trusted) if config.trusted else F.lit(False), "trusted_process")
-                                .when(size > config.max_size, "file_too_large"))
+                                .when(is_temporary(F.col("file_path"), ext, config), "temporary_or_service_file").when(trusted, "trusted_process").when(size > config.max_size, "file_too_large"))
     decided = decided.withColumn("filter_decision", F.when(F.col("filter_reason").isNull(), "pass").when(F.col("filter_reason").isin("delete_event", "file_too_large"), "context_only").otherwise("drop"))
-    counted = F.when((F.col("filter_decision") == "pass") | (F.col("event_type") == "deleted"), 1)
+    ranked = (F.col("filter_decision") == "pass") | (F.col("event_type") == "deleted")
     recent = W.partitionBy("process_key").orderBy("us").rangeBetween(-config.activity_us, 0)
-    decided = decided.withColumn("activity", F.count(counted).over(recent))
+    decided = decided.withColumn("activity", F.count(F.when(ranked, 1)).over(recent))
     marks = F.array_compact(F.array(
         F.when(F.col("process_name").isNull() | (F.lower("process_name") == "unknown"), "unknown_process"),
-        F.when(~F.lower(ext).isin(*config.supported), "unusual_extension"), F.when(F.col("activity") >= config.activity_count, "high_activity")))
+        F.when(~F.lower(ext).isin(*config.supported), "unusual_extension") if config.supported else F.lit(None).cast("string"), F.when(F.col("activity") >= config.activity_count, "high_activity")))
     passed = F.col("filter_decision") == "pass"
     reason = F.when(passed, F.when(F.size(marks) > 0, F.concat(F.lit("accepted; priority="), F.array_join(marks, ","))).otherwise("accepted")).otherwise(F.col("filter_reason"))
-    priority = F.when(passed & (F.size(marks) > 0), "high").when(F.col("filter_reason") == "file_too_large", "low").otherwise("normal")
+    priority = F.when(ranked, F.when(F.size(marks) > 0, "high").otherwise("normal")).otherwise("low")
     return decided.withColumn("filter_reason", reason).withColumn("event_priority", priority)
 
 
+def stages(filtered: DataFrame) -> DataFrame:
+    """filtered events with the status of each stage after the filter, as the stages before allow.
+
+    filtered: filter_decision; stable (whether the file came to rest), extracted, vectorized, classified
+    (whether that stage, if it is reached, succeeds; null counts as a failure). An event that doesn't
+    pass skips all; an unstable file skips extraction and vectorising, a failed extraction skips
+    vectorising. A stage that isn't reached at all stays pending. profiled: whether the event goes on to
+    its process's profile: context events do, and those that were classified.
+    """
+    passed, ok = F.col("filter_decision") == "pass", {c: F.coalesce(c, F.lit(False)) for c in ("stable", "extracted", "vectorized", "classified")}
+    stable = passed & ok["stable"]
+    extracted = stable & ok["extracted"]
+    vectorized = extracted & ok["vectorized"]
+
+    def status(reached: Column, done: Column, name: str = "success") -> Column:
+        return F.when(reached & done, name).when(reached, "failed").otherwise("skipped")
+
+    return filtered.withColumns({
+        "stabilization_status": status(passed, ok["stable"], "stable"), "extraction_status": status(stable, ok["extracted"]), "vectorization_status": status(extracted, ok["vectorized"]),
+        "classification_status": F.when(vectorized, F.when(ok["classified"], "success").otherwise("failed")).otherwise("pending"),
+        "profiled": (F.col("filter_decision") == "context_only") | (vectorized & ok["classified"])})
+
+
 def deduplicate(events: DataFrame, window_us: int = 500_000) -> DataFrame:
     """events with is_duplicate: within window_us of the previous event of the same process, path and type, even if that one was a duplicate."""
     w = W.partitionBy("process_key", F.lower("file_path"), "event_type").orderBy("us", "event_id")
@@ -112,14 +149,28 @@ def correlate(raw: DataFrame) -> DataFrame:
     return named.filter(~F.col("action").isin("name", "forget")).withColumn("resolved_path", first_of(F.col("file_path"), F.col("known"))).drop("life", "known")
 
 
-def stabilise(observations: DataFrame, checks: int = 3) -> DataFrame:
-    """observations(file_path, attempt, size, mtime): per file, the first attempt with `checks` equal signatures in a row (null if none) and how many attempts there were."""
+def stabilise(observations: DataFrame, checks: int = 3, most_attempts: int = 2**31 - 1) -> DataFrame:
+    """observations(file_path, attempt, size, mtime): per file, the first attempt with `checks` equal signatures in a row (null if there is none within most_attempts) and how many attempts there were. An attempt that could not read the file has no signature and ends a run."""
+    return stabilisation(observations, checks, most_attempts, keep_all=True).select("file_path", "stable_attempt", "attempts")
+
+
+def stabilisation(observations: DataFrame, checks: int = 3, most_attempts: int = 20, keep_all: bool = False) -> DataFrame:
+    """file_path, stable_attempt, attempts (that were made: none after the stable one, unless keep_all), status (stable or failed), stable_size, error. observations may have an error's text for attempts without signature."""
     w = W.partitionBy("file_path").orderBy("attempt")
+    readable = F.col("size").isNotNull() & F.col("mtime").isNotNull()
     same = (F.col("size") == F.lag("size").over(w)) & (F.col("mtime") == F.lag("mtime").over(w))
-    runs = observations.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    runs = observations.withColumn("error", F.col("error") if "error" in observations.columns else F.lit(None).cast("string"))
+    runs = runs.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     runs = runs.withColumn("length", F.row_number().over(W.partitionBy("file_path", "run").orderBy("attempt")))
-    return runs.groupBy("file_path").agg(F.min(F.when(F.col("length") >= checks, F.col("attempt"))).alias("stable_attempt"), F.count("*").alias("attempts"))
+    reached = readable & (F.col("length") >= checks) & (F.col("attempt") <= most_attempts)
+    per = runs.groupBy("file_path").agg(
+        F.min(F.when(reached, F.col("attempt"))).alias("stable_attempt"), F.count("*").alias("attempts"), F.min_by("size", F.when(reached, F.col("attempt"))).alias("stable_size"),
+        F.max_by("error", F.when(F.col("attempt") <= most_attempts, F.col("attempt"))).alias("last_error"))
+    stable = F.col("stable_attempt").isNotNull()
+    made = F.col("attempts") if keep_all else F.coalesce(F.col("stable_attempt").cast("long"), F.least("attempts", F.lit(most_attempts).cast("long")))
+    return per.select("file_path", "stable_attempt", made.alias("attempts"), F.when(stable, "stable").otherwise("failed").alias("status"), F.when(stable, F.col("stable_size")).alias("stable_size"),
+                      F.when(~stable, F.coalesce("last_error", F.lit("file remained unstable"))).alias("error"))
 
 
 def enrich(events: DataFrame, processes: DataFrame) -> DataFrame:

@@ -28,6 +28,15 @@ LEVELS = [("critical", 80), ("high", 60), ("medium", 30), ("low", 0)]
 ACTIONS = {"low": "log", "medium": "warn", "high": "mark_suspicious", "critical": "propose_block"}
 
 
+# Fixed value: the reason where no rule holds.
+NO_RULE = "no scoring rules matched"
+
+
+def reason(condition: str) -> str:
+    """A rule's condition as it is told."""
+    return condition.replace(" >= ", ">=").replace(" AND ", " and ")
+
+
 def profiles(events: DataFrame, window_us: int = 30_000_000) -> DataFrame:
     """events(process_key, event_id, us, file_path, predicted_class, probability) with the profile of their process over the window up to their own time.
 
@@ -59,11 +68,13 @@ def profiles(events: DataFrame, window_us: int = 30_000_000) -> DataFrame:
 
 
 def with_score(profile: DataFrame) -> DataFrame:
-    """Adds suspicion_score: the points of all rules that hold, 100 at most."""
-    total = F.lit(0)
+    """Adds suspicion_score: the points of all rules that hold, 100 at most; and decision_reason: these rules with their points, in order."""
+    total, reasons = F.lit(0), []
     for points, condition in RULES:
         total = total + F.when(F.expr(condition), points).otherwise(0)
-    return profile.withColumn("suspicion_score", F.least(total, F.lit(100)))
+        reasons.append(F.when(F.expr(condition), f"{reason(condition)} (+{points})"))
+    why = F.concat_ws("; ", *reasons)
+    return profile.withColumn("suspicion_score", F.least(total, F.lit(100))).withColumn("decision_reason", F.when(why == "", NO_RULE).otherwise(why))
 
 
 def threat_level(score: Column) -> Column:

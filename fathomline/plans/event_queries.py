@@ -49,12 +49,12 @@ def event_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DECIDED = f"""{tables.FILE_EVENTS_SQL},
-reasoned AS (SELECT *, CASE WHEN event_type = 'deleted' THEN 'delete_event' WHEN file_path = '/d3' OR starts_with(file_path, '/d3/') THEN 'ignored_directory' WHEN lower(file_extension) IN ('.tmp', '.temp', '.swp', '.part', '.crdownload') THEN 'temporary_file' WHEN lower(process_name) = 'proc7.exe' THEN 'trusted_process' WHEN file_size > 150000 THEN 'file_too_large' END AS r FROM file_events),
+reasoned AS (SELECT *, CASE WHEN event_type = 'deleted' THEN 'delete_event' WHEN file_path = '/d3' OR starts_with(file_path, '/d3/') THEN 'ignored_directory' WHEN lower(file_extension) IN ('.tmp', '.temp', '.swp', '.part', '.crdownload') THEN 'temporary_or_service_file' WHEN lower(process_name) = 'proc7.exe' THEN 'trusted_process' WHEN file_size > 150000 THEN 'file_too_large' END AS r FROM file_events),
 decided AS (SELECT *, CASE WHEN r IS NULL THEN 'pass' WHEN r IN ('delete_event', 'file_too_large') THEN 'context_only' ELSE 'drop' END AS filter_decision FROM reasoned),
 active AS (SELECT *, count(CASE WHEN filter_decision = 'pass' OR event_type = 'deleted' THEN 1 END) OVER (PARTITION BY process_key ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS activity FROM decided),
 marked AS (SELECT *, concat_ws(',', CASE WHEN process_name IS NULL OR lower(process_name) = 'unknown' THEN 'unknown_process' END, CASE WHEN lower(file_extension) NOT IN ('.pdf', '.docx', '.txt', '.bin') THEN 'unusual_extension' END, CASE WHEN activity >= 2 THEN 'high_activity' END) AS marks FROM active),
 filtered AS (SELECT *, CASE WHEN filter_decision = 'pass' THEN CASE WHEN marks <> '' THEN 'accepted; priority=' || marks ELSE 'accepted' END ELSE r END AS filter_reason,
-  CASE WHEN filter_decision = 'pass' AND marks <> '' THEN 'high' WHEN r = 'file_too_large' THEN 'low' ELSE 'normal' END AS event_priority FROM marked)"""
+  CASE WHEN filter_decision = 'pass' OR event_type = 'deleted' THEN CASE WHEN marks <> '' THEN 'high' ELSE 'normal' END ELSE 'low' END AS event_priority FROM marked)"""
 
 
 @query(f"WITH {_DECIDED} SELECT event_id, filter_decision, filter_reason, event_priority, activity FROM filtered")
@@ -243,3 +243,69 @@ def process_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DECIDED} SELECT filter_decision, filter_reason, count(*) AS n FROM filtered WHERE filter_decision <> 'pass' GROUP BY ALL")
 def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.rejections(_stored(spark, sf_dir))
+
+
+_REASONS = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{profiles.reason(c)} (+{p})' END" for p, c in profiles.RULES) + ")"
+
+
+@query(f"WITH {_PROFILE}, {_SCORE} SELECT event_id, process_key, suspicion_score, coalesce(nullif({_REASONS}, ''), 'no scoring rules matched') AS decision_reason FROM profile_scored")
+def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.with_score(_profiles(spark, sf_dir)).select("event_id", "process_key", "suspicion_score", "decision_reason")
+
+
+_STAGED = f"""{_DECIDED}, staged AS (SELECT event_id, filter_decision, filter_decision = 'pass' AS p, event_id % 5 <> 0 AS s, event_id % 7 <> 0 AS x, event_id % 11 <> 0 AS v, predicted_class IS NOT NULL AS c FROM filtered)"""
+
+
+@query(f"""WITH {_STAGED} SELECT event_id, filter_decision, CASE WHEN NOT p THEN 'skipped' WHEN s THEN 'stable' ELSE 'failed' END AS stabilization_status,
+CASE WHEN NOT (p AND s) THEN 'skipped' WHEN x THEN 'success' ELSE 'failed' END AS extraction_status, CASE WHEN NOT (p AND s AND x) THEN 'skipped' WHEN v THEN 'success' ELSE 'failed' END AS vectorization_status,
+CASE WHEN NOT (p AND s AND x AND v) THEN 'pending' WHEN c THEN 'success' ELSE 'failed' END AS classification_status, filter_decision = 'context_only' OR (p AND s AND x AND v AND c) AS profiled FROM staged""")
+def event_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    e = _stored(spark, sf_dir).withColumns({"stable": n % 5 != 0, "extracted": n % 7 != 0, "vectorized": n % 11 != 0, "classified": F.col("predicted_class").isNotNull()})
+    return ev.stages(e).select("event_id", "filter_decision", "stabilization_status", "extraction_status", "vectorization_status", "classification_status", "profiled")
+
+
+@query(f"""WITH {_DECIDED} SELECT event_id, filter_decision, filter_reason, event_priority FROM (SELECT * FROM filtered) WHERE file_path LIKE '/d1/%' OR file_path LIKE '/d3/%' OR file_path LIKE '/d5/%'""".replace(
+    "FROM raw_events),", "FROM raw_events WHERE k % 10 IN (1, 3, 5)),"))
+def event_monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import dataclasses
+
+    config = dataclasses.replace(CONFIG, monitored=("/d1", "/d3/", "/d5"))
+    return ev.prefilter(tables.file_events(spark, sf_dir), config).select("event_id", "filter_decision", "filter_reason", "event_priority")
+
+
+@query("""WITH o AS (SELECT user_id::VARCHAR AS file_path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, CASE WHEN event_type <> 'error' THEN length(event_type) END AS size, CASE WHEN event_type = 'error' THEN 'unreadable' END AS error FROM events),
+n AS (SELECT *, CASE WHEN size = lag(size) OVER (PARTITION BY file_path ORDER BY attempt) THEN 0 ELSE 1 END AS fresh FROM o),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY file_path ORDER BY attempt ROWS UNBOUNDED PRECEDING) AS run FROM n),
+l AS (SELECT *, row_number() OVER (PARTITION BY file_path, run ORDER BY attempt) AS length FROM r WHERE attempt <= 20),
+g AS (SELECT file_path, min(CASE WHEN size IS NOT NULL AND length >= 3 THEN attempt END) AS a, max(attempt) AS n, arg_max_null(error, attempt) AS e, arg_min(size, attempt) FILTER (size IS NOT NULL AND length >= 3) AS s FROM l GROUP BY file_path)
+SELECT file_path, a::INT AS stable_attempt, coalesce(a, n)::BIGINT AS attempts, CASE WHEN a IS NULL THEN 'failed' ELSE 'stable' END AS status, s::INT AS stable_size, CASE WHEN a IS NULL THEN coalesce(e, 'file remained unstable') END AS error FROM g""")
+def stabilization_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    e = tables.table(spark, sf_dir, "events")
+    bad, size = F.col("event_type") == "error", F.length("event_type")
+    o = e.select(F.col("user_id").cast("string").alias("file_path"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("attempt"), F.when(~bad, size).alias("size"), F.when(~bad, size).alias("mtime"), F.when(bad, "unreadable").alias("error"))
+    return ev.stabilisation(o)
+
+
+@query("""SELECT event_id, 'Ünï-' || event_type AS name, '0x' || upper(printf('%x', event_id * 4096 + 10)) AS pointer FROM events""")
+def binary_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.table(spark, sf_dir, "events")
+    data = F.encode(F.concat(F.lit("Ünï-"), "event_type", F.lit("\0rest"), F.col("event_id").cast("string")), "UTF-16LE")
+    return e.select("event_id", ev.utf16_text(data).alias("name"), ev.pointer(F.col("event_id") * 4096 + 10).alias("pointer"))
+
+
+@query(r"""SELECT event_id, '{EDD08927-9CC4}' AS guid, 'deep' || event_id AS name, (event_id * 1.5)::DECIMAL(18,1)::VARCHAR AS value, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '[1,"x"]' END AS mark, CASE WHEN event_id % 3 <> 0 THEN 'here' END AS late FROM events""")
+def json_flatten_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves below any number of levels, and values that look like objects."""
+    from fathomline.functions import fields
+
+    n = F.col("event_id").cast("string")
+    inner = F.concat(F.lit('{"File Name":"deep'), n, F.lit('","value":'), (F.col("event_id") * 1.5).cast("decimal(18,1)").cast("string"), F.lit(',"mark":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise('[1,"x"]'), F.lit("}"))
+    for level in "gfedcba":
+        inner = F.concat(F.lit(f'{{"{level}":'), inner, F.lit("}"))
+    late = F.when(F.col("event_id") % 3 == 0, "null").otherwise('"here"')
+    text = F.concat(F.lit('{"ProviderGuid":"{EDD08927-9CC4}","FileName":"","x":'), inner, F.lit(',"Late":'), late, F.lit(',"file_name":"other"}'))
+    m = fields.flatten(text)
+    return tables.table(spark, sf_dir, "events").select("event_id", *(F.element_at(m, k).alias(a) for k, a in (("providerguid", "guid"), ("filename", "name"), ("value", "value"), ("mark", "mark"), ("late", "late"))))

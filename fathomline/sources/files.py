@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def scan_classes(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/").replace("\\", "/")
     name = naming.basename(F.col("path"))
     df = df.withColumn("m", naming.metadata(name, F.col("gt_class"))).withColumn("group_id", naming.group_id(F.col("m"), name))
-    return df.select(F.regexp_replace("path", "^.*?" + base.rpartition("/")[2] + "/", "").alias("path"), "gt_class", "m.*", "group_id", naming.pair_id(F.col("group_id"), F.col("m.extra")).alias("pair_id"), "size_bytes", "content")
+    return df.select(F.regexp_replace("path", "^.*?" + re.escape(base.rpartition("/")[2]) + "/", "").alias("path"), "gt_class", "m.*", "group_id", naming.pair_id(F.col("group_id"), F.col("m.extra")).alias("pair_id"), "size_bytes", "content")
 
 
 def resolve(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -57,10 +58,10 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a replay: JSON lines by suffix .jsonl, else a JSON array or object. Malformed items are an error."""
+    """Events of a replay: JSON lines by suffix .jsonl, else a JSON array or object. Malformed items are an error. An event without an id gets a digest of its fields, the same on every reading; equal events without ids are one."""
     reader = spark.read.schema(EVENT_STRUCT).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE")
     df = reader.json(path) if path.endswith(".jsonl") else reader.option("multiLine", True).json(path)
-    bad = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("not an event: "), F.col("_bad")))).otherwise(F.coalesce("event_id", F.expr("uuid()")))
+    bad = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("not an event: "), F.col("_bad")))).otherwise(F.coalesce("event_id", F.sha2(F.to_json(F.struct(*(n for n in _EVENT_NAMES.split() if n not in ("event_id", "_bad")))), 256)))
     from fathomline.operators import events as ev
 
     when = ev.instant(F.col("timestamp"))

@@ -83,8 +83,8 @@ def test_filter_decisions(spark):
               ("5", "modified", "/a/b.txt", ".txt", 1, "Trusted.EXE"), ("6", "modified", "/a/b.txt", ".txt", 9, "p.exe"), ("7", "modified", "/a/b.bin", ".bin", 1, "unknown")]
     df = spark.createDataFrame([(i, t, p, e, s, n, f"k{i}", 0) for i, t, p, e, s, n in given_], "event_id string, event_type string, file_path string, file_extension string, file_size long, process_name string, process_key string, us long")
     found = {r["event_id"]: (r["filter_decision"], r["filter_reason"], r["event_priority"]) for r in events.prefilter(df, config).collect()}
-    assert found == {"1": ("context_only", "delete_event", "normal"), "2": ("drop", "ignored_directory", "normal"), "3": ("pass", "accepted", "normal"), "4": ("drop", "temporary_file", "normal"),
-                     "5": ("drop", "trusted_process", "normal"), "6": ("context_only", "file_too_large", "low"), "7": ("pass", "accepted; priority=unknown_process,unusual_extension", "high")}
+    assert found == {"1": ("context_only", "delete_event", "high"), "2": ("drop", "ignored_directory", "low"), "3": ("pass", "accepted", "normal"), "4": ("drop", "temporary_or_service_file", "low"),
+                     "5": ("drop", "trusted_process", "low"), "6": ("context_only", "file_too_large", "low"), "7": ("pass", "accepted; priority=unknown_process,unusual_extension", "high")}
 
 
 def test_duplicates_chain(spark):
