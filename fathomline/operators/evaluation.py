@@ -39,20 +39,42 @@ def _one_vs_rest(rows: DataFrame, n: int) -> DataFrame:
     return wide.select("r.*").groupBy("label", "score").agg(F.sum("positive").alias("p"), F.count("*").alias("n"))
 
 
+#: Ranges that scores are cut into for running sums, about.
+RANGES = 64
+
+
+def running(t: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """t with, for each name in sums, the sum of that column over rows of equal keys that come before in order (a number, unique by keys).
+
+    Rows are dealt to ranges of order by quantiles of a pass before, each range sums for itself, and a
+    small table of the ranges' totals gives what lies before each: no task has all rows of a key.
+    """
+    edges = t.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.005)
+    cuts = sorted(set(edges))
+    number = F.lit(0)
+    for c in cuts:
+        number = number + F.when(F.col(order) > c, 1).otherwise(0)
+    ranged = t.withColumn("_range", -number if descending else number)
+    totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))  # a row a key and range
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = W.partitionBy(*keys, "_range").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(W.unboundedPreceding, -1)
+    ranged = ranged.join(F.broadcast(before), [*keys, "_range"])  # RANGES rows a key
+    return ranged.select(*(c for c in t.columns), *((F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{n}")).alias(n) for n, c in sums.items()))
+
+
 def roc_auc(rows: DataFrame, n: int = 3) -> DataFrame:
-    """label, roc_auc: the chance that a positive outscores a negative, ties half. One window per class over distinct scores."""
-    t = _one_vs_rest(rows, n)
-    below = W.partitionBy("label").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    """label, roc_auc: the chance that a positive outscores a negative, ties half. Distinct scores are summed range by range."""
     neg = F.col("n") - F.col("p")
-    t = t.withColumn("beaten", F.col("p") * (F.coalesce(F.sum(neg).over(below), F.lit(0)) + neg / 2.0))
+    t = running(_one_vs_rest(rows, n).withColumn("neg", neg), ["label"], "score", {"below": "neg"})
+    t = t.withColumn("beaten", F.col("p") * (F.col("below") + F.col("neg") / 2.0))
     return t.groupBy("label").agg((F.sum("beaten") / (F.sum("p") * F.sum(neg))).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, n: int = 3) -> DataFrame:
     """label, average_precision: sum over thresholds of the step in recall times precision."""
-    t = _one_vs_rest(rows, n)
-    above = W.partitionBy("label").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = t.withColumn("precision", F.sum("p").over(above) / F.sum("n").over(above))
+    t = running(_one_vs_rest(rows, n), ["label"], "score", {"above_p": "p", "above_n": "n"}, descending=True)
+    t = t.withColumn("precision", (F.col("above_p") + F.col("p")) / (F.col("above_n") + F.col("n")))
     return t.groupBy("label").agg((F.sum(F.col("p") * F.col("precision")) / F.sum("p")).alias("average_precision"))
 
 

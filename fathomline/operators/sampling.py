@@ -128,14 +128,22 @@ def hash_order(key: Column, seed: int) -> Column:
 
 
 def quota_sample(pool: DataFrame, key: str, kind: str, quotas: dict[str, float], fraction: float, seed: int) -> DataFrame:
-    """pool rows picked by quota per kind in seeded order; rows of other kinds fill up where quotas run out of rows."""
+    """pool rows picked by quota per kind in seeded order; rows of other kinds fill up where quotas run out of rows.
+
+    A row's place is its rank within its hash prefix plus the sizes of its kind's prefixes before, so
+    no task ranks all rows of a kind, and prefixes that lie beyond the quota aren't ranked at all.
+    """
     pool = pool.filter(F.col(kind).isin(*quotas))
     capacity = {r[kind]: r["count"] for r in pool.groupBy(kind).count().collect()}
     target = target_count(sum(capacity.values()), fraction)
     got = allocate_by_quota(target, quotas, capacity)
     allowed = pool.sparkSession.createDataFrame(list(got.items()), f"{kind} string, allowed long")
-    ranked = pool.withColumn("_rank", F.row_number().over(W.partitionBy(kind).orderBy(hash_order(F.col(key), seed), key)))
-    return ranked.join(F.broadcast(allowed), kind).filter("_rank <= allowed").drop("_rank", "allowed")
+    placed = pool.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = placed.groupBy(kind, "_p").agg(F.count("*").alias("_n"))  # 4096 prefixes a kind at most
+    earlier = W.partitionBy(kind).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(kind, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).join(F.broadcast(allowed), kind).filter("_before < allowed")
+    placed = placed.join(F.broadcast(before), [kind, "_p"]).withColumn("_rank", F.row_number().over(W.partitionBy(kind, "_p").orderBy("_h", key)) + F.col("_before"))
+    return placed.filter("_rank <= allowed").drop("_rank", "allowed", "_h", "_p", "_before")
 
 
 def algorithm_plan(rows: DataFrame, key: str, counts: dict[str, int], seed: int) -> DataFrame:

@@ -31,22 +31,22 @@ total AS (SELECT file_id, sum(n) AS t FROM hist GROUP BY file_id)
 
 @query(_HISTOGRAM + "SELECT file_id, round(-sum(n / t * log2(n / t)), 8) + 0.0 AS entropy_global FROM hist JOIN total USING (file_id) GROUP BY file_id")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytestats.byte_statistics(tables.files(spark, sf_dir)).filter("size_bytes > 0").select("file_id", (F.round("entropy_global", 8) + 0.0).alias("entropy_global"))
+    return bytestats.byte_statistics(tables.files(spark, sf_dir).filter("size_bytes > 0")).select("file_id", (F.round("entropy_global", 8) + 0.0).alias("entropy_global"))
 
 
 @query(_HISTOGRAM + "SELECT file_id, round(-log2(max(n) / max(t)), 8) + 0.0 AS min_entropy_global FROM hist JOIN total USING (file_id) GROUP BY file_id")
 def byte_min_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytestats.byte_statistics(tables.files(spark, sf_dir)).filter("size_bytes > 0").select("file_id", (F.round("min_entropy_global", 8) + 0.0).alias("min_entropy_global"))
+    return bytestats.byte_statistics(tables.files(spark, sf_dir).filter("size_bytes > 0")).select("file_id", (F.round("min_entropy_global", 8) + 0.0).alias("min_entropy_global"))
 
 
 @query(_HISTOGRAM + "SELECT file_id, round(sum((n - t / 256) * (n - t / 256) / (t / 256)) + (256 - count(*)) * max(t) / 256, 5) AS byte_chi2 FROM hist JOIN total USING (file_id) GROUP BY file_id")
 def byte_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytestats.byte_statistics(tables.files(spark, sf_dir)).filter("size_bytes > 0").select("file_id", F.round("byte_chi2", 5).alias("byte_chi2"))
+    return bytestats.byte_statistics(tables.files(spark, sf_dir).filter("size_bytes > 0")).select("file_id", F.round("byte_chi2", 5).alias("byte_chi2"))
 
 
 @query(_HISTOGRAM + "SELECT file_id, round(sum(n * (n - 1)) / (max(t) * (max(t) - 1)), 9) AS ic_index FROM hist JOIN total USING (file_id) WHERE t > 1 GROUP BY file_id")
 def byte_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytestats.byte_statistics(tables.files(spark, sf_dir)).filter("size_bytes > 1").select("file_id", F.round("ic_index", 9).alias("ic_index"))
+    return bytestats.byte_statistics(tables.files(spark, sf_dir).filter("size_bytes > 1")).select("file_id", F.round("ic_index", 9).alias("ic_index"))
 
 
 @query(f"""WITH {tables.FILES_SQL},
@@ -56,7 +56,7 @@ total AS (SELECT file_id, part, sum(n) AS t FROM hist GROUP BY ALL),
 e AS (SELECT file_id, part, round(-sum(n / t * log2(n / t)), 8) + 0.0 AS e FROM hist JOIN total USING (file_id, part) GROUP BY ALL)
 SELECT h.file_id, h.e AS entropy_head, t.e AS entropy_tail FROM e h JOIN e t ON h.file_id = t.file_id AND h.part = 'head' AND t.part = 'tail'""")
 def byte_entropy_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bytestats.byte_statistics(tables.files(spark, sf_dir)).filter("size_bytes > 0")
+    s = bytestats.byte_statistics(tables.files(spark, sf_dir).filter("size_bytes > 0"))
     return s.select("file_id", *((F.round(c, 8) + 0.0).alias(c) for c in ("entropy_head", "entropy_tail")))
 
 
