@@ -242,25 +242,28 @@ def fold_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    """Predictions for every row; held_out: its group is in none that the model was fitted on."""
     from fathomline.operators import models
 
     names = ["flag", "byte_chi2", "size_bytes"]
     d = tables.dataset(spark, sf_dir).withColumn("y", vectorise.encode_label(F.col("gt_class")))
-    train = d.filter("doc_id % 5 <> 0")
+    split = sampling.grouped_split(d, {"train": 0.8, "test": 0.2})
+    train = split.filter("split = 'train'").drop("split")
     v = vectorise.fit(train, ["flag"], ["byte_chi2", "size_bytes"], ["byte_chi2", "size_bytes"])
     model = fit(models.assembled(v.transform(train), names))
-    return models.predictions(model, models.assembled(v.transform(d.filter("doc_id % 5 = 0")), names, weights=False)).select("doc_id", "y", "y_pred", "s0", "s1", "s2")
+    found = models.predictions(model, models.assembled(v.transform(split), names, weights=False))
+    return found.select("doc_id", (F.col("split") == "test").alias("held_out"), "y", "y_pred", "s0", "s1", "s2")
 
 
 @query()
 def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomline.operators import models
 
-    return _trained(spark, sf_dir, lambda t: models.random_forest(t, trees=20, depth=6))
+    return _trained(spark, sf_dir, models.random_forest)
 
 
 @query()
 def mlp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomline.operators import models
 
-    return _trained(spark, sf_dir, lambda t: models.perceptron(t, 3, hidden=10, rounds=30))
+    return _trained(spark, sf_dir, lambda t: models.perceptron(t, 3))
