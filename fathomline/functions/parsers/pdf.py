@@ -29,8 +29,10 @@ def _xref(data: bytes, offset: int) -> tuple[bool, int | None]:
     """Whether a cross reference (table or stream) is at the offset, and how many objects it names."""
     window = data[max(0, offset - 16):max(0, offset - 16) + XREF_WINDOW]
     if b"xref" in window[:128]:
-        pairs = re.findall(rb"(?m)^\s*(\d+)\s+(\d+)\s*$", window)
-        return True, sum(int(n) for _, n in pairs) or None
+        # the second of each pair of numbers that stand right after the word: of a table's head, and of its first entry too, up to that entry's letter
+        run = re.search(rb"(?i)xref\s+([\d\s]+)", window)
+        second = run[1].split()[1::2] if run else []
+        return True, sum(map(int, second)) if second else None
     if b"/Type" in window and b"/XRef" in window:
         m = re.search(rb"/Size\s+(\d+)", window)
         return True, int(m[1]) if m else None
