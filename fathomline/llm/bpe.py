@@ -44,9 +44,9 @@ WITH RECURSIVE step(piece, pos, id, done) AS (
   SELECT piece, pos, id, false FROM positions
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT n.piece, n.pos, n.id, n.next_pos, m.rank, m.rank::BIGINT * 65536 + n.pos AS pair
-     FROM (SELECT piece, pos, id, lead(id) OVER w AS after, lead(pos) OVER w AS next_pos
-           FROM step WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)) n
+     SELECT n.piece, n.pos, n.id, n.next_pos, m.rank, m.rank::BIGINT * 2147483648 + n.pos AS pair
+     FROM (SELECT piece, pos, id, CASE WHEN lead(piece) OVER w = piece THEN lead(id) OVER w END AS after, lead(pos) OVER w AS next_pos
+           FROM step WHERE NOT done WINDOW w AS (ORDER BY piece, pos)) n
      LEFT JOIN merges m ON m.a = n.id AND m.b = n.after),
    least AS (SELECT piece, min(pair) AS best, arg_min(next_pos, pair) AS gone FROM pairs WHERE pair IS NOT NULL GROUP BY piece)
    SELECT p.piece, p.pos, CASE WHEN p.pair = l.best THEN p.rank ELSE p.id END, l.best IS NULL
