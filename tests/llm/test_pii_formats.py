@@ -136,3 +136,31 @@ def test_a_key_is_needed_off_local_sessions():
         pii.session_key(Session)
     settings_[pii.KEY_SETTING] = "own"
     assert pii.session_key(Session) == b"own"
+
+
+def test_a_session_without_a_key_gets_its_own():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return settings_.get(name, default)
+
+            @staticmethod
+            def set(name, value):
+                settings_[name] = value
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    settings_ = {}
+    key = pii.run_key(Session)
+    assert len(key) >= 32 and key != pii.PUBLISHED_KEY and pii.run_key(Session) == key == settings_[pii.KEY_SETTING].encode()
+    settings_.clear()
+    assert pii.run_key(Session) != key
+
+
+@pytest.mark.parametrize("text", ["123456789012345\u0664", "1\u0662345678901234\u0666", "4111 1111 1111 111\uff11", "+1\u0662 555 123 4567", "12\u0663-45-6789", "1\uff192.168.0.1", "\uff1220\uff124-01-02"])
+def test_digits_of_other_scripts(text):
+    new = P.replace(text)
+    assert BACK.replace(new) == text
+    assert [c for c in new if not c.isascii()] == [c for c in text if not c.isascii()]
