@@ -38,6 +38,8 @@ WARM_DOCS, WARM_BYTES = 1500, 16 << 20
 WARM_RATE, RATE = 0.08, 0.03
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
+#: Bytes of text scored at a time: with fewer, most streams wait for the longest documents to end.
+SCORED = 12 << 20
 
 
 def words(text: str) -> list[bytes]:
@@ -206,7 +208,7 @@ def scored(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
         model = _new_model(v)
         model.load(vector)
         end_log = np.log10(v.n_docs + 1.0)
-        for batch in by_chunks(batches, "text", 3 << 20):
+        for batch in by_chunks(batches, "text", SCORED):
             ids, rare, at_row, base, known, within = [], [], [], [], [], []
             numbers = batch.column("row").to_pylist()
             for x, row in zip(texts(batch, "text"), numbers, strict=True):

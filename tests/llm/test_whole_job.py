@@ -123,3 +123,17 @@ def test_long_chat_texts_take_little_more_memory():
     buffer, offsets, *_ = chat.assemble(roles, texts)
     assert tracemalloc.get_traced_memory()[1] < 64 << 20 and buffer.size == offsets[-1] > 32 << 20
     tracemalloc.stop()
+
+
+def test_lm_scores_with_few_idle_streams(monkeypatch):
+    """With a document of 20,000 words among common ones in each block, most of the network's steps are of documents' tokens."""
+    rng = np.random.default_rng(1)
+    total, documents = 0, [np.zeros(20_000, np.int32)]
+    while total < lm.SCORED - 130_000:
+        n = int(rng.integers(100, 900))
+        documents.append(np.zeros(n, np.int32))
+        total += 6 * n
+    made, run = [], gru.Model._run
+    monkeypatch.setattr(gru.Model, "_run", lambda self, x, *a: made.append(len(x)) or run(self, x, *a))
+    gru.score(gru.Model(lm.CLASSES, lm.WIDTH, lm.HIDDEN), documents)
+    assert sum(made) * 256 < 3 * sum(map(len, documents))
