@@ -1,15 +1,17 @@
 """One document of each group of near copies: texts whose sets of five-word shingles are alike by 0.8 or more.
 
-SimHash fingerprints of such texts differ in 10 of 64 bits or so, and no equal segment of useful width
-is left to find them by. So candidates are found by BANDS times ROWS minima of the shingles' hashes
-(two texts alike by 0.8 share no band once in 40,000 times), and what has a band in common goes
-through the pigeonring: some segment has to start a chain whose cumulative differences stay within
-their share of DISTANCE bits, before the full Hamming check. What passes is held by its exact
-likeness. DISTANCE is over four deviations more than what texts alike by 0.8 have.
+SimHash fingerprints of such texts differ in 15 of 100 bits or so, so no segment of a 64-bit one would be
+useful to find them by. Here a fingerprint is a ring of SEGMENTS segments of WIDTH bits. Candidates are
+found by the pigeonring: a segment is equal in both and starts a chain whose cumulative differences stay
+within their share of RING_DISTANCE bits, for each length up to CHAIN. Which texts have a segment's value
+in common is one shuffle; the chain's bits travel with the value, and what shares one is compared in
+numpy. Two texts alike by 0.8 share no such start once in some 35,000 times (counted on 400,000 built pairs). What has a start in common is
+held by the chains and the Hamming distance of the first 64 bits, and then by its exact likeness. Both
+distances are over four deviations more than what texts alike by 0.8 have.
 
 Only components matter, so a large group's pairs are never listed. Equal sets are one node. First each
-node is held against one other, its hub: of the nodes that share a band with it the one that shares
-most bands with most others, as the text that all others are copies of does. Where bands then still
+node is held against one other, its hub: of the nodes that share a start with it the one that shares
+most starts with most others, as the text that all others are copies of does. Where starts then still
 hold several components, pairs across them are candidates, unless what is known of each node alone
 rules them out. Two bounds of what two sets have in common are exact: of one's shingles, those that no
 other node there has; and with one hub, the hub's shingles but those that either lacks (each lack is
@@ -34,12 +36,26 @@ from .common import by_chunks, cut, mix64, released, small_side, texts
 from .components import components
 
 SHINGLE, LIKENESS = 5, 0.8
-BANDS, ROWS = 20, 4
+#: The fingerprint's ring; how many segments of a chain are looked at, and the bits of which a chain of so many may have its share.
+SEGMENTS, WIDTH = 57, 10
+CHAIN, RING_DISTANCE = 13, 127
+#: Sets of so few shingles that are alike differ in one at most, which may be half the fingerprint's ties: they are also found by what is left without one.
+TINY = 9
+#: Of the first 64 bits alone.
 RING, DISTANCE = (8,) * 8, 22
 MARKS = 1024
 _WORD_BASE = 0x9FB21C651E98DF25
-_SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Texts' bytes hashed at a time, and shingles whose minima are taken at a time.
+WORDS = -(-SEGMENTS * WIDTH // 64)
+_SEEDS = mix64(np.arange(1, WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: For each segment, the places of its bits and of the next ones' of its chain, in two words.
+_HALF = (CHAIN - 1) // 2 * WIDTH
+_PLACES = (np.arange(SEGMENTS)[:, None] * WIDTH + np.arange(CHAIN * WIDTH)) % (SEGMENTS * WIDTH)
+_BUDGETS = [n * RING_DISTANCE // SEGMENTS for n in range(1, CHAIN + 1)]
+#: Members of a segment's value that are compared as one table; of more, MANY // 32 are tried first, whose groups leave.
+MANY = 2048
+#: Pairs whose first words are compared at once, so that they stay in cache.
+STRIP = 1 << 15
+#: Texts' bytes hashed at a time, and shingles whose bits are summed at a time.
 BLOCK, SHINGLES = 1 << 20, 4096
 
 
@@ -56,38 +72,163 @@ def shingle_sets(batch_texts: list[str], shingle: int = SHINGLE) -> list[np.ndar
     return out
 
 
-def sketch(shingles: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """A set's node (a hash of all of it), its fingerprint (bits that over half the hashes have), and a key for each band."""
-    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
-    ones = np.zeros(64, np.int64)
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The ring's bits, each set if over half the shingles' hashes have it; the first 64 are those of the hashes themselves."""
+    ones = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(shingles), SHINGLES):
         part = shingles[at:at + SHINGLES]
-        spread = (part[None, :] ^ _SEEDS[:, None]) * np.uint64(0xD6E8FEB86659FD93)
-        spread ^= spread >> np.uint64(32)
-        spread *= np.uint64(0xA0761D6478BD642F)
-        least = np.minimum(least, spread.min(axis=1))
-        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    rows = mix64(least).reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+        hashes = np.empty((len(part), WORDS), ">u8")
+        hashes[:, 0] = part
+        hashes[:, 1:] = mix64(part[:, None] ^ _SEEDS)
+        bits = np.unpackbits(hashes.view(np.uint8), axis=1)
+        for k in range(0, len(part), 255):  # sums of so many fit a byte
+            ones += bits[k:k + 255].sum(axis=0, dtype=np.uint8)
+    return (2 * ones > len(shingles)).astype(np.uint8)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of at most 64 bits as numbers, first bit highest."""
+    out = np.zeros((len(bits), 8), np.uint8)
+    some = np.packbits(bits, axis=1)
+    out[:, :some.shape[1]] = some
+    return out.view(">i8")[:, 0].astype(np.int64)
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """A set's node (a hash of all of it), the first 64 bits of its fingerprint, each segment's key (its number and value), and the next bits of its chain in two words. Sets of at most TINY have keys of themselves and of themselves less one shingle, too."""
+    bits = fingerprint(shingles)
     node = np.array([xxhash.xxh64_intdigest(shingles.tobytes())], np.uint64).view(np.int64)[0]
-    return int(node), int(np.packbits(2 * ones > len(shingles)).view(">i8")[0]), keys.view(np.int64)
+    chains = bits[_PLACES]
+    keys = np.arange(SEGMENTS) << WIDTH | chains[:, :WIDTH] @ (1 << np.arange(WIDTH))
+    rest = np.stack([_packed(chains[:, WIDTH:WIDTH + _HALF]), _packed(chains[:, WIDTH + _HALF:])], axis=1)
+    if len(shingles) <= TINY:
+        less = [shingles, *(np.delete(shingles, k) for k in range(len(shingles)))]
+        own = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) | 1 << 63 for x in less if len(x)], np.uint64).view(np.int64)
+        keys, rest = np.concatenate([keys, own]), np.concatenate([rest, np.zeros((len(own), 2), np.int64)])
+    return int(node), int(_packed(bits[None, :64])[0]), keys, rest
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node, size (distinct shingles), fp, keys of each row of docs; null texts are empty."""
+    """doc_id, node, size (distinct shingles), fp, keys, rest (two words a key) of each row of docs; null texts are empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_chunks(batches, "text", BLOCK):
             sets = shingle_sets(texts(batch, "text"))
-            node, fp, keys = zip(*map(sketch, sets), strict=True)
+            node, fp, keys, rest = zip(*map(sketch, sets), strict=True)
+            ends = np.cumsum([0, *map(len, keys)])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "node": pa.array(node, pa.int64()), "size": pa.array(map(len, sets), pa.int32()), "fp": pa.array(fp, pa.int64()),
-                "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))})
+                "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys))),
+                "rest": pa.ListArray.from_arrays(pa.array(2 * ends, pa.int32()), pa.array(np.concatenate(rest).ravel()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda x: released(run(x)), f"doc_id {kind}, node long, size int, fp long, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lambda x: released(run(x)), f"doc_id {kind}, node long, size int, fp long, keys array<bigint>, rest array<bigint>")
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the chains (rows: two words) of each of a and of b keep their budgets, in a table."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    near, first = np.empty((len(a), len(b)), bool), np.ascontiguousarray(b[:, 0])
+    strip = max(1, STRIP // max(1, len(b)))
+    for k in range(0, len(a), strip):
+        np.less_equal(np.bitwise_count(a[k:k + strip, :1] ^ first), _BUDGETS[(CHAIN - 1) // 2], out=near[k:k + strip])
+    x, y = np.nonzero(near)  # few, so that all lengths are looked at for them alone
+    differ = a[x] ^ b[y]
+    good, ones = np.ones(len(x), bool), np.zeros(len(x), np.int64)
+    for n in range(1, CHAIN):
+        word, at = divmod((n - 1) * WIDTH, _HALF)
+        ones += np.bitwise_count(differ[:, word] >> np.uint64(64 - at - WIDTH) & np.uint64((1 << WIDTH) - 1))
+        good &= ones <= _BUDGETS[n]
+    near[x[~good], y[~good]] = False
+    return near
+
+
+def chained(rest: np.ndarray) -> np.ndarray:
+    """A group number for each of the chains that start in an equal segment (rows: two words), from those that keep their budgets; -1: with no other."""
+    group, left, count = np.full(len(rest), -1), np.arange(len(rest)), 0
+
+    def spread(first: int, left: np.ndarray) -> np.ndarray:
+        """Numbers all that can be reached from one, at most MANY // 8 of them held against what is left at a time; what is left then."""
+        nonlocal count
+        at, todo, size = left[left != first], [np.array([first])], 1
+        members = todo[:]
+        while todo and len(at):
+            now = todo.pop()
+            if len(now) > MANY // 8:
+                todo.append(now[MANY // 8:])
+                now = now[:MANY // 8]
+            hit = np.zeros(len(at), bool)
+            for k in range(0, len(at), 1 << 14):
+                hit[k:k + (1 << 14)] = _near(rest[now], rest[at[k:k + (1 << 14)]]).any(axis=0)
+            if hit.any():
+                todo.append(at[hit])
+                members.append(at[hit])
+                size += int(hit.sum())
+                at = at[~hit]
+        if size > 1:
+            group[np.concatenate(members)] = count
+            count += 1
+        return at
+
+    if len(rest) > MANY:  # large groups first: no two of the same are then compared but on the way
+        for first in left[:: -(-len(left) * 32 // MANY)].tolist():
+            if group[first] < 0:
+                left = spread(first, left)
+    # of the others, those that have any other
+    some = np.zeros(len(left), bool)
+    for a in range(0, len(left), MANY):
+        for b in range(a, len(left), MANY):
+            near = _near(rest[left[a:a + MANY]], rest[left[b:b + MANY]])
+            if a == b:
+                np.fill_diagonal(near, False)
+            some[a:a + MANY] |= near.any(axis=1)
+            some[b:b + MANY] |= near.any(axis=0)
+    left = left[some]
+    while len(left):
+        left = spread(int(left[0]), left)
+    return group
+
+
+def starts(own: DataFrame) -> DataFrame:
+    """key, node, members: for each start of a chain that nodes of own (node, size, keys, rest) have in common, its number, each of them, and how many they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            held.clear()
+            key, node, *rest = (whole.column(c).to_numpy() for c in ("key", "node", "x", "y"))
+            rest = np.stack(rest, axis=1)
+            edges = [0, *np.flatnonzero(np.diff(key)) + 1, len(key)]
+            names, nodes, members = [], [], []
+            for a, b in zip(edges, edges[1:], strict=False):
+                group = chained(rest[a:b])
+                at = np.flatnonzero(group >= 0)
+                if len(at):
+                    nodes.append(node[a:b][at])
+                    members.append(np.bincount(group[at])[group[at]])
+                    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                    np.minimum.at(least, group[at], nodes[-1])
+                    names.append(mix64(least[group[at]].view(np.uint64) ^ mix64(key[a:a + 1].view(np.uint64))).view(np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate(names), "node": np.concatenate(nodes), "members": np.concatenate(members)})
+
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            cut_at = int(np.searchsorted(key, key[-1])) if len(key) else 0  # where its last key begins
+            if held and len(key) and (cut_at or key[0] != held[-1].column("key")[-1].as_py()):
+                held.append(batch.slice(0, cut_at))
+                yield from done()
+                batch = batch.slice(cut_at)
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield from done()
+
+    each = F.posexplode("keys").alias("at", "key")
+    rows = own.filter("size > 0").select("node", "rest", each).select("key", "node", F.expr("rest[2 * at]").alias("x"), F.expr("rest[2 * at + 1]").alias("y"))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: released(run(x)), "key long, node long, members long")
 
 
 def _with_node(docs: DataFrame, column: str, shingles: str | None = None) -> DataFrame:
@@ -133,7 +274,7 @@ def _marks(lacks: str) -> list[Column]:
 
 
 def _across(shared: DataFrame, own: DataFrame, sets: DataFrame, stars: DataFrame, linked: DataFrame) -> DataFrame | None:
-    """Links (a, b) between components of linked that a band of shared (key, node) holds together; None if there is no such band."""
+    """Links (a, b) between components of linked that a start of shared (key, node) holds together; None if there is no such start."""
     labelled = cut(shared.join(small_side(linked), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1")
@@ -169,14 +310,12 @@ def _across(shared: DataFrame, own: DataFrame, sets: DataFrame, stars: DataFrame
 def groups(docs: DataFrame) -> DataFrame:
     """A row for each distinct set of shingles in docs (doc_id, text): node, component_id (the smallest doc_id of the group of near copies; null only if all are null), and head, whether node is the one that has it."""
     prints = cut(sketched(docs))
-    own = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    placed = own.filter("size > 0").select("node", F.explode("keys").alias("key"))
-    crowd = placed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = cut(placed.join(crowd, "key").select("key", "node", "members"))
+    own = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("rest").alias("rest")))
+    shared = cut(starts(own))
     weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     weighed = cut(shared.join(weight, "node").select("key", "node", "weight"))
     best = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
-    # a node's hub is the weightiest in its bands; a node that is that itself has none
+    # a node's hub is the weightiest of those that have a start in common with it; a node that is that itself has none
     hubs = cut(weighed.join(best, "key").groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("hub")))
     # two numbers a row: half a million take some MB
     sets = _with_node(docs.select("text"), "node", "shingles").select("node", "shingles").join(small_side(hubs, 500_000), "node").groupBy("node").agg(F.first("hub").alias("hub"), F.first("shingles").alias("shingles"))
