@@ -1,10 +1,16 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries, partition by partition.
 
 Encoding splits texts by the vocabulary's pattern; the distinct pieces of a block of texts become
-token-position rows, one per byte. A recursive query joins neighbouring tokens with the merge table,
-contracts each piece's leftmost pair of minimum rank, and stops where no piece has a pair left.
+token-position rows. A recursive query joins neighbouring tokens with the merge table, contracts each
+piece's leftmost pair of minimum rank, and stops where no piece has a pair left.
 
-That takes as many steps as a piece has merges, so pieces longer than SHORT bytes are cut, the parts
+The query starts from bytes whose sure pairs are contracted. A pair of rank r is sure if all tokens that
+end with the byte before it make tokens above r, or none, with its first byte, those that begin with the
+byte after it do so with its second, and the pair's own token is part of tokens above r only. So nothing
+touches the pair until r, when it is contracted, and its token made early takes part in nothing before r.
+This holds for any vocabulary, and sure pairs never overlap.
+
+Contracting takes as many steps as a piece has merges, so pieces longer than SHORT bytes are cut, the parts
 encoded by that query side by side, and neighbours joined level by level: the tokens around a cut are
 encoded anew as a piece of their own, and of more and more tokens until the outermost ones come out
 as they were. This is exact where every token's own bytes encode to it (so for every trained
@@ -15,7 +21,7 @@ contracted as if it stood alone, and a token of lower rank would have been made
 cuts that need many tokens, as in long runs, all separate occurrences of the minimum pair contract in
 a step. Other vocabularies get the leftmost rule for pieces of any length.
 
-Decoding joins ids with the vocabulary and aggregates their bytes in order of position.
+Decoding joins ids with the vocabulary in order of position; a text's bytes are its stretch of that column.
 
 What a task has found out about a piece it remembers, up to a bound, so text is whole but work isn't
 repeated. DuckDB runs inside the worker on one thread, in memory, on blocks of bounded size.
@@ -30,6 +36,7 @@ from collections.abc import Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,13 +53,13 @@ WITH RECURSIVE step(piece, pos, id, done) AS (
   (WITH pairs AS MATERIALIZED (
      SELECT n.piece, n.pos, n.id, n.next_pos, m.rank, m.rank::BIGINT * 2147483648 + n.pos AS pair
      FROM (SELECT piece, pos, id, CASE WHEN lead(piece) OVER w = piece THEN lead(id) OVER w END AS after, lead(pos) OVER w AS next_pos
-           FROM step WHERE NOT done WINDOW w AS (ORDER BY piece, pos)) n
+           FROM step WHERE NOT done WINDOW w AS (ORDER BY pos)) n
      LEFT JOIN merges m ON m.a = n.id AND m.b = n.after),
    least AS (SELECT piece, min(pair) AS best, arg_min(next_pos, pair) AS gone FROM pairs WHERE pair IS NOT NULL GROUP BY piece)
    SELECT p.piece, p.pos, CASE WHEN p.pair = l.best THEN p.rank ELSE p.id END, l.best IS NULL
    FROM pairs p LEFT JOIN least l ON l.piece = p.piece
    WHERE l.gone IS NULL OR p.pos <> l.gone))
-SELECT piece, id FROM step WHERE done ORDER BY piece, pos
+SELECT piece, id FROM step WHERE done ORDER BY pos
 """
 
 #: The same, but every second of each run of neighbouring occurrences of the minimum pair is contracted with its successor.
@@ -68,14 +75,13 @@ WITH RECURSIVE step(piece, pos, id, done) AS (
                           FROM (SELECT piece, pos, id, lead(id) OVER w AS after, row_number() OVER w AS place FROM step WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)) n
                           LEFT JOIN merges m ON m.a = n.id AND m.b = n.after))))
   WHERE NOT gone)
-SELECT piece, id FROM step WHERE done ORDER BY piece, pos
+SELECT piece, id FROM step WHERE done ORDER BY pos
 """
 
-_DECODE = """
-SELECT text, string_agg(bytes, '' ORDER BY pos) AS bytes
-FROM ids JOIN vocabulary USING (id) GROUP BY text ORDER BY text
-"""
+_DECODE = "SELECT bytes FROM ids JOIN vocabulary USING (id) ORDER BY pos"
 
+#: Above every rank.
+NONE = np.iinfo(np.int32).max
 
 #: What sound() has found, by the vocabulary's path.
 _sound: dict[str, bool] = {}
@@ -99,16 +105,39 @@ class Coder:
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
         merges = pa.table({"a": a, "b": b, "rank": r})  # noqa: F841  DuckDB reads these by name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        # a byte as the character of its number, so that the aggregate is one of text
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})  # noqa: F841
+        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        part = np.full(max(self.ranks.values()) + 1, NONE, np.int32)  # the least rank that a token is part of
+        np.minimum.at(part, a.to_numpy(), r.to_numpy())
+        np.minimum.at(part, b.to_numpy(), r.to_numpy())
+        # by two bytes: their rank where it may be sure, and the least rank that the second has with a token ending in the first, the first with one beginning with the second
+        self.sure, self.before, self.after = (np.full(1 << 16, NONE, np.int32) for _ in range(3))
+        for t, i in self.ranks.items():
+            if len(t) == 2 and part[i] > i:
+                self.sure[t[0] << 8 | t[1]] = i
+            if len(t) > 1 and t[:-1] in self.ranks:
+                k = t[-2] << 8 | t[-1]
+                self.before[k] = min(i, self.before[k])
+            if len(t) > 1 and t[1:] in self.ranks:
+                k = t[0] << 8 | t[1]
+                self.after[k] = min(i, self.after[k])
+
+    def positions(self, data: list[bytes]) -> pa.Table:
+        """The pieces' bytes one after the other, sure pairs contracted: piece, pos, id."""
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        piece = np.repeat(np.arange(len(data), dtype=np.int32), np.fromiter(map(len, data), np.int64, len(data)))
+        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        rank, before, after = (np.where(piece[1:] == piece[:-1], x[pair], NONE) for x in (self.sure, self.before, self.after))
+        taken = rank < NONE
+        taken[1:] &= rank[1:] < before[:-1]
+        taken[:-1] &= rank[:-1] < after[1:]
+        ids, left = self.bytes_id[raw], np.ones(len(raw), bool)
+        ids[:-1][taken] = rank[taken]
+        left[1:] = ~taken
+        return pa.table({"piece": piece[left], "pos": np.flatnonzero(left).astype(np.int32), "id": ids[left]})
 
     def _query(self, data: list[bytes], sql: str) -> list[bytes]:
-        raw = np.frombuffer(b"".join(data), np.uint8)
-        size = np.fromiter(map(len, data), np.int64, len(data))
-        piece = np.repeat(np.arange(len(data)), size)
-        pos = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-        positions = pa.table({"piece": piece.astype(np.int32), "pos": pos.astype(np.int32), "id": self.bytes_id[raw]})  # noqa: F841
+        positions = self.positions(data)  # noqa: F841
         found = self.db.execute(sql).fetchnumpy()
         ids = found["id"].astype("<u4").tobytes()
         ends = (np.cumsum(np.bincount(found["piece"], minlength=len(data))) * 4).tolist()
@@ -186,21 +215,16 @@ class Coder:
     def decode(self, batch: list[bytes]) -> list[bytes]:
         """The bytes that each list of ids stands for."""
         out = [b""] * len(batch)
-        at = 0
-        while at < len(batch):
-            end, size = at, 0
-            while end < len(batch) and (end == at or size + len(batch[end]) // 4 <= DECODE_TOKENS):
-                size += len(batch[end]) // 4
-                end += 1
-            counts = np.fromiter((len(x) // 4 for x in batch[at:end]), np.int64, end - at)
-            flat = np.frombuffer(b"".join(batch[at:end]), "<u4").astype(np.int32)
-            for lo in range(0, len(flat), DECODE_TOKENS):  # a text of more tokens comes in parts
-                hi = min(lo + DECODE_TOKENS, len(flat))
-                ids = pa.table({"text": np.repeat(np.arange(end - at, dtype=np.int32), counts)[lo:hi], "pos": np.arange(lo, hi, dtype=np.int32), "id": flat[lo:hi]})  # noqa: F841
-                found = self.db.execute(_DECODE).fetchnumpy()
-                for i, x in zip(found["text"].tolist(), found["bytes"].tolist(), strict=True):
-                    out[at + i] += x.encode("latin-1")
-            at = end
+        flat = np.frombuffer(b"".join(batch), "<u4").astype(np.int32)
+        start = np.cumsum([0] + [len(x) // 4 for x in batch])
+        for lo in range(0, len(flat), DECODE_TOKENS):  # a text may come in parts
+            part = flat[lo:lo + DECODE_TOKENS]
+            ids = pa.table({"pos": np.arange(len(part), dtype=np.int32), "id": part})  # noqa: F841
+            column = self.db.sql(_DECODE).to_arrow_table().column("bytes").combine_chunks()
+            first, last = np.searchsorted(start, lo, "right") - 1, np.searchsorted(start, lo + len(part))
+            bounds = np.clip(start[first:last + 1] - lo, 0, len(part)).astype(np.int32)
+            for k, x in enumerate(pc.binary_join(pa.ListArray.from_arrays(bounds, column), pa.scalar(b"", column.type)).to_pylist(), first):
+                out[k] += x
         return out
 
 

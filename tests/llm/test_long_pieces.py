@@ -86,3 +86,45 @@ def test_a_vocabulary_with_tokens_out_of_order(tmp_path):
     texts = [pick("abcd", 300) for _ in range(9)] + ["abcd" * 50]
     assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == [leftmost(ranks, x.encode()) for x in texts]
     assert c.decode(c.encode(texts)) == [x.encode() for x in texts]
+
+
+def odd_vocabulary(folder, extra):
+    ranks = {bytes([i]): i for i in range(256)} | {t: 256 + i for i, t in enumerate(extra)}
+    path = folder / f"odd-{rng.random()}.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for t, i in ranks.items()))
+    return ranks, bpe.Coder(str(path), r"\S+|\s+")
+
+
+def test_sure_pairs_start_contracted(coder, known):
+    """Fewer rows than bytes go into the recursive query, and each one's token is still bytes of its piece."""
+    pieces = [pick(["the", "and", "ing", "tion", "un", "er", "ou", "es"], 4).encode() for _ in range(2_000)] + [b"q", b"qu", b"\xff"]
+    start = coder.positions(pieces).to_pydict()
+    assert len(start["id"]) < 0.8 * sum(map(len, pieces)) and start["pos"] == sorted(start["pos"])
+    if not coder.bytes_of:
+        coder.bytes_of = {i: t for t, i in coder.ranks.items()}
+    assert b"".join(coder.bytes_of[i] for i in start["id"]) == b"".join(pieces)
+    assert coder.contracted(pieces[:-1], bpe._LEFTMOST) == [ids(known, x.decode()) for x in pieces[:-1]]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_sure_pairs_in_any_vocabulary(tmp_path, seed):
+    """Ranks in random order, tokens that no merge makes: the start never changes what the leftmost rule gives."""
+    r = random.Random(seed)
+    extra = list({"".join(r.choice("abcde") for _ in range(r.choice([2, 2, 2, 3, 3, 4, 5]))).encode() for _ in range(r.choice([4, 12, 40]))})
+    r.shuffle(extra)
+    if not any(len(x) == 2 for x in extra):
+        extra.append(b"ab")
+    ranks, c = odd_vocabulary(tmp_path, list(dict.fromkeys(extra)))
+    data = ["".join(r.choice("abcdef") for _ in range(r.randrange(1, 30))).encode() for _ in range(300)]
+    found = [np.frombuffer(x, "<u4").tolist() for x in c.contracted(data, bpe._LEFTMOST)]
+    assert found == [leftmost(ranks, x) for x in data]
+
+
+def test_texts_across_decoding_queries(coder, monkeypatch):
+    """A text may begin and end anywhere in a query's tokens, or fill several; empty ones lie anywhere."""
+    batch = ["", "one two", "", "", "three four five six seven", "é漢", "", "x", ""]
+    encoded = coder.encode(batch)
+    for n in (1, 2, 3, 5, 100):
+        monkeypatch.setattr(bpe, "DECODE_TOKENS", n)
+        assert coder.decode(encoded) == [x.encode() for x in batch]
+    assert coder.decode([]) == [] and coder.decode([b"", b""]) == [b"", b""]
