@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that states the same results."""
 
-from . import bpe, chat, html, lm, mixing, pii, quality, simhash, toxicity, winnow
+from . import bpe, chat, divergence, html, interaction, langid, lm, mixing, pii, quality, simhash, toxicity, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,10 +13,15 @@ QUERIES = {
     "op8_lm_scores": lm.op8_lm_scores,
     "op9_bpe_roundtrip": bpe.op9_bpe_roundtrip,
     "op10_winnow_fingerprints": winnow.op10_winnow_fingerprints,
+    "op11_language_id": langid.op11_language_id,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_filter_interactions": interaction.op13_filter_interactions,
 }
 
 #: Where SQL can express the whole result on whole tables.
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_chat_format": chat.OP6_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_filter_interactions": interaction.OP13_SQL,
 }
