@@ -83,31 +83,43 @@ def is_temporary(path: Column, extension: Column, config: FilterConfig) -> Colum
     return F.lower(extension).isin(*config.temporary) | naming.basename(path).rlike(TEMPORARY_NAME)
 
 
-def prefilter(events: DataFrame, config: FilterConfig) -> DataFrame:
-    """events with filter_decision, filter_reason, event_priority: one decision chain, cheap tests first.
+def is_ranked() -> Column:
+    """Of decided events: whether it counts as activity and can have a priority above low."""
+    return (F.col("filter_decision") == "pass") | (F.col("event_type") == "deleted")
 
-    Events outside of the monitored folders, where any are named, are no input and left out. What is
-    dropped or too large has low priority; passed and delete events have a high one if anything about
-    them is unusual. Activity counts, per process and in the window up to the event's own time, only
-    events that pass or delete. One window, on process_key.
-    """
+
+def decided(events: DataFrame, config: FilterConfig) -> DataFrame:
+    """events inside the monitored folders, where any are named, with filter_decision and filter_reason: one chain, cheap tests first. Looks at one event at a time."""
     if config.monitored:
         events = events.filter(within(F.col("file_path"), config.monitored))
     size, ext = F.col("file_size"), F.col("file_extension")
     trusted = F.lower(naming.basename(F.col("process_name"))).isin(*config.trusted) if config.trusted else F.lit(False)
-    decided = events.withColumn("filter_reason", F.when(F.col("event_type") == "deleted", "delete_event").when(within(F.col("file_path"), config.ignored), "ignored_directory")
-                                .when(is_temporary(F.col("file_path"), ext, config), "temporary_or_service_file").when(trusted, "trusted_process").when(size > config.max_size, "file_too_large"))
-    decided = decided.withColumn("filter_decision", F.when(F.col("filter_reason").isNull(), "pass").when(F.col("filter_reason").isin("delete_event", "file_too_large"), "context_only").otherwise("drop"))
-    ranked = (F.col("filter_decision") == "pass") | (F.col("event_type") == "deleted")
-    recent = W.partitionBy("process_key").orderBy("us").rangeBetween(-config.activity_us, 0)
-    decided = decided.withColumn("activity", F.count(F.when(ranked, 1)).over(recent))
+    reasoned = events.withColumn("filter_reason", F.when(F.col("event_type") == "deleted", "delete_event").when(within(F.col("file_path"), config.ignored), "ignored_directory")
+                                 .when(is_temporary(F.col("file_path"), ext, config), "temporary_or_service_file").when(trusted, "trusted_process").when(size > config.max_size, "file_too_large"))
+    return reasoned.withColumn("filter_decision", F.when(F.col("filter_reason").isNull(), "pass").when(F.col("filter_reason").isin("delete_event", "file_too_large"), "context_only").otherwise("drop"))
+
+
+def prioritised(rated: DataFrame, config: FilterConfig) -> DataFrame:
+    """decided events with their activity -> with event_priority, and the marks that raised it in filter_reason."""
     marks = F.array_compact(F.array(
         F.when(F.col("process_name").isNull() | (F.lower("process_name") == "unknown"), "unknown_process"),
-        F.when(~F.lower(ext).isin(*config.supported), "unusual_extension") if config.supported else F.lit(None).cast("string"), F.when(F.col("activity") >= config.activity_count, "high_activity")))
+        F.when(~F.lower("file_extension").isin(*config.supported), "unusual_extension") if config.supported else F.lit(None).cast("string"), F.when(F.col("activity") >= config.activity_count, "high_activity")))
     passed = F.col("filter_decision") == "pass"
     reason = F.when(passed, F.when(F.size(marks) > 0, F.concat(F.lit("accepted; priority="), F.array_join(marks, ","))).otherwise("accepted")).otherwise(F.col("filter_reason"))
-    priority = F.when(ranked, F.when(F.size(marks) > 0, "high").otherwise("normal")).otherwise("low")
-    return decided.withColumn("filter_reason", reason).withColumn("event_priority", priority)
+    priority = F.when(is_ranked(), F.when(F.size(marks) > 0, "high").otherwise("normal")).otherwise("low")
+    return rated.withColumn("filter_reason", reason).withColumn("event_priority", priority)
+
+
+def prefilter(events: DataFrame, config: FilterConfig) -> DataFrame:
+    """events with filter_decision, filter_reason, event_priority.
+
+    Events outside of the monitored folders, where any are named, are no input and left out. What is
+    dropped or too large has low priority; passed and delete events have a high one if anything about
+    them is unusual. Activity counts, per process and in the window up to the event's own time, only
+    events that pass or delete. One window, on process_key.
+    """
+    recent = W.partitionBy("process_key").orderBy("us").rangeBetween(-config.activity_us, 0)
+    return prioritised(decided(events, config).withColumn("activity", F.count(F.when(is_ranked(), 1)).over(recent)), config)
 
 
 def stages(filtered: DataFrame) -> DataFrame:
@@ -133,6 +145,19 @@ def stages(filtered: DataFrame) -> DataFrame:
         "profiled": (F.col("filter_decision") == "context_only") | (vectorized & ok["classified"])})
 
 
+STAGES = [("filter", None), ("stabilization", "stabilization_status"), ("extraction", "extraction_status"), ("vectorization", "vectorization_status"), ("classification", "classification_status")]
+
+
+def stage_changes(staged: DataFrame) -> DataFrame:
+    """staged events, a row for each stage that an event has gone through: stage (its number, the filter is 0), stage_name, and the statuses as they were then. What comes later is pending; stages that are skipped are told with the stage that has them skipped."""
+    skipped = lambda c: F.col(c) == "skipped"
+    reached = F.array_compact(F.array(*(F.when(F.lit(True) if c is None else ~skipped(c) & (F.col(c) != "pending"), F.lit(k)) for k, (_, c) in enumerate(STAGES))))
+    each = staged.withColumn("stage", F.explode(reached))
+    last = F.col("stage") == F.array_max(reached)
+    then = {c: F.when((F.col("stage") >= k) | skipped(c) & last, F.col(c)).otherwise("pending") for k, (_, c) in enumerate(STAGES) if c}
+    return each.withColumns({"profiled": F.col("profiled") & last, "stage_name": F.get(F.array(*(F.lit(n) for n, _ in STAGES)), F.col("stage")), **then})
+
+
 def deduplicate(events: DataFrame, window_us: int = 500_000) -> DataFrame:
     """events with is_duplicate: within window_us of the previous event of the same process, path and type, even if that one was a duplicate."""
     w = W.partitionBy("process_key", F.lower("file_path"), "event_type").orderBy("us", "event_id")
@@ -140,13 +165,36 @@ def deduplicate(events: DataFrame, window_us: int = 500_000) -> DataFrame:
     return events.withColumn("is_duplicate", F.coalesce((gap >= 0) & (gap <= window_us), F.lit(False)))
 
 
-def correlate(raw: DataFrame) -> DataFrame:
-    """raw(seq, action, file_key, file_path): paths of events that carry only a key, from the latest 'name' event of that key that no 'forget' has followed. Name events themselves aren't returned."""
+def correlate(raw: DataFrame, learn: bool = False) -> DataFrame:
+    """raw(seq, action, file_key or file_keys, file_path, ...): its used events, with resolved_path.
+
+    That is the event's own path, or else the path that the latest 'name' event before it has given to its
+    identifier, if no 'forget' event came between; of several (file_keys, an array) the first that
+    has one. Name and forget events themselves aren't returned. learn: other events' own paths name
+    their identifiers too. An event without identifier has its own path only, and shuffles nothing.
+    """
+    if "file_keys" in raw.columns:
+        return _correlate_any(raw, learn)
+    used = ~F.col("action").isin("name", "forget")
+    keyed = _named(raw.filter("file_key IS NOT NULL"), learn).filter(used).withColumn("resolved_path", first_of(F.col("file_path"), F.col("known"))).drop("known")
+    return keyed.unionByName(raw.filter("file_key IS NULL").filter(used).withColumn("resolved_path", first_of(F.col("file_path"))))
+
+
+def _named(raw: DataFrame, learn: bool) -> DataFrame:
+    """raw(seq, action, file_key, file_path, ...) with known: the name that its identifier has by then, its own included."""
     w = W.partitionBy("file_key").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     life = raw.withColumn("life", F.count(F.when(F.col("action") == "forget", 1)).over(w))
     of_life = W.partitionBy("file_key", "life").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    named = life.withColumn("known", F.last(F.when(F.col("action") == "name", F.col("file_path")), ignorenulls=True).over(of_life))
-    return named.filter(~F.col("action").isin("name", "forget")).withColumn("resolved_path", first_of(F.col("file_path"), F.col("known"))).drop("life", "known")
+    names = F.col("action") != "forget" if learn else F.col("action") == "name"
+    return life.withColumn("known", F.last(F.when(names, first_of(F.col("file_path"))), ignorenulls=True).over(of_life)).drop("life")
+
+
+def _correlate_any(raw: DataFrame, learn: bool) -> DataFrame:
+    """correlate for events with several identifiers: each identifier's names apart, then an event's first that has one."""
+    each = raw.select("seq", "action", "file_path", F.posexplode("file_keys").alias("place", "file_key")).filter("file_key IS NOT NULL")
+    used = ~F.col("action").isin("name", "forget")
+    known = _named(each, learn).filter(used).filter("known IS NOT NULL").groupBy("seq").agg(F.min_by("known", "place").alias("known"))
+    return raw.filter(used).join(known, "seq", "left").withColumn("resolved_path", first_of(F.col("file_path"), F.col("known"))).drop("known")
 
 
 def stabilise(observations: DataFrame, checks: int = 3, most_attempts: int = 2**31 - 1) -> DataFrame:
@@ -174,10 +222,16 @@ def stabilisation(observations: DataFrame, checks: int = 3, most_attempts: int =
 
 
 def enrich(events: DataFrame, processes: DataFrame) -> DataFrame:
-    """events(process_id, ...) with the name, path and start of their process as last known; an unknown process is named so. processes: process_id, process_name, process_path, process_start_time, seen_us."""
-    known = processes.groupBy("process_id").agg(F.max_by(F.struct("process_name", "process_path", "process_start_time"), "seen_us").alias("p"))
-    joined = events.drop("process_name", "process_path", "process_start_time").join(known, "process_id", "left")
-    return joined.select(*(c for c in joined.columns if c != "p"), F.coalesce("p.process_name", F.lit("unknown")).alias("process_name"), F.col("p.process_path").alias("process_path"), F.col("p.process_start_time").alias("process_start_time"))
+    """events(process_id, us, ...) with the name, path and start of their process as known at the event's time; a process not known by then is named unknown. processes: process_id, process_name, process_path, process_start_time, seen_us.
+
+    A process id's few lives travel as one array, so events join on the id alone, and a busy id's events can be split.
+    """
+    life = F.struct("seen_us", "process_name", "process_path", "process_start_time")
+    lives = processes.groupBy("process_id").agg(F.sort_array(F.collect_list(life)).alias("lives"))
+    joined = events.drop("process_name", "process_path", "process_start_time").join(lives, "process_id", "left")
+    p = F.get(F.filter("lives", lambda x: x["seen_us"] <= F.col("us")), F.size(F.filter("lives", lambda x: x["seen_us"] <= F.col("us"))) - 1)
+    joined = joined.withColumn("p", p)
+    return joined.select(*(c for c in joined.columns if c not in ("p", "lives")), F.coalesce("p.process_name", F.lit("unknown")).alias("process_name"), F.col("p.process_path").alias("process_path"), F.col("p.process_start_time").alias("process_start_time"))
 
 
 def rejections(filtered: DataFrame) -> DataFrame:

@@ -73,11 +73,15 @@ lived AS (SELECT *, count(CASE WHEN action = 'forget' THEN 1 END) OVER (PARTITIO
 known AS (SELECT *, last_value(CASE WHEN action = 'name' THEN file_path END IGNORE NULLS) OVER (PARTITION BY file_key, life ORDER BY seq ROWS UNBOUNDED PRECEDING) AS k FROM lived)
 SELECT seq, file_key, coalesce(file_path, k) AS resolved_path FROM known WHERE action = 'use'""")
 def file_name_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.correlate(raw_file_events(spark, sf_dir)).select("seq", "file_key", "resolved_path")
+
+
+def raw_file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, action, file_key, file_path, us: events that name a file, forget it, or use it with or without its path."""
     e = tables.table(spark, sf_dir, "events")
     action = F.when(F.col("event_type") == "view", "name").when(F.col("event_type") == "signup", "forget").otherwise("use")
     path = F.when(F.col("event_type") == "view", F.concat(F.lit("/f"), F.col("event_id").cast("string"))).when(F.col("event_type") == "purchase", F.concat(F.lit("/own"), F.col("event_id").cast("string")))
-    raw = e.select(F.col("event_id").alias("seq"), action.alias("action"), F.col("user_id").alias("file_key"), path.alias("file_path"))
-    return ev.correlate(raw).select("seq", "file_key", "resolved_path")
+    return e.select(F.col("event_id").alias("seq"), action.alias("action"), F.col("user_id").alias("file_key"), path.alias("file_path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 _PROFILE = f"""{tables.FILE_EVENTS_SQL},
@@ -232,12 +236,18 @@ def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "events").select("event_id", fields.display(n / 8.0, "number").alias("number"), fields.display((n % 100) / 100.0, "probability").alias("probability"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS process_id, c_name AS process_name, c_mktsegment AS process_path FROM customer WHERE c_custkey % 3 <> 0)
-SELECT event_id, coalesce(process_name, 'unknown') AS process_name, process_path FROM events LEFT JOIN p ON user_id = process_id""")
+#: Every customer as a process that starts twice in the events' month.
+_LIVES = [("c_custkey % 15", ""), ("15 + c_custkey % 11", "-2")]
+_MONTH_US = 1_704_067_200_000_000
+
+
+@query(f"""WITH p AS ({" UNION ALL ".join(f"SELECT c_custkey AS process_id, c_name || '{end}' AS process_name, c_mktsegment AS process_path, {_MONTH_US} + ({day}) * {DAY_US} AS seen_us FROM customer" for day, end in _LIVES)})
+SELECT event_id, coalesce(process_name, 'unknown') AS process_name, process_path FROM (SELECT event_id, user_id, epoch_us(ts) AS us FROM events) e ASOF LEFT JOIN p ON e.user_id = p.process_id AND e.us >= p.seen_us""")
 def process_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("process_id"), F.col("c_name").alias("process_name"), F.col("c_mktsegment").alias("process_path"), F.lit(None).cast("timestamp").alias("process_start_time"), F.lit(1).alias("seen_us"))
-    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("process_id"))
-    return ev.enrich(e, c).select("event_id", "process_name", "process_path")
+    c = tables.table(spark, sf_dir, "customer")
+    lives = [c.select(F.col("c_custkey").alias("process_id"), F.concat("c_name", F.lit(end)).alias("process_name"), F.col("c_mktsegment").alias("process_path"), F.lit(None).cast("timestamp").alias("process_start_time"), F.expr(f"{_MONTH_US}L + ({day}) * {DAY_US}L").alias("seen_us")) for day, end in _LIVES]
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("process_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return ev.enrich(e, lives[0].unionByName(lives[1])).select("event_id", "process_name", "process_path")
 
 
 @query(f"WITH {_DECIDED} SELECT filter_decision, filter_reason, count(*) AS n FROM filtered WHERE filter_decision <> 'pass' GROUP BY ALL")

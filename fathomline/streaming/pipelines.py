@@ -1,102 +1,76 @@
-"""Event streams: keyed state for de-duplication and sliding profiles, latest-wins sinks.
+"""Event streams: de-duplication, file names, priorities with activity, sliding profiles, windowed counts.
 
-State is per key (process, or process with path and type) and is bounded by its window; what is older
-is evicted as events come and, for keys that fall silent, by state time-to-live.
+Every function takes and returns a DataFrame, streaming or not started yet; states.py says what each
+keeps. On the same rows, cut into batches between two times, results equal the batch operators'.
+Sessions need the RocksDB state store (ROCKSDB).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fathomline.operators import profiles
+from fathomline.operators import events, profiles
+from fathomline.streaming import states
 
 POSITIVE = profiles.POSITIVE
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Deduplicator(StatefulProcessor):
-    """Marks an event as duplicate if the previous one of its key, duplicate or not, is within the window."""
-
-    def __init__(self, window_us: int, expire: bool):
-        self.window_us, self.expire = window_us, expire
+def _ddl(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = {"ttlDurationMs": max(1000, 4 * self.window_us // 1000)} if self.expire else {}
-        self.last = handle.getValueState("last", "us long", **ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        events = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        out = []
-        for us in events["us"].tolist():
-            out.append(last is not None and 0 <= us - last <= self.window_us)
-            last = us
-        self.last.update((last,))
-        yield pd.DataFrame({"event_id": events["event_id"].to_numpy(), "is_duplicate": out})
-
-    def close(self) -> None:
-        pass
+def timed(stream: DataFrame, late: str) -> DataFrame:
+    """stream with an event time t from us and a watermark that lets rows be so late."""
+    return stream.withColumn("t", F.timestamp_micros("us")).withWatermark("t", late)
 
 
 def deduplicated(stream: DataFrame, window_us: int = 500_000, expire: bool = True) -> DataFrame:
     """event_id, is_duplicate. stream: process_key, file_path, event_type, event_id, us. expire: keys that fall silent are forgotten after four windows of processing time; leave it off in replays, whose events are older than the clock."""
-    kind = stream.schema["event_id"].dataType.simpleString()
     keyed = stream.withColumn("path", F.lower("file_path")).groupBy("process_key", "path", "event_type")
-    return keyed.transformWithStateInPandas(Deduplicator(window_us, expire), f"event_id {kind}, is_duplicate boolean", "Append", "ProcessingTime" if expire else "None")
-
-
-class Profiler(StatefulProcessor):
-    """The process's events of the window before its latest time; a profile per batch and process. Late events are put in order, and are gone if they are older than the window."""
-
-    def __init__(self, window_us: int):
-        self.window_us = window_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "event_id string, us long, file_path string, predicted_class string, probability double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = {e[0]: e for e in self.kept.get()} if self.kept.exists() else {}
-        for r in pd.concat(list(rows)).itertuples(index=False):
-            p = None if pd.isna(r.probability) else float(r.probability)
-            events.setdefault(str(r.event_id), (str(r.event_id), int(r.us), r.file_path, None if pd.isna(r.predicted_class) else r.predicted_class, p))
-        latest = max(e[1] for e in events.values())
-        kept = sorted((e for e in events.values() if e[1] >= latest - self.window_us), key=lambda e: (e[1], e[0]))
-        self.kept.put(kept)
-        classes = [e[3] for e in kept if e[3] is not None]
-        probabilities = [e[4] for e in kept if e[4] is not None]
-        hits = sum(c == POSITIVE for c in classes)
-        run = next((i for i, c in enumerate(reversed(classes)) if c != POSITIVE), len(classes))
-        yield pd.DataFrame([{
-            "process_key": key[0], "last_event_id": kept[-1][0], "us": latest, "events_in_window": len(kept), "classified_events_count": len(classes), "ransomware_encrypted_count": hits,
-            "ransomware_ratio": hits / len(classes) if classes else 0.0, "max_ransomware_probability": max(probabilities, default=0.0),
-            "avg_ransomware_probability": sum(probabilities) / len(probabilities) if probabilities else 0.0, "touched_files_unique": len({e[2] for e in kept if e[2] is not None}), "consecutive_ransomware_hits": run}])
-
-    def close(self) -> None:
-        pass
-
-
-def profiled(stream: DataFrame, window_us: int = 30_000_000) -> DataFrame:
-    """A profile of each process that a batch has events of, with score, threat level and response."""
-    kind = stream.schema["process_key"].dataType.simpleString()
-    schema = f"process_key {kind}, last_event_id string, us long, events_in_window long, classified_events_count long, ransomware_encrypted_count long, ransomware_ratio double, max_ransomware_probability double, avg_ransomware_probability double, touched_files_unique long, consecutive_ransomware_hits long"
-    found = stream.groupBy("process_key").transformWithStateInPandas(Profiler(window_us), schema, "Update", "None")
-    return profiles.respond(profiles.with_score(found))
-
-
-def write_latest(stream: DataFrame, path: str, checkpoint: str, **trigger):
-    """Appends every change to a Parquet log; profiles.latest() over it is the upserted table."""
-    def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("append").parquet(path)
-
-    return stream.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return keyed.transformWithStateInPandas(states.Deduplicator(window_us, expire), f"{_ddl(stream, 'event_id')}, is_duplicate boolean", "Append", "ProcessingTime" if expire else "None")
+
+
+def correlated(raw: DataFrame, scope: str | None = None, learn: bool = False) -> DataFrame:
+    """raw(seq, action, file_key or file_keys, file_path, ...) -> its used events with resolved_path, as events.correlate gives them.
+
+    scope: the column, a machine's name for instance, within which identifiers mean the same; its names are one
+    state. Without it each identifier is a state of its own, and events have one each (file_key).
+    Events without identifier go by the state.
+    """
+    carried = [c for c in raw.columns if c != "file_keys"]
+    if "file_keys" not in raw.columns:
+        raw = raw.withColumn("file_keys", F.array("file_key"))
+    elif scope is None:
+        raise ValueError("events with several identifiers need a scope")
+    has_key = F.exists(F.coalesce("file_keys", F.array().cast("array<string>")), lambda k: k.isNotNull())
+    keyless = raw.filter(~has_key & ~F.col("action").isin("name", "forget")).select(*carried, F.nullif("file_path", F.lit("")).alias("resolved_path"))
+    keyed = raw.filter(has_key).withColumn("file_keys", F.col("file_keys").cast("array<string>"))
+    found = keyed.groupBy(scope or "file_key").transformWithStateInPandas(states.FileNames(learn, carried), f"{_ddl(raw, *carried)}, resolved_path string", "Append", "None")
+    return found.unionByName(keyless)
+
+
+def prefiltered(stream: DataFrame, config: events.FilterConfig, late: str = "1 minute") -> DataFrame:
+    """events.prefilter over a stream: the decision chain as columns, activity as a keyed ring of times."""
+    decided = events.decided(stream, config)
+    carried = decided.columns
+    rated = timed(decided.withColumn("ranked", events.is_ranked()), late).groupBy("process_key").transformWithStateInPandas(
+        states.Activity(config.activity_us, carried), f"{_ddl(decided, *carried)}, activity long", "Append", "EventTime")
+    return events.prioritised(rated, config)
+
+
+def profiled(stream: DataFrame, window_us: int = 30_000_000, late: str = "1 minute") -> DataFrame:
+    """A profile of each process that a batch has events of, with score, threat level and response; and the EXPIRED profile, which isn't scored, of each that has been silent for a window."""
+    schema = (f"{_ddl(stream, 'process_key')}, last_event_id string, us long, window_start_us long, events_in_window long, classified_events_count long, benign_count long, benign_encrypted_count long, ransomware_encrypted_count long, ransomware_ratio double, "
+              "max_ransomware_probability double, avg_ransomware_probability double, touched_files long, touched_files_unique long, consecutive_ransomware_hits long, profile_status string")
+    found = timed(stream, late).groupBy("process_key").transformWithStateInPandas(states.Profiler(window_us), schema, "Append", "EventTime")
+    scored = profiles.with_score(found)
+    active = F.col("profile_status") == states.ACTIVE
+    scored = scored.withColumn("suspicion_score", F.when(active, F.col("suspicion_score")).otherwise(0)).withColumn("decision_reason", F.when(active, F.col("decision_reason")))
+    return profiles.respond(scored)
 
 
 def windowed_counts(stream: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Counts per event-time window and type; windows close when the watermark passes them."""
-    timed = stream.withColumn("t", F.timestamp_micros("us")).withWatermark("t", late)
-    return timed.groupBy(F.window("t", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "w.end", "event_type", "n")
+    return timed(stream, late).groupBy(F.window("t", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "w.end", "event_type", "n")
