@@ -267,3 +267,35 @@ def mlp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomline.operators import models
 
     return _trained(spark, sf_dir, lambda t: models.perceptron(t, 3))
+
+
+def _with_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset, and for every benign row a partly encrypted copy: another class, other byte statistics, the group of its parent."""
+    d = tables.dataset(spark, sf_dir).withColumn("is_augmented", F.lit(False))
+    copies = d.filter("gt_class = 'benign'").withColumns({"gt_class": F.lit("ransomware-encrypted"), "is_augmented": F.lit(True), "byte_chi2": F.col("byte_chi2") / 4, "size_bytes": F.col("size_bytes") + 512})
+    return d.unionByName(copies)
+
+
+def _boosted(spark: SparkSession, sf_dir: str, rounds: int, augmented: bool) -> DataFrame:
+    """Predictions for every row of a model that has learned from the training split's rows, with the validation split's (augmented) or without."""
+    from fathomline.operators import boosting
+
+    names = ["flag", "byte_chi2", "size_bytes", "n_chars"]
+    rows = sampling.grouped_split(_with_augmented(spark, sf_dir).withColumn("y", vectorise.encode_label(F.col("gt_class"))))
+    used = rows.filter("split <> 'test'") if augmented else rows.filter("split = 'train' AND NOT is_augmented")
+    weights = vectorise.class_weights(used.filter("split = 'train'")).select("gt_class", F.col("weight"))
+    used = used.join(F.broadcast(weights), "gt_class")  # three rows
+    params = boosting.Params(rounds=rounds, rate=0.3, leaves=8, bins=64, patience=3)
+    model = boosting.fit(used, names, "y", 3, params, F.col("weight"), F.col("split") == "valid", F.col("doc_id"))
+    found = boosting.predict(model, rows.select("doc_id", "is_augmented", "split", "y", *names))
+    return found.select("doc_id", "is_augmented", (F.col("split") == "test").alias("held_out"), "y", "y_pred", "s0", "s1", "s2")
+
+
+@query()
+def boosted_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boosted(spark, sf_dir, 10, True)
+
+
+@query()
+def boosted_no_aug_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boosted(spark, sf_dir, 6, False)

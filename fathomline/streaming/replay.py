@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,18 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fathomline.session import shared_folder
 from fathomline.streaming.pipelines import ROCKSDB
 from fathomline.streaming.sinks import UpsertTable
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; local sessions that name none get a temporary one, others an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='fathomline-')}/replay-{uuid.uuid4().hex}"
-
-
 def by_time(rows: DataFrame, parts: int, us: str = "us") -> Column:
     """The number of the part, of so many of equal time, that a row's time is in: rows of one time are in one part."""
     first, last = rows.agg(F.min(us), F.max(us)).first()
@@ -49,7 +41,7 @@ def _runs(rows: DataFrame, part: Column, parts: int, folder: str, start: Callabl
 
 def replayed(rows: DataFrame, part: Column, parts: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All that build(stream) returns over the parts of rows, appended. Each part is one run of the query, which ends, and starts again from its checkpoint for the next."""
-    folder = shared_folder(rows.sparkSession)
+    folder = f"{shared_folder(rows.sparkSession)}/replay-{uuid.uuid4().hex}"
     schemas = []
 
     def start(stream: DataFrame) -> StreamingQuery:
@@ -63,7 +55,7 @@ def replayed(rows: DataFrame, part: Column, parts: int, build: Callable[[DataFra
 
 def upserted(rows: DataFrame, part: Column, parts: int, build: Callable[[DataFrame], DataFrame], key: str, *version: str, fold_every: int = 2) -> DataFrame:
     """The latest row of each key of what build(stream) returns over the parts of rows, from an UpsertTable."""
-    folder = shared_folder(rows.sparkSession)
+    folder = f"{shared_folder(rows.sparkSession)}/replay-{uuid.uuid4().hex}"
     # the batch function runs in the stream's session: rows are read back in the caller's
     _runs(rows, part, parts, folder, lambda stream: UpsertTable(stream.sparkSession, f"{folder}/table", key, *version).start(build(stream), f"{folder}/checkpoint", fold_every))
     return UpsertTable(rows.sparkSession, f"{folder}/table", key, *version).read()
