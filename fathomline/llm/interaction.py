@@ -47,7 +47,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), *(c.alias(f) for f, c in conditions(text).items())))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # a table of its own, so that the join's sides are plain shuffles and a text with very many copies can be split
+    first = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     marks = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     marks = marks.filter("good OR toxic")
     no = F.lit(False)
