@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from .common import by_chunks, held_out, released, table, texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Letters of a unit: longer runs of letters are several units. So a unit has at most 1 + 4 * LETTERS bytes, and no probability vanishes.
-LETTERS = 16
+#: Letters of a unit: longer runs of letters are several units. So a unit has at most 1 + 4 * LETTERS bytes.
+LETTERS = 12
 ROUNDS = 2
-#: What a piece's probability in a language takes from its share in all languages, as a number of pieces, and from the uniform.
-BACKGROUND, UNIFORM = 200.0, 0.01
-#: A unit's probability is held times this for each byte, to stay far from zero.
-PER_BYTE = 256.0
+#: The share of a piece's probability in a language that comes from its share in all languages: what so many pieces would have beside the language's own, but LEAST_SHARE at least. UNIFORM of that is dealt evenly.
+BACKGROUND, LEAST_SHARE, UNIFORM = 200.0, 1e-3, 0.05
+#: A unit's probability is held times this for each byte. With the shares above no unit's number gets out of a double's range, however much is learned from.
+PER_BYTE = 4096.0
 #: Bytes of text handled at a time, numbers of a forward pass held at a time, distinct units remembered.
-BLOCK, CELLS, REMEMBERED = 4 << 20, 1 << 22, 200_000
+BLOCK, CELLS, REMEMBERED = 4 << 20, 1 << 20, 300_000
 #: Integer steps of an expected count.
 STEPS = 1 << 20
 
@@ -49,11 +49,11 @@ _BYTE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=n
 
 
 @functools.cache
-def unit_pattern() -> re.Pattern[str]:
-    """A letter and up to LETTERS - 1 letters or marks after it, as Unicode has them."""
+def unit_pattern(last: int) -> re.Pattern[str]:
+    """A letter and up to LETTERS - 1 letters or marks after it, as Unicode has them, for text without characters beyond last. Classes of few and low characters are the faster ones."""
 
     def ranges(kinds: str) -> str:
-        runs = groupby((c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds), key=lambda c, n=count(): c - next(n))
+        runs = groupby((c for c in range(last + 1) if unicodedata.category(chr(c))[0] in kinds), key=lambda c, n=count(): c - next(n))
         ends = [(x[0], x[-1]) for x in map(list, (r for _, r in runs))]
         return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends)
 
@@ -61,7 +61,9 @@ def unit_pattern() -> re.Pattern[str]:
 
 
 def units(text: str) -> list[str]:
-    return unit_pattern().findall(text.lower())
+    text = text.lower()
+    last = 0x7F if text.isascii() else 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
+    return unit_pattern(last).findall(text)
 
 
 class Known(dict):
@@ -83,12 +85,24 @@ class Known(dict):
 class Pieces:
     """The vocabulary's pieces by a hash of their bytes, as far as a unit can hold them."""
 
+    BITS = 18
+    MASK = np.uint64((1 << BITS) - 1)
+
     def __init__(self, tokens: list[bytes]):
         self.tokens = [t for t in tokens if len(t) <= 1 + 4 * LETTERS]
         self.longest = max(map(len, self.tokens))
         keys = np.array([self._key(t) for t in self.tokens], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], order.astype(np.int32)
+        # tables by some of a key's bits; keys that meet another one in a table are in the next
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        left = np.arange(len(keys))
+        while len(left):
+            shift = np.uint64(64 - self.BITS - 7 * len(self.tables))
+            slot = (keys[left] >> shift & self.MASK).astype(np.int64)
+            first = np.unique(slot, return_index=True)[1]
+            key, piece = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+            key[slot[first]], piece[slot[first]] = keys[left[first]], left[first]
+            self.tables.append((shift, key, piece))
+            left = np.delete(left, first)
 
     @staticmethod
     def _key(token: bytes) -> int:
@@ -102,8 +116,12 @@ class Pieces:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The piece of each hash, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        out = np.full(len(keys), -1, np.int32)
+        for shift, key, piece in self.tables:
+            slot = (keys >> shift & self.MASK).astype(np.int64)
+            same = key[slot] == keys
+            out[same] = piece[slot[same]]
+        return out
 
 
 @functools.cache
@@ -132,34 +150,34 @@ class Lattice:
                 if len(unit):
                     self.arcs.append((i, j, unit, found[unit]))
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """p (piece, language) -> the sum over segmentations of what is before each position (position, unit, language)."""
-        a = np.zeros((self.width + 1, self.n, p.shape[1]))
+    def forward(self, p: list[np.ndarray]) -> np.ndarray:
+        """p (the pieces' probabilities by arc: unit, or unit and language) -> the sum over segmentations of what is before each position (position, unit, ...)."""
+        a = np.zeros((self.width + 1, self.n, *p[0].shape[1:]))
         a[0] = 1
-        for i, j, unit, piece in self.arcs:
-            a[j, unit] += a[i, unit] * p[piece]
+        for (i, j, unit, _), q in zip(self.arcs, p, strict=True):
+            a[j, unit] += a[i, unit] * q
         return a
 
-    def backward(self, p: np.ndarray) -> np.ndarray:
+    def backward(self, p: list[np.ndarray]) -> np.ndarray:
         """The same of what is behind each position."""
-        b = np.zeros((self.width + 1, self.n, p.shape[1]))
+        b = np.zeros((self.width + 1, self.n, *p[0].shape[1:]))
         b[self.size, np.arange(self.n)] = 1
-        for i, j, unit, piece in reversed(self.arcs):
-            b[i, unit] += b[j, unit] * p[piece]
+        for (i, j, unit, _), q in zip(reversed(self.arcs), reversed(p), strict=True):
+            b[i, unit] += b[j, unit] * q
         return b
 
     def total(self, a: np.ndarray) -> np.ndarray:
-        """The sum over all segmentations of whole units (unit, language)."""
+        """The sum over all segmentations of whole units (unit, ...)."""
         return a[self.size, np.arange(self.n)]
 
-    def expected(self, p: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
-        """Adds each piece's expected count, over units of weight (unit, language), to into (piece, language)."""
-        a, b = self.forward(p), self.backward(p)
+    def expected(self, p: np.ndarray, lang: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
+        """Adds each piece's expected count to into (piece, language): each unit is of one language and so often there."""
+        by_arc = [p[piece, lang[unit]] for _, _, unit, piece in self.arcs]
+        a, b = self.forward(by_arc), self.backward(by_arc)
         w = weight / self.total(a)
-        for i, j, unit, piece in self.arcs:
-            share = a[i, unit] * p[piece] * b[j, unit] * w[unit]
-            for k in range(p.shape[1]):
-                into[:, k] += np.bincount(piece, share[:, k], len(into))
+        share = np.concatenate([a[i, unit] * q * b[j, unit] * w[unit] for (i, j, unit, _), q in zip(self.arcs, by_arc, strict=True)])
+        cell = np.concatenate([piece * into.shape[1] + lang[unit] for _, _, unit, piece in self.arcs])
+        into += np.bincount(cell, share, into.size).reshape(into.shape)
 
 
 def lattices(names: list[str], vocabulary: Pieces, langs: int) -> Iterator[tuple[np.ndarray, Lattice]]:
@@ -181,7 +199,8 @@ def log_likelihoods(names: list[str], p: np.ndarray, vocabulary: Pieces) -> np.n
     """The log probability of each unit in each language (unit, language). p is scaled."""
     out = np.zeros((len(names), p.shape[1]))
     for at, lattice in lattices(names, vocabulary, p.shape[1]):
-        out[at] = np.log(lattice.total(lattice.forward(p))) - lattice.size[:, None] * np.log(PER_BYTE)
+        z = lattice.total(lattice.forward([p[piece] for *_, piece in lattice.arcs]))
+        out[at] = np.log(z) - lattice.size[:, None] * np.log(PER_BYTE)
     return out
 
 
@@ -192,8 +211,10 @@ def expected_counts(batches: Iterable[pa.RecordBatch], langs: list[str], p: np.n
     known, weight = Known(), np.zeros((0, len(langs)))
 
     def spend() -> None:
-        for at, lattice in lattices(known.names, vocabulary, len(langs)):
-            lattice.expected(p, weight[at], into)
+        unit, lang = np.nonzero(weight)  # most units are of one language
+        times = weight[unit, lang]
+        for at, lattice in lattices([known.names[i] for i in unit], vocabulary, 1):
+            lattice.expected(p, lang[at], times[at], into)
 
     for batch in by_chunks(batches, "text", BLOCK):
         keys = [known.of(units(text)) * len(langs) + place[lang] for lang, text in zip(batch.column("lang").to_pylist(), texts(batch, "text"), strict=True)]
@@ -213,10 +234,13 @@ class Model(NamedTuple):
     path: str
 
 
-def _maximised(c: np.ndarray) -> np.ndarray:
-    """Probabilities from expected counts. Each language's counts get BACKGROUND pieces dealt as all languages' are, and those a share dealt evenly: no piece has probability zero."""
+def maximised(c: np.ndarray) -> np.ndarray:
+    """Probabilities (piece, language) from expected counts: no piece has probability zero."""
     pooled = (1 - UNIFORM) * c.sum(1) / max(c.sum(), 1) + UNIFORM / len(c)
-    return (c + BACKGROUND * pooled[:, None]) / (c.sum(0) + BACKGROUND)
+    n = c.sum(0)
+    share = np.maximum(BACKGROUND / (n + BACKGROUND), LEAST_SHARE)
+    p = (1 - share) * c / np.maximum(n, 1) + share * pooled[:, None]
+    return p / p.sum(0)
 
 
 def fit(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
@@ -227,7 +251,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
     size = len(pieces(path))
     p = np.full((size, len(langs)), 1 / size)
     for _ in range(rounds if langs else 0):
-        p = _maximised(_expected(rows, langs, p, path))
+        p = maximised(_expected(rows, langs, p, path))
     return Model(langs, np.log(n / max(n.sum(), 1)), p, path)
 
 

@@ -47,20 +47,26 @@ def test_forward_sums_all_segmentations(vocabulary, p):
 
 def test_expected_counts_by_all_segmentations(vocabulary, p):
     pieces = {t: i for i, t in enumerate(vocabulary.tokens)}
-    weight = np.random.default_rng(6).integers(0, 4, (len(UNITS), 3)).astype(float)
+    lang, weight = np.array([0, 1, 2, 2, 1, 0, 1, 0]), np.array([1.0, 2, 3, 1, 5, 1, 1, 2])
     expected = np.zeros_like(p)
-    for unit, w in zip(UNITS, weight, strict=True):
+    for unit, k, w in zip(UNITS, lang, weight, strict=True):
         every = list(segmentations(b" " + unit.encode(), pieces))
-        chance = np.array([np.prod(p[s], axis=0) for s in every])
-        for s, c in zip(every, chance / chance.sum(0), strict=True):
+        chance = np.array([np.prod(p[s, k]) for s in every])
+        for s, c in zip(every, chance / chance.sum(), strict=True):
             for piece, n in Counter(s).items():
-                expected[piece] += n * c * w
+                expected[piece, k] += n * c * w
     found = np.zeros_like(p)
-    for at, lattice in langid.lattices(UNITS, vocabulary, 3):
-        lattice.expected(langid.scaled(p, vocabulary), weight[at], found)
+    for at, lattice in langid.lattices(UNITS, vocabulary, 1):
+        lattice.expected(langid.scaled(p, vocabulary), lang[at], weight[at], found)
     np.testing.assert_allclose(found, expected, rtol=1e-8, atol=1e-12)
 
 
+def test_every_piece_is_found(vocabulary):
+    keys = np.array([vocabulary._key(t) for t in vocabulary.tokens], np.uint64)
+    assert (vocabulary.find(keys) == np.arange(len(keys))).all()
+    assert (vocabulary.find(keys + np.uint64(1)) == -1).all()
+
+
 def test_small_blocks_give_the_same(vocabulary, p, monkeypatch):
     whole = langid.log_likelihoods(UNITS, langid.scaled(p, vocabulary), vocabulary)
     monkeypatch.setattr(langid, "CELLS", 40)
@@ -68,11 +74,19 @@ def test_small_blocks_give_the_same(vocabulary, p, monkeypatch):
 
 
 def test_no_unit_vanishes(vocabulary):
-    """The least likely bytes, in the longest unit, still have a finite logarithm."""
-    least = np.full((len(vocabulary), 1), langid.UNIFORM / len(vocabulary) * langid.BACKGROUND / 1e15)
-    most = np.full((len(vocabulary), 1), 0.5)
-    for p in (least, most):
-        assert np.isfinite(langid.log_likelihoods(["\U00020000" * langid.LETTERS, "a" * langid.LETTERS], langid.scaled(p, vocabulary), vocabulary)).all()
+    """However much was learned: the least likely bytes in the longest unit, and the most likely pieces, have finite logarithms and counts."""
+    c = np.zeros((len(vocabulary), 2))
+    c[vocabulary.tokens.index(b" "), 0] = 1e15
+    c[vocabulary.tokens.index(b"a"), 1] = 1e15
+    p = langid.scaled(langid.maximised(c), vocabulary)
+    rare = ["\U00020000" * langid.LETTERS, "a" * langid.LETTERS, "z" * langid.LETTERS]
+    assert np.isfinite(langid.log_likelihoods(rare, p, vocabulary)).all()
+    into = np.zeros_like(p)
+    for at, lattice in langid.lattices(rare * 2, vocabulary, 1):
+        lattice.expected(p, np.array([0, 0, 0, 1, 1, 1])[at], np.ones(6)[at], into)
+    assert np.isfinite(into).all()
+    bytes_in = [len(t) for t in vocabulary.tokens]
+    assert (into * np.array(bytes_in)[:, None]).sum() == pytest.approx(2 * sum(1 + len(x.encode()) for x in rare))
 
 
 def test_units():
