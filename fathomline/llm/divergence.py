@@ -34,7 +34,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     A row is exploded once: its terms, then its distinct terms, told apart by their position.
     """
-    terms = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
+    text = F.coalesce("text", F.lit(""))
+    # the same for text of ASCII alone, and several times as fast
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    terms = F.regexp_extract_all(folded, F.lit(TERM), 0)
     listed = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), terms.alias("terms"))
     exploded = listed.select("lang", "source", F.size("terms").alias("size"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
     first = F.col("at") < F.col("size")
