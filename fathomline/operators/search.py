@@ -1,15 +1,16 @@
-"""Hyper-parameter search: seeded samples of settings, grouped cross-validation, one table of trials."""
+"""Hyper-parameter search: seeded samples of settings or a Parzen search, grouped cross-validation, one table of trials."""
 
 from __future__ import annotations
 
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.operators import evaluation, sampling
+from fathomline.operators import evaluation, parzen, sampling
 
 
 def random_settings(axes: dict[str, list], n: int, seed: int = 42) -> list[dict]:
@@ -36,17 +37,49 @@ def fold_scores(predicted: DataFrame) -> dict[str, float | None]:
     return out
 
 
-def cross_validate(rows: DataFrame, settings: list[dict], fit_predict: Callable[[DataFrame, DataFrame, dict], DataFrame], folds: int = 5) -> DataFrame:
+FitPredict = Callable[[DataFrame, DataFrame, dict], DataFrame]
+
+
+def _fold_rows(split: DataFrame, trial: int, setting: dict, fit_predict: FitPredict, folds: int) -> list[dict]:
+    out = []
+    for i in range(folds):
+        began = time.time()
+        train, test = (split.filter(F.col("split") != f"fold_{i}"), split.filter(F.col("split") == f"fold_{i}"))
+        scores = fold_scores(fit_predict(train, test, setting))
+        out.append({"trial": trial, "fold": i, "elapsed_seconds": time.time() - began} | setting | scores)
+    return out
+
+
+def in_folds(rows: DataFrame, folds: int) -> DataFrame:
+    return sampling.grouped_split(rows, {f"fold_{i}": 1 / folds for i in range(folds)}).persist()
+
+
+def cross_validate(rows: DataFrame, settings: list[dict], fit_predict: FitPredict, folds: int = 5) -> DataFrame:
     """A row per trial and fold: trial, fold, elapsed_seconds, the setting and its scores. rows: group_id, gt_class, ...; whole groups are in a fold. Fits are distributed; trials run one after another."""
-    split = sampling.grouped_split(rows, {f"fold_{i}": 1 / folds for i in range(folds)}).persist()
-    found = []
+    split = in_folds(rows, folds)
+    try:
+        found = [r for trial, setting in enumerate(settings, 1) for r in _fold_rows(split, trial, setting, fit_predict, folds)]
+    finally:
+        split.unpersist()
+    return rows.sparkSession.createDataFrame(found)
+
+
+def parzen_cross_validate(rows: DataFrame, space: dict, fit_predict: FitPredict, n: int = 150, folds: int = 5, score: str = "class_2_f1", batch: int = 4, seed: int = 42, startup: int = parzen.STARTUP) -> DataFrame:
+    """The table of cross_validate for n settings that a Parzen search chooses by the mean of a score over folds. The settings of a batch are fitted side by side."""
+    split = in_folds(rows, folds)
+    found: list[dict] = []
+
+    def evaluate(settings: list[dict]) -> list[float | None]:
+        first = len(found) // folds + 1
+        numbered = list(enumerate(settings, first))
+        with ThreadPoolExecutor(batch) as pool:
+            parts = list(pool.map(lambda x: _fold_rows(split, *x, fit_predict, folds), numbered))
+        for part in parts:
+            found.extend(part)
+        return [None if any(r[score] is None for r in part) else sum(r[score] for r in part) / folds for part in parts]
+
     try:
-        for trial, setting in enumerate(settings, 1):
-            for i in range(folds):
-                began = time.time()
-                train, test = (split.filter(F.col("split") != f"fold_{i}"), split.filter(F.col("split") == f"fold_{i}"))
-                scores = fold_scores(fit_predict(train, test, setting))
-                found.append({"trial": trial, "fold": i, "elapsed_seconds": time.time() - began} | setting | scores)
+        parzen.search(space, evaluate, n, batch, seed, startup)
     finally:
         split.unpersist()
     return rows.sparkSession.createDataFrame(found)

@@ -299,3 +299,28 @@ def boosted_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def boosted_no_aug_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boosted(spark, sf_dir, 6, False)
+
+
+def rule_scores(rows: DataFrame, settings: list[dict]) -> list[float | None]:
+    """The F1 of class 2 that each setting's decision rule has over all rows(y_true, s0, s1, s2): one job for all settings, which are few."""
+    cases = rows.sparkSession.createDataFrame([(i, s["kind"], float(s["by"]), float(s["least"])) for i, s in enumerate(settings)], "i int, kind string, by double, least double")
+    raised = F.when(F.col("kind") == "scale", F.col("s2") * F.col("by")).otherwise(F.col("s2") + F.col("by") - 1)
+    hit = (raised >= F.greatest("s0", "s1")) & (raised >= F.col("least"))
+    true = F.col("y_true") == 2
+    counts = rows.join(F.broadcast(cases)).groupBy("i").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit).alias("hits"), F.count_if(true).alias("n"))
+    f1 = {r["i"]: 2 * r["tp"] / (r["hits"] + r["n"]) if r["hits"] + r["n"] else 0.0 for r in counts.collect()}  # a row a setting
+    return [f1.get(i) for i in range(len(settings))]
+
+
+@query()
+def parzen_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trials of a search for the rule that tells class 2 best by the scored table's three scores."""
+    from fathomline.operators import parzen
+
+    rows = tables.scored(spark, sf_dir).persist()
+    try:
+        space = {"kind": parzen.Choice(("scale", "shift")), "by": parzen.Range(0.1, 10.0, log=True), "least": parzen.Range(-1.0, 1.0)}
+        found = parzen.search(space, lambda settings: rule_scores(rows, settings), 40, batch=5)
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(r["trial"], r["kind"], r["by"], r["least"], r["score"]) for r in found], "trial long, kind string, by double, least double, class_2_f1 double")
