@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.functions import naming
+from fathomline.operators import profiles
 
 # Numeric event ids and what they mean; temporary-file extensions and name marks.
 EVENT_IDS = {16: "modified", 26: "deleted", 27: "moved", 30: "created"}
@@ -116,10 +117,10 @@ def prefilter(events: DataFrame, config: FilterConfig) -> DataFrame:
     Events outside of the monitored folders, where any are named, are no input and left out. What is
     dropped or too large has low priority; passed and delete events have a high one if anything about
     them is unusual. Activity counts, per process and in the window up to the event's own time, only
-    events that pass or delete. One window, on process_key.
+    events that pass or delete. One shuffle, by process and span of time.
     """
-    recent = W.partitionBy("process_key").orderBy("us").rangeBetween(-config.activity_us, 0)
-    return prioritised(decided(events, config).withColumn("activity", F.count(F.when(is_ranked(), 1)).over(recent)), config)
+    rated = profiles.windowed_count(decided(events, config), "process_key", is_ranked(), config.activity_us, "activity")
+    return prioritised(rated, config)
 
 
 def stages(filtered: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Per-process sliding profiles, rule scores, threat levels and responses.
 
-Everything that a profile needs is computed over one window specification per partitioning, so one
-shuffle by process and one sort serve all measures.
+Everything that a profile needs is computed after one shuffle, by process and span of time, so that no
+task holds more of a busy process than a few windows.
 """
 
 from __future__ import annotations
@@ -37,34 +37,86 @@ def reason(condition: str) -> str:
     return condition.replace(" >= ", ">=").replace(" AND ", " and ")
 
 
+#: Windows that a span of time has: a span's events travel together, with those of the window before it.
+SPANS = 4
+SPAN, OWN, STEP, AT, END = "_span", "_own", "_step", "_at", "_end"
+
+
+def in_spans(events: DataFrame, window_us: int, spans: int = SPANS) -> DataFrame:
+    """events(us, ...) by spans of so many windows: SPAN is a span's start, and an event is also in the next span, not as its OWN, if it is in the window of that span's first moment. So a key's events can be dealt by (key, SPAN)."""
+    width = spans * window_us
+    start = F.col("us") - F.pmod(F.col("us"), F.lit(width))
+    after = start + width
+    spread = events.withColumn(SPAN, F.explode(F.when(F.col("us") >= after - window_us, F.array(start, after)).otherwise(F.array(start))))
+    return spread.withColumn(OWN, F.col(SPAN) == start)
+
+
+def stepped(spread: DataFrame, window_us: int) -> DataFrame:
+    """Each event as two steps of a sweep line: STEP 1 where it comes into windows, AT its time, and -1 where it is out of them, just after a window. Running sums of STEP by AT count the events of the window before each. END is the last moment of what the step ends: a window for -1."""
+    steps = spread.withColumn(STEP, F.explode(F.array(F.lit(1), F.lit(-1))))
+    out = F.when(F.col(STEP) == 1, 0).otherwise(window_us)
+    return steps.withColumn(END, F.col("us") + out).withColumn(AT, F.when(F.col(STEP) == 1, F.col("us")).otherwise(F.col("us") + window_us + 1))
+
+
+def windowed_count(events: DataFrame, key: str, what: Column, window_us: int, name: str) -> DataFrame:
+    """events with the number of those of their key, in the window up to their own time, of which what is true. One shuffle by key and span, one running sum."""
+    swept = stepped(in_spans(events.withColumn(name, F.coalesce(what, F.lit(False)).cast("long")), window_us), window_us)
+    upto = W.partitionBy(key, SPAN).orderBy(AT).rangeBetween(W.unboundedPreceding, W.currentRow)
+    found = swept.withColumn(name, F.sum(F.col(name) * F.col(STEP)).over(upto))
+    return found.filter((F.col(STEP) == 1) & F.col(OWN)).drop(SPAN, OWN, STEP, AT, END)
+
+
 def profiles(events: DataFrame, window_us: int = 30_000_000) -> DataFrame:
     """events(process_key, event_id, us, file_path, predicted_class, probability) with the profile of their process over the window up to their own time.
 
     A window holds every event at or after (time - window_us), those of the same time included.
-    consecutive_ransomware_hits is the run of positive classified events that ends here, as far as it
-    lies in the window; unclassified events neither end nor lengthen it. Ratios are 0 where nothing is
-    classified.
+    consecutive_ransomware_hits is the run of positive classified events that ends here, by time and
+    event_id, as far as it lies in the window; unclassified events neither end nor lengthen it.
+    Ratios are 0 where nothing is classified.
+
+    All measures are running sums over a sweep line, so an event costs the same however many its window
+    has: a file counts from an event that none of its own was a window before, to the end of a window
+    that none follows in; the largest and first of a window are those of its parts in two blocks of a
+    window's length. Events are dealt by process and span of time, and only one shuffle is needed.
     """
-    order = W.partitionBy("process_key").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    frame = W.partitionBy("process_key").orderBy("us").rangeBetween(-window_us, 0)
-    pred = F.col("predicted_class")
+    pred, path = F.col("predicted_class"), F.col("file_path")
     hit = F.when(pred == POSITIVE, 1).otherwise(0)
-    e = events.withColumn("_run", F.sum(F.when(pred.isNotNull() & (pred != POSITIVE), 1).otherwise(0)).over(order))
-    e = e.withColumn("_streak", F.sum(hit).over(W.partitionBy("process_key", "_run").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)))
-
-    def n(value: str) -> Column:
-        return F.count(F.when(pred == value, 1)).over(frame)
-
-    e = e.select(
-        "*", F.count("*").over(frame).alias("events_in_window"), F.count(pred).over(frame).alias("classified_events_count"), n("benign").alias("benign_count"),
-        n("benign-encrypted").alias("benign_encrypted_count"), n(POSITIVE).alias("ransomware_encrypted_count"),
-        F.coalesce(F.max("probability").over(frame), F.lit(0.0)).alias("max_ransomware_probability"), F.coalesce(F.avg("probability").over(frame), F.lit(0.0)).alias("avg_ransomware_probability"),
-        F.count("file_path").over(frame).alias("touched_files"), F.size(F.collect_set("file_path").over(frame)).cast("long").alias("touched_files_unique"),
-        F.min("us").over(frame).alias("first_us"))
+    of_path = W.partitionBy("process_key", SPAN, "file_path").orderBy("us", "event_id")
+    order = W.partitionBy("process_key", SPAN).orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    of_run = W.partitionBy("process_key", SPAN, "_run").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    e = in_spans(events, window_us).withColumns({"_before": F.lag("us").over(of_path), "_next": F.lead("us").over(of_path)})
+    e = e.withColumn("_run", F.sum(F.when(pred.isNotNull() & (pred != POSITIVE), 1).otherwise(0)).over(order))
+    e = stepped(e.withColumn("_streak", F.sum(hit).over(of_run)), window_us)
+
+    step, coming = F.col(STEP), F.col(STEP) == 1
+    far = lambda other, gap: F.col(other).isNull() | (gap > window_us)
+    file_step = F.when(path.isNull(), 0).when(coming, far("_before", F.col("us") - F.col("_before")).cast("int")).otherwise(-far("_next", F.col("_next") - F.col("us")).cast("int"))
+    by_row = W.partitionBy("process_key", SPAN).orderBy(AT, STEP, "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_time = W.partitionBy("process_key", SPAN).orderBy(AT).rangeBetween(W.unboundedPreceding, W.currentRow)
+    e = e.withColumn("_hits", F.sum(step * hit).over(by_row))
+
+    def n(condition: Column) -> Column:
+        return F.sum(F.when(condition, step).otherwise(0)).over(by_time)
+
+    e = e.withColumns({
+        "events_in_window": n(F.lit(True)), "classified_events_count": n(pred.isNotNull()), "benign_count": n(pred == "benign"), "benign_encrypted_count": n(pred == "benign-encrypted"), "ransomware_encrypted_count": n(pred == POSITIVE),
+        "touched_files": n(path.isNotNull()), "touched_files_unique": F.sum(file_step).over(by_time),
+        # sums of decimals, for what is added comes out again without a trace
+        "_rated": n(F.col("probability").isNotNull()), "_total": F.sum(F.col("probability").cast("decimal(20,18)") * step).over(by_time)})
+
+    # a window is a block's part up to here and the block before's from a window before: whose ends are not before here
+    block = F.col(END) - F.pmod(F.col(END), F.lit(window_us))
+    e = e.withColumn("_block", block)
+    here = W.partitionBy("process_key", SPAN, "_block").orderBy(END).rangeBetween(W.unboundedPreceding, W.currentRow)
+    back = W.partitionBy("process_key", SPAN, "_block").orderBy(F.desc(END)).rangeBetween(W.unboundedPreceding, W.currentRow)
+    both = lambda f, c: (f(F.when(coming, F.col(c))).over(here), f(F.when(~coming, F.col(c))).over(back))
+    e = e.withColumns({"_largest": F.greatest(*both(F.max, "probability")), "_first": F.least(*both(F.min, "us"))}).filter(coming & F.col(OWN))
     return e.select(
-        *[c for c in e.columns if c not in ("_run", "_streak", "first_us")], F.least("_streak", "ransomware_encrypted_count").alias("consecutive_ransomware_hits"),
+        *events.columns, *(F.col(c) for c in ("events_in_window", "classified_events_count", "benign_count", "benign_encrypted_count", "ransomware_encrypted_count")),
+        F.coalesce("_largest", F.lit(0.0)).alias("max_ransomware_probability"), F.when(F.col("_rated") > 0, F.col("_total").cast("double") / F.col("_rated")).otherwise(0.0).alias("avg_ransomware_probability"),
+        "touched_files", "touched_files_unique", F.least("_streak", "_hits").alias("consecutive_ransomware_hits"),
         F.when(F.col("classified_events_count") > 0, F.col("ransomware_encrypted_count") / F.col("classified_events_count")).otherwise(0.0).alias("ransomware_ratio"),
-        F.greatest("first_us", F.col("us") - window_us).alias("window_start_us"))
+        F.greatest("_first", F.col("us") - window_us).alias("window_start_us"))
 
 
 def with_score(profile: DataFrame) -> DataFrame:

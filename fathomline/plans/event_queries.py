@@ -91,9 +91,10 @@ prof AS (SELECT event_id, process_key, us, count(*) OVER w AS events_in_window,
   count(CASE WHEN predicted_class = 'ransomware-encrypted' THEN 1 END) OVER w AS ransomware_encrypted_count,
   coalesce(max(probability) OVER w, 0) AS max_ransomware_probability, coalesce(avg(probability) OVER w, 0) AS avg_ransomware_probability,
   count(file_path) OVER w AS touched_files, count(DISTINCT file_path) OVER w AS touched_files_unique, greatest(min(us) OVER w, us - 86400000000) AS window_start_us,
+  count(CASE WHEN predicted_class = 'ransomware-encrypted' THEN 1 END) OVER w - count(CASE WHEN predicted_class = 'ransomware-encrypted' THEN 1 END) OVER (PARTITION BY process_key, us ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hits_so_far,
   sum(CASE WHEN predicted_class = 'ransomware-encrypted' THEN 1 ELSE 0 END) OVER (PARTITION BY process_key, run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak
   FROM runs WINDOW w AS (PARTITION BY process_key ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
-profile AS (SELECT *, least(streak, ransomware_encrypted_count) AS consecutive_ransomware_hits, CASE WHEN classified_events_count > 0 THEN ransomware_encrypted_count / classified_events_count ELSE 0 END AS ransomware_ratio FROM prof)"""
+profile AS (SELECT *, least(streak, hits_so_far) AS consecutive_ransomware_hits, CASE WHEN classified_events_count > 0 THEN ransomware_encrypted_count / classified_events_count ELSE 0 END AS ransomware_ratio FROM prof)"""
 _SCORE = "profile_scored AS (SELECT *, least(100, " + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for p, c in profiles.RULES) + ")::INT AS suspicion_score FROM profile)"
 
 
