@@ -101,9 +101,21 @@ def pair_consistency(rows: DataFrame, strict: bool = True) -> DataFrame:
     return joined.agg(F.count("*").alias("pairs"), F.avg(F.coalesce(both, F.lit(0.0))).alias("pair_consistency"))
 
 
+def _ranged(t: DataFrame, order: str) -> DataFrame:
+    """t with the number of the range of order, by quantiles of a pass before, that each row is in; nulls are in the first."""
+    number = F.lit(0)
+    for c in sorted(set(t.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.005))):
+        number = number + F.when(F.col(order) > c, 1).otherwise(0)
+    return t.withColumn("_range", number)
+
+
 def running_best(trials: DataFrame, score: str) -> DataFrame:
-    """trials with best_so_far, by trial. A search's trials are few hundred rows."""
-    return trials.withColumn("best_so_far", F.max(score).over(W.orderBy("trial").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    """trials with best_so_far, by trial. Each range of trials has a running maximum of its own, and a small table the best of all ranges before."""
+    ranged = _ranged(trials, "trial")
+    totals = ranged.groupBy("_range").agg(F.max(score).alias("_best"))  # RANGES rows
+    before = totals.select("_range", F.max("_best").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_best"))
+    inside = F.max(score).over(W.partitionBy("_range").orderBy("trial").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(*trials.columns, F.greatest("_inside", "_best").alias("best_so_far"))
 
 
 def best_trial(trials: DataFrame, score: str) -> DataFrame:
@@ -119,13 +131,18 @@ def heatmap(trials: DataFrame, row: str, column: str, score: str, rows: list, co
     return joined.select(row, *(F.col(f"`{c}_mean`").alias(f"mean_{c}") for c in columns), *(F.coalesce(F.col(f"`{c}_n`"), F.lit(0)).cast("long").alias(f"n_{c}") for c in columns))
 
 
-def average_rank(value: str) -> Column:
-    return F.rank().over(W.orderBy(value)) + (F.count("*").over(W.partitionBy(value)) - 1) / 2.0
+def average_ranks(t: DataFrame, columns: list[str]) -> DataFrame:
+    """t with rank_<column> for each: a value's place in order, the mean of the places of equal ones. Distinct values are counted and summed range by range; nulls have no rank."""
+    for c in columns:
+        values = running(t.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_value")).agg(F.count("*").alias("_n")), [], "_value", {"_below": "_n"})
+        ranks = values.select(F.col("_value").alias(c), (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))
+        t = t.join(ranks, c, "left")
+    return t
 
 
 def spearman(trials: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, rho of each pair of columns: Pearson over average ranks."""
-    ranked = trials.select(*(average_rank(c).alias(c) for c in columns))
+    ranked = average_ranks(trials.select(*columns), columns).select(*(F.col(f"rank_{c}").alias(c) for c in columns))
     pairs = [(a, b) for a in columns for b in columns]
     one = ranked.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs)))

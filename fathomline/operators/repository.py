@@ -14,19 +14,38 @@ def _priority() -> Column:
     return F.when(F.col("event_priority") == "high", 3).when(F.col("event_priority") == "normal", 2).otherwise(1)
 
 
-def event_order(name: str) -> list[Column]:
-    """Total orders by name; an unknown name is timestamp_desc. Nulls are smallest."""
-    last = [F.col("us").desc(), F.col("event_id").desc()]
-    return {"ransomware_desc": [F.col("probability").desc_nulls_last(), *last], "priority_desc": [_priority().desc(), *last], "path_asc": [F.lower("file_path").asc_nulls_first(), *last]}.get(name, last)
+@dataclass(frozen=True)
+class Key:
+    """A value to sort by; null is the smallest."""
+
+    value: Column
+    descending: bool = False
+
+    @property
+    def column(self) -> Column:
+        return self.value.desc_nulls_last() if self.descending else self.value.asc_nulls_first()
+
+    def behind(self, bound: object) -> Column:
+        """Whether a row's value comes after one that a row had."""
+        if bound is None:
+            return F.lit(False) if self.descending else self.value.isNotNull()
+        return self.value.isNull() | (self.value < F.lit(bound)) if self.descending else F.coalesce(self.value > F.lit(bound), F.lit(False))
+
+
+def event_order(name: str) -> list[Key]:
+    """Total orders by name; an unknown name is timestamp_desc."""
+    last = [Key(F.col("us"), True), Key(F.col("event_id"), True)]
+    return {"ransomware_desc": [Key(F.col("probability"), True), *last], "priority_desc": [Key(_priority(), True), *last], "path_asc": [Key(F.lower("file_path")), *last]}.get(name, last)
 
 
-def process_order(name: str) -> list[Column]:
-    key = F.col("process_key").asc()
-    seen = F.col("last_seen").desc_nulls_last()
+def process_order(name: str) -> list[Key]:
+    key = Key(F.col("process_key"))
+    seen = Key(F.col("last_seen"), True)
+    by_name = Key(F.lower("process_name"))
     return {
-        "last_seen_desc": [seen, F.lower("process_name").asc_nulls_first(), key], "name_asc": [F.lower("process_name").asc_nulls_first(), seen, key],
-        "ransomware_desc": [F.col("ransomware_encrypted_count").desc(), F.col("max_ransomware_probability").desc(), seen, key],
-    }.get(name, [F.col("suspicion_score").desc(), seen, key])
+        "last_seen_desc": [seen, by_name, key], "name_asc": [by_name, seen, key],
+        "ransomware_desc": [Key(F.col("ransomware_encrypted_count"), True), Key(F.col("max_ransomware_probability"), True), seen, key],
+    }.get(name, [Key(F.col("suspicion_score"), True), seen, key])
 
 
 def matches(query: str | None, *columns: str) -> Column:
@@ -52,13 +71,72 @@ class Page:
     pages: int
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> Page:
-    """A page of a sorted table: sizes other than the known ones are 50, the number is clamped to what there is."""
-    size = size if size in PAGE_SIZES else DEFAULT_PAGE
-    total = df.count()
-    pages = max(1, -(-total // size))
-    number = min(max(1, number), pages)
-    return Page(df.orderBy(*order).offset((number - 1) * size).limit(size), total, number, pages)
+def behind(order: list[Key], bounds: list | tuple, itself: bool = False) -> Column:
+    """Whether a row comes after the one with these values of the order's keys; itself: or has the same."""
+    out = F.lit(itself)
+    for k, bound in zip(reversed(order), reversed(bounds), strict=True):
+        out = k.behind(bound) | k.value.eqNullSafe(F.lit(bound)) & out
+    return out
+
+
+class Pages:
+    """The pages of a sorted table, without sorting it.
+
+    One pass samples bounds of ranges of the order, a second counts the rows of each range; these
+    counts say in which range a page begins, and only rows from that range's bound on, up to the range
+    that the page ends in, are sorted. Both are made once for any number of pages. From a row on,
+    following() reads the next ones by its keys alone. The order has to be total.
+    """
+
+    #: Rows of a range, about; ranges at most.
+    ROWS, RANGES = 2_000, 128
+
+    def __init__(self, df: DataFrame, order: list[Key]):
+        self.df, self.order = df, order
+        self.total = df.count()
+        wanted = min(self.RANGES, self.total // self.ROWS)
+        self.bounds: list[tuple] = []
+        if wanted > 1:
+            keys = df.select(*(k.value.alias(str(i)) for i, k in enumerate(order)))
+            # some 20 rows a range, whatever the table's size
+            drawn = keys.sample(min(1.0, 20 * wanted / self.total), seed=1).orderBy(*(Key(F.col(str(i)), k.descending).column for i, k in enumerate(order))).limit(40 * wanted).collect()
+            self.bounds = list(dict.fromkeys(tuple(drawn[i * len(drawn) // wanted]) for i in range(1, wanted) if drawn))
+        number = sum((F.when(behind(order, b, itself=True), 1).otherwise(0) for b in self.bounds), F.lit(0))
+        counts = {r["r"]: r["count"] for r in df.groupBy(number.alias("r")).count().collect()} if self.bounds else {0: self.total}  # a row a range
+        self.sizes = [counts.get(r, 0) for r in range(len(self.bounds) + 1)]
+
+    def rows(self, start: int, size: int) -> DataFrame:
+        """The rows at places start to start + size - 1 of the order."""
+        first = before = 0
+        while first < len(self.sizes) - 1 and before + self.sizes[first] <= start:
+            before += self.sizes[first]
+            first += 1
+        last, upto = first, before + self.sizes[first]
+        while last < len(self.sizes) - 1 and upto < start + size:
+            last += 1
+            upto += self.sizes[last]
+        df = self.df
+        if first:
+            df = df.filter(behind(self.order, self.bounds[first - 1], itself=True))
+        if last < len(self.bounds):
+            df = df.filter(~behind(self.order, self.bounds[last], itself=True))
+        return df.orderBy(*(k.column for k in self.order)).offset(start - before).limit(size)
+
+    def page(self, number: int, size: int) -> Page:
+        """Sizes other than the known ones are 50, the number is clamped to what there is."""
+        size = size if size in PAGE_SIZES else DEFAULT_PAGE
+        pages = max(1, -(-self.total // size))
+        number = min(max(1, number), pages)
+        return Page(self.rows((number - 1) * size, size), self.total, number, pages)
+
+    def following(self, bounds: list | tuple, size: int) -> DataFrame:
+        """The next rows after the one with these values of the order's keys."""
+        return self.df.filter(behind(self.order, bounds)).orderBy(*(k.column for k in self.order)).limit(size)
+
+
+def page(df: DataFrame, order: list[Key], number: int, size: int) -> Page:
+    """One page of a sorted table; who turns pages keeps the Pages."""
+    return Pages(df, order).page(number, size)
 
 
 def distinct_values(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:

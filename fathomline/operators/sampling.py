@@ -59,9 +59,51 @@ def assign_groups(counts: dict[str, dict[str, int]], ratios: dict[str, float]) -
     return placed
 
 
+#: Groups that the greedy rule takes, one after the other, on the driver; more are apportioned.
+MOST_GREEDY = 10_000
+#: Groups of a hash range, about; bits of a group's hash.
+RANGE_GROUPS, HASH_BITS = 1024, 44
+
+
+def apportioned(rows: DataFrame, ratios: dict[str, float] | None = None) -> DataFrame:
+    """group_id and split of rows(group_id, gt_class, ...), any number of groups, without looking at one after the other.
+
+    Groups of one signature, the classes that they have, are alike; a signature's groups are cut into
+    ranges of their hash, and each range is dealt out by hash: one group to each split, then the
+    splits' shares of the rest, what is left going to the largest remainders (the first split at
+    a tie). Ranges with fewer groups than splits are dealt out together, round the splits from the last
+    to the first, by signature and hash. Only small numbers of groups, not groups, have a table for
+    all ranges. Ratios count in thousandths.
+    """
+    ratios = ratios or RATIOS
+    names, s = list(ratios), len(ratios)
+    per_group = rows.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("gt_class")), ",").alias("signature"))
+    h = F.conv(F.substring(F.md5("group_id"), 1, HASH_BITS // 4), 16, 10).cast("long")
+    hashed = per_group.withColumn("h", h)
+    of_signature = hashed.groupBy("signature").agg(F.greatest(F.lit(1), F.expr(f"count(*) div {RANGE_GROUPS}")).alias("ranges"))  # a row a signature
+    ranged = hashed.join(of_signature, "signature").withColumn("range", F.shiftright(F.col("h") * F.col("ranges"), HASH_BITS))
+    part = W.partitionBy("signature", "range")
+    placed = ranged.withColumn("n", F.count("*").over(part)).withColumn("place", F.row_number().over(part.orderBy("h", "group_id")))
+
+    spark = rows.sparkSession
+    shares = spark.createDataFrame([(i, name, round(1000 * r)) for i, (name, r) in enumerate(ratios.items())], "i int, split string, share long")
+    sizes = placed.filter(F.col("n") >= s).select("n").distinct()  # some 2 * RANGE_GROUPS values at most
+    of_size = W.partitionBy("n")
+    dealt = sizes.join(F.broadcast(shares)).withColumn("rest", (F.col("n") - s) * F.col("share"))
+    dealt = dealt.withColumn("floor", F.expr("rest div 1000")).withColumn("left", F.col("n") - s - F.sum("floor").over(of_size))
+    dealt = dealt.withColumn("got", 1 + F.col("floor") + (F.row_number().over(of_size.orderBy(F.desc(F.col("rest") % 1000), "i")) <= F.col("left")).cast("int"))
+    dealt = dealt.withColumn("upto", F.sum("got").over(of_size.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow))).select("n", "split", (F.col("upto") - F.col("got")).alias("after"), "upto")
+    many = placed.join(F.broadcast(dealt), "n").filter((F.col("place") > F.col("after")) & (F.col("place") <= F.col("upto")))
+    few = placed.filter(F.col("n") < s).withColumn("at", F.row_number().over(W.orderBy("signature", "h", "group_id")) - 1)  # fewer than splits a range
+    turn = F.get(F.array(*(F.lit(x) for x in reversed(names))), F.col("at") % s)
+    return many.select("group_id", "split").unionByName(few.select("group_id", turn.alias("split")))
+
+
 def grouped_split(rows: DataFrame, ratios: dict[str, float] | None = None) -> DataFrame:
-    """rows(group_id, gt_class, ...) with their split. Only group and class counts reach the driver; rows meet their group's split in a join."""
+    """rows(group_id, gt_class, ...) with their split. Up to MOST_GREEDY groups are placed by the greedy rule from their counts; more are apportioned, and none of them reaches the driver."""
     ratios = ratios or RATIOS
+    if rows.select("group_id").distinct().limit(MOST_GREEDY + 1).count() > MOST_GREEDY:
+        return rows.join(apportioned(rows, ratios), "group_id")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in rows.groupBy("group_id", "gt_class").count().collect():
         counts[r["group_id"]][r["gt_class"]] = r["count"]

@@ -170,6 +170,19 @@ def repo_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.page(tables.file_events(spark, sf_dir), repository.event_order("timestamp_desc"), 2, 25).items.select("event_id", "us", "file_path")
 
 
+@query(f"WITH {tables.FILE_EVENTS_SQL}, n AS (SELECT count(*) AS n FROM events) SELECT event_id, us, file_path FROM file_events ORDER BY lower(file_path) NULLS FIRST, us DESC, event_id DESC LIMIT 100 OFFSET (SELECT (greatest(1, (n + 99) // 100) - 1) * 100 FROM n)")
+def repo_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.Pages(tables.file_events(spark, sf_dir), repository.event_order("path_asc")).page(2**31, 100).items.select("event_id", "us", "file_path")
+
+
+@query(f"WITH {tables.FILE_EVENTS_SQL} SELECT event_id, us FROM file_events ORDER BY us DESC, event_id DESC LIMIT 50 OFFSET 75")
+def repo_following(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that follow the third page of 25, by that page's last row alone."""
+    pages = repository.Pages(tables.file_events(spark, sf_dir), repository.event_order("timestamp_desc"))
+    last = min(pages.page(3, 25).items.select("us", "event_id").collect())
+    return pages.following([last["us"], last["event_id"]], 50).select("event_id", "us")
+
+
 @query(f"WITH {_DECIDED} SELECT event_id, event_priority FROM filtered ORDER BY CASE event_priority WHEN 'high' THEN 3 WHEN 'normal' THEN 2 ELSE 1 END DESC, us DESC, event_id DESC LIMIT 100")
 def repo_sort_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.page(_stored(spark, sf_dir), repository.event_order("priority_desc"), 1, 100).items.select("event_id", "event_priority")

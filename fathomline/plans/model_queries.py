@@ -86,17 +86,17 @@ def algorithm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.algorithm_plan(d, "doc_id", sampling.largest_remainder(d.count(), ALGORITHM_QUOTAS), SEED)
 
 
-@query(_D + " SELECT doc_id, pair_id FROM dataset d WHERE gt_class IN ('benign', 'benign-encrypted') AND NOT EXISTS (SELECT 1 FROM dataset x WHERE x.gt_class = 'ransomware-encrypted' AND x.doc_id % 2 = 0 AND trim(x.pair_id) = d.pair_id)")
+@query(_D + ", d AS (SELECT doc_id, gt_class, pair_id || '-' || (n_chars // 100) AS pair_id FROM dataset) SELECT doc_id, pair_id FROM d WHERE gt_class IN ('benign', 'benign-encrypted') AND NOT EXISTS (SELECT 1 FROM d x WHERE x.gt_class = 'ransomware-encrypted' AND trim(x.pair_id) = d.pair_id)")
 def independent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.dataset(spark, sf_dir)
-    used = d.filter((F.col("gt_class") == "ransomware-encrypted") & (F.col("doc_id") % 2 == 0)).select(F.trim("pair_id").alias("pair_id")).filter("pair_id <> ''").distinct()
+    d = tables.dataset(spark, sf_dir).withColumn("pair_id", F.concat_ws("-", "pair_id", F.expr("n_chars div 100").cast("string")))
+    used = d.filter(F.col("gt_class") == "ransomware-encrypted").select(F.trim("pair_id").alias("pair_id")).filter("pair_id <> ''").distinct()
     return d.filter(F.col("gt_class").isin("benign", "benign-encrypted")).join(used, "pair_id", "left_anti").select("doc_id", "pair_id")
 
 
-@query(_D + ", target AS (SELECT doc_id, gt_class, pair_id FROM dataset), aug AS (SELECT doc_id, 'ransomware-encrypted' AS gt_class, 'header-only' AS aug_encryption FROM dataset WHERE doc_id % 10 = 0) SELECT * FROM target UNION ALL BY NAME SELECT * FROM aug")
+@query(_D + ", target AS (SELECT doc_id, gt_class, pair_id FROM dataset), aug AS (SELECT doc_id, 'ransomware-encrypted' AS gt_class, 'header-only' AS aug_encryption FROM dataset WHERE gt_class = 'benign') SELECT * FROM target UNION ALL BY NAME SELECT * FROM aug")
 def merge_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.dataset(spark, sf_dir)
-    aug = d.filter("doc_id % 10 = 0").select("doc_id", F.lit("ransomware-encrypted").alias("gt_class"), F.lit("header-only").alias("aug_encryption"))
+    aug = d.filter("gt_class = 'benign'").select("doc_id", F.lit("ransomware-encrypted").alias("gt_class"), F.lit("header-only").alias("aug_encryption"))
     return d.select("doc_id", "gt_class", "pair_id").unionByName(aug, allowMissingColumns=True)
 
 
@@ -117,18 +117,42 @@ def numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", vectorise.to_number(_texts()).alias("value"))
 
 
-@query(_D + ", train AS (SELECT * FROM dataset WHERE doc_id % 5 <> 0) SELECT coalesce(median(byte_chi2), 0.0) AS byte_chi2, coalesce(median(size_bytes), 0.0) AS size_bytes, count(CASE WHEN flag THEN 1 END) > count(CASE WHEN NOT flag THEN 1 END) AS flag FROM train")
+#: The split of sampling.apportioned over documents' sources and languages.
+_APPORTIONED = _D + """, g AS (SELECT pair_id, string_agg(DISTINCT gt_class, ',' ORDER BY gt_class) AS signature, ('0x' || substr(md5(pair_id), 1, 11))::BIGINT AS h FROM dataset GROUP BY pair_id),
+r AS (SELECT *, ((h::HUGEINT * greatest(1, count(*) OVER (PARTITION BY signature) // 1024)) >> 44)::BIGINT AS part FROM g),
+placed AS (SELECT *, count(*) OVER (PARTITION BY signature, part) AS n, row_number() OVER (PARTITION BY signature, part ORDER BY h, pair_id) AS place FROM r),
+shares AS (SELECT * FROM (VALUES (0, 'train', 700), (1, 'valid', 150), (2, 'test', 150)) t(i, split, share)),
+floors AS (SELECT n, i, split, (n - 3) * share % 1000 AS rest, (n - 3) * share // 1000 AS floor FROM (SELECT DISTINCT n FROM placed WHERE n >= 3), shares),
+got AS (SELECT n, i, split, 1 + floor + CASE WHEN row_number() OVER (PARTITION BY n ORDER BY rest DESC, i) <= n - 3 - sum(floor) OVER (PARTITION BY n) THEN 1 ELSE 0 END AS got FROM floors),
+ends AS (SELECT n, split, got, sum(got) OVER (PARTITION BY n ORDER BY i) AS upto FROM got),
+few AS (SELECT pair_id, (['test', 'valid', 'train'])[(row_number() OVER (ORDER BY signature, h, pair_id) - 1) % 3 + 1] AS split FROM placed WHERE n < 3),
+splits AS (SELECT pair_id, split FROM placed JOIN ends USING (n) WHERE place > upto - got AND place <= upto UNION ALL SELECT pair_id, split FROM few)"""
+
+
+@query(_APPORTIONED + " SELECT doc_id, pair_id, split FROM dataset JOIN splits USING (pair_id)")
+def apportioned_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).select("doc_id", "pair_id", "split")
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset with the split of each row's source and language."""
+    d = tables.dataset(spark, sf_dir)
+    groups = sampling.apportioned(d.select(F.col("pair_id").alias("group_id"), "gt_class"))
+    return d.join(groups.withColumnRenamed("group_id", "pair_id"), "pair_id")
+
+
+@query(_APPORTIONED + ", train AS (SELECT * FROM dataset JOIN splits USING (pair_id) WHERE split = 'train') SELECT coalesce(median(byte_chi2), 0.0) AS byte_chi2, coalesce(median(size_bytes), 0.0) AS size_bytes, count(CASE WHEN flag THEN 1 END) > count(CASE WHEN NOT flag THEN 1 END) AS flag FROM train")
 def fill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectorise.fit(tables.dataset(spark, sf_dir).filter("doc_id % 5 <> 0"), ["flag"], ["byte_chi2", "size_bytes"], ["byte_chi2", "size_bytes"])
+    v = vectorise.fit(_split(spark, sf_dir).filter("split = 'train'"), ["flag"], ["byte_chi2", "size_bytes"], ["byte_chi2", "size_bytes"])
     return spark.createDataFrame([(v.numbers["byte_chi2"], v.numbers["size_bytes"], v.booleans["flag"])], "byte_chi2 double, size_bytes double, flag boolean")
 
 
-@query(_D + """, train AS (SELECT * FROM dataset WHERE doc_id % 5 <> 0), f AS (SELECT median(byte_chi2) AS mc, median(size_bytes) AS ms, count(CASE WHEN flag THEN 1 END) > count(CASE WHEN NOT flag THEN 1 END) AS mf FROM train),
+@query(_APPORTIONED + """, train AS (SELECT * FROM dataset JOIN splits USING (pair_id) WHERE split = 'train'), f AS (SELECT median(byte_chi2) AS mc, median(size_bytes) AS ms, count(CASE WHEN flag THEN 1 END) > count(CASE WHEN NOT flag THEN 1 END) AS mf FROM train),
 m AS (SELECT avg(ln(1 + greatest(coalesce(byte_chi2, mc), 0))) AS uc, stddev_pop(ln(1 + greatest(coalesce(byte_chi2, mc), 0))) AS sc, avg(coalesce(size_bytes, ms)) AS us, stddev_pop(coalesce(size_bytes, ms)) AS ss FROM train, f)
 SELECT doc_id, coalesce(flag, mf)::INT AS flag, round(((ln(1 + greatest(coalesce(byte_chi2, mc), 0)) - uc) / sc)::FLOAT::DOUBLE, 4) + 0.0 AS byte_chi2, round(((coalesce(size_bytes, ms) - us) / ss)::FLOAT::DOUBLE, 4) + 0.0 AS size_bytes FROM dataset, f, m""")
 def vectorize_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.dataset(spark, sf_dir)
-    v = vectorise.fit(d.filter("doc_id % 5 <> 0"), ["flag"], ["byte_chi2", "size_bytes"], ["byte_chi2", "size_bytes"])
+    d = _split(spark, sf_dir)
+    v = vectorise.fit(d.filter("split = 'train'"), ["flag"], ["byte_chi2", "size_bytes"], ["byte_chi2", "size_bytes"])
     out = v.transform(d)
     return out.select("doc_id", F.col("flag").cast("int").alias("flag"), *((F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("byte_chi2", "size_bytes")))
 

@@ -122,9 +122,9 @@ def test_replay(spark, tmp_path):
 
 
 def test_pages_are_clamped(spark):
-    p = repository.page(spark.range(26), [F.col("id")], 9, 25)
+    p = repository.page(spark.range(26), [repository.Key(F.col("id"))], 9, 25)
     assert (p.total, p.page, p.pages, p.items.count()) == (26, 2, 2, 1)
-    assert repository.page(spark.range(0), [F.col("id")], 3, 7).pages == 1
+    assert repository.page(spark.range(0), [repository.Key(F.col("id"))], 3, 7).pages == 1
 
 
 def test_search_takes_wildcards_literally(spark):
