@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, small_side, table
 
 LEAST_WORDS, DISTINCT_SHARE, UPPER_SHARE, SYMBOLS = 100, 80, 10, r"[#$%&*|]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,12 +47,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), *(c.alias(f) for f, c in conditions(text).items())))
-    # a table of its own, so that the join's sides are plain shuffles and a text with very many copies can be split
+    # a table of its own: broadcast if it is counted to be small, else the join's sides are plain shuffles and a text with very many copies can be split
     first = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     marks = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     marks = marks.filter("good OR toxic")
     no = F.lit(False)
-    joined = rows.join(first, "digest", "left").join(marks, "doc_id", "left")
+    joined = rows.join(small_side(first), "digest", "left").join(marks, "doc_id", "left")
     return joined.select("part", "A", "B", "C", "D", F.coalesce(F.col("doc_id") > F.col("first"), no).alias("E"), F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
 
 
