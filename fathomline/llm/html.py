@@ -6,7 +6,12 @@ starts, where they dive to nothing it ends, and of all stretches the one with th
 article's. So it goes on every page. Tags only weigh: lines inside menus, footers, adverts, forms and
 the like weigh nothing and are left out; in an article or main element link text counts as text and
 lines weigh ARTICLE_WEIGHT times as much, so that short ones don't end a stretch; and where such an
-element begins or ends there are blank lines, so that cards beside an article are other stretches.
+element begins or ends there are blank lines, so that cards beside an article, or beside each other,
+are other stretches.
+
+Classes say less than elements do: only block elements are judged by them, by whole names or their last
+part (`site-footer`, not `footer-note` or `has-sidebar`), a main element never; and if what they
+mark as layout holds a far heavier stretch than all the rest, it was the article.
 
 The stretch also says which container is the article's. All from the first to the last stretch inside
 that is kept, headings just before, and at both ends what stands right beside its paragraphs: lines
@@ -31,12 +36,19 @@ from .common import table
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas select option datalist textarea button audio video map".split())
 #: Elements that hold something else than the article.
 ASIDE = frozenset("nav header footer aside form dialog menu fieldset label input".split())
-#: Words in class, id or role that say the same of any element.
-ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb
-breadcrumbs sidebar side-bar aside header masthead footer foot copyright cookie cookies consent gdpr notice notices notification alert popup modal overlay
-newsletter subscribe subscription signup login share sharing social related recommended comment comments comment-list disqus reply replies respond
+#: Names in class, id or role of what never is the article, whatever its length.
+FOREIGN_WORDS = frozenset("""ad ads advert adverts advertisement adsbygoogle sponsor sponsored cookie cookies consent gdpr newsletter
+comment comments comment-list disqus reply replies respond popup modal""".split())
+#: Names of layout, which may be told of the article's own container by mistake.
+LAYOUT_WORDS = frozenset("""banner promo promotion nav navbar navigation menu breadcrumb
+breadcrumbs sidebar side-bar aside header masthead footer foot copyright notice notices notification alert overlay
+subscribe subscription signup login share sharing social related recommended
 pagination pager widget toolbar search contentinfo complementary search-form skip-link""".split())
 OWN_IN_ARTICLE = frozenset(["header", "masthead"])
+#: First parts of names that tell of something else in the page, and last parts that only say where.
+OF_OTHERS, WHERE = frozenset("has no with without is not show hide under above below after before".split()), frozenset("left right top bottom main primary secondary global wrapper wrap container inner outer area box block section list form bar".split())
+#: A layout container's stretch of so many characters, and so many times the best of the rest, is the article.
+LONG_MARKED, FAR_HEAVIER = 300, 5
 #: Elements that end a line.
 BLOCK = frozenset("""address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
 hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend""".split())
@@ -62,19 +74,36 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?tru
 _SPACE = re.compile(r"\s+")
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something else than the article. Inside one, a header is the article's own."""
+NOT, LAYOUT, FOREIGN = 0, 1, 2
+
+
+def _named(token: str) -> set[str]:
+    """The names that a class's token goes by: itself, and its last part that says what it is, unless its first part tells of others."""
+    parts = [x for x in re.split(r"[-_:]+", token) if x]
+    if len(parts) < 2 or parts[0] in OF_OTHERS:
+        return {token}
+    while len(parts) > 1 and (parts[-1] in WHERE or parts[-1].isdigit()):
+        parts.pop()
+    return {token, parts[-1]}
+
+
+def _is_aside(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element holds something else than the article, by its name (FOREIGN) or by its class (which may be of LAYOUT). Inside one, a header is the article's own."""
     if name in ASIDE:
-        return not (in_article and name == "header")
+        return NOT if in_article and name == "header" else FOREIGN
     if not attributes:
-        return False
-    words = ASIDE_WORDS - OWN_IN_ARTICLE if in_article else ASIDE_WORDS
-    for m in _MARK.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        for word in value.split():
-            if word in words or any(part in words for part in re.split(r"[-_:]+", word)):
-                return True
-    return bool(_HIDDEN.search(attributes))
+        return NOT
+    found = NOT
+    if name in BLOCK and name != "main":
+        layout = LAYOUT_WORDS - OWN_IN_ARTICLE if in_article else LAYOUT_WORDS
+        for m in _MARK.finditer(attributes):
+            for token in (m[1] or m[2] or m[3] or "").lower().split():
+                names = _named(token)
+                if names & FOREIGN_WORDS:
+                    return FOREIGN
+                if names & layout:
+                    found = LAYOUT
+    return FOREIGN if _HIDDEN.search(attributes) else found
 
 
 def _decode(text: str) -> str:
@@ -84,8 +113,8 @@ def _decode(text: str) -> str:
 class Line(NamedTuple):
     text: str
     linked: int  # characters in links
-    content: bool
-    named: bool  # in an article element
+    aside: int  # NOT, or the strongest of what is around it
+    named: int  # number of the article element that it is in; 0: none
     container: int  # number of the block element around the one that it is the text of; 0: none
     heading: bool
 
@@ -122,8 +151,10 @@ def lines(page: str) -> tuple[list[Line], Containers]:
     containers = Containers()
     pieces: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool, bool, int]] = []  # name, makes aside, makes article, number of the innermost block element
-    aside = article = links = headings = 0
+    open_: list[tuple[str, int, bool, int]] = []  # name, makes aside, makes article, number of the innermost block element
+    aside = [0, 0, 0]  # open elements of each kind
+    articles: list[int] = []  # numbers of the open ones
+    links = headings = 0
     unmatched: Counter = Counter()  # open elements by name
     unclosed: set[str] = set()  # silent elements that no end tag follows any more
 
@@ -133,15 +164,17 @@ def lines(page: str) -> tuple[list[Line], Containers]:
             text = _SPACE.sub(" ", _decode("".join(pieces))).strip()
             if text:
                 container = containers.around[open_[-1][3]] if open_ else 0
-                found.append(Line(text, min(linked, len(text)), not aside, article > 0, container, headings > 0))
+                kind = FOREIGN if aside[FOREIGN] else LAYOUT if aside[LAYOUT] else NOT
+                found.append(Line(text, min(linked, len(text)), kind, articles[-1] if articles else 0, container, headings > 0))
             pieces.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal aside, article, links, headings
+        nonlocal links, headings
         name, a, b, number = open_.pop()
-        aside -= a
-        article -= b
+        aside[a] -= 1
+        if b:
+            articles.pop()
         links -= name == "a"
         headings -= name in HEADING
         unmatched[name] -= 1
@@ -182,7 +215,7 @@ def lines(page: str) -> tuple[list[Line], Containers]:
                 else:
                     unclosed.add(name)
             continue
-        makes_aside, makes_article = name not in ("html", "body") and _is_aside(name, attributes, article > 0), name in ARTICLE
+        makes_aside, makes_article = NOT if name in ("html", "body") else _is_aside(name, attributes, bool(articles)), name in ARTICLE
         if block or makes_aside:
             close_line()
         if name in VOID or attributes.endswith("/"):
@@ -198,8 +231,9 @@ def lines(page: str) -> tuple[list[Line], Containers]:
                     break
         number = open_[-1][3] if open_ else 0
         open_.append((name, makes_aside, makes_article, containers.opened(number) if name in CONTAINER else number))
-        aside += makes_aside
-        article += makes_article
+        aside[makes_aside] += 1
+        if makes_article:
+            articles.append(open_[-1][3])
         links += name == "a"
         headings += name in HEADING
         unmatched[name] += 1
@@ -222,17 +256,24 @@ def stretches(weights: np.ndarray, least: int, gap: int) -> list[tuple[int, int]
     return found
 
 
-def region(found: list[Line], containers: Containers) -> tuple[int, int]:
-    """First and end of the article among the content lines of a page."""
-    named = np.array([line.named for line in found], bool)
+class Region(NamedTuple):
+    first: int
+    end: int
+    size: int  # characters of the heaviest stretch
+
+
+def region(found: list[Line], containers: Containers) -> Region:
+    """First and end of the article among the lines of a page."""
+    named = np.array([line.named for line in found], np.int64)
     size = np.array([len(line.text) - (0 if line.named else line.linked) for line in found], np.int64)
-    place = np.arange(len(found)) + BREAK * np.cumsum(np.diff(named, prepend=named[:1]))  # of each line among the blank ones
+    place = np.arange(len(found)) + BREAK * np.cumsum(np.diff(named, prepend=named[:1]) != 0)  # of each line among the blank ones
     weights = np.zeros(len(found) and int(place[-1]) + 1, np.int64)
-    weights[place] = size * np.where(named, ARTICLE_WEIGHT, 1)
+    weights[place] = size * np.where(named > 0, ARTICLE_WEIGHT, 1)
     apart = [tuple(np.searchsorted(place, x).tolist()) for x in stretches(weights, LEAST_LINE, GAP_LINES)]
     if not apart:
-        return 0, 0
-    a, b = max(apart, key=lambda x: int(size[x[0]:x[1]].sum()))
+        return Region(0, 0, 0)
+    heavy = lambda x: int(size[x[0]:x[1]].sum())
+    a, b = max(apart, key=heavy)
     article = containers.common([line.container for line in found[a:b]])
     within = [line.named == found[a].named and containers.holds(article, line.container) for line in found]
     inside = [(c, d) for c, d in apart if any(within[c:d])]
@@ -241,17 +282,22 @@ def region(found: list[Line], containers: Containers) -> tuple[int, int]:
         first -= 1
     while end < len(found) and within[end] and article and found[end].container == article:
         end += 1
-    return first, end
+    return Region(first, end, heavy((a, b)))
 
 
 def extract(page: str | None) -> str:
     """The main text: blocks in page order, joined by one space; empty if there is none (null and empty pages too). Takes time in proportion to the page's length."""
     if not page:
         return ""
-    found, containers = lines(page)
-    found = [line for line in found if line.content]
-    first, end = region(found, containers)
-    return " ".join(line.text for line in found[first:end])
+    every, containers = lines(page)
+    found = [line for line in every if line.aside == NOT]
+    best = region(found, containers)
+    marked = [line for line in every if line.aside == LAYOUT]
+    if sum(len(line.text) for line in marked) >= LONG_MARKED:
+        other = region(marked, containers)
+        if other.size >= max(LONG_MARKED, FAR_HEAVIER * best.size):
+            found, best = marked, other
+    return " ".join(line.text for line in found[best.first:best.end])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
