@@ -139,6 +139,12 @@ def page(df: DataFrame, order: list[Key], number: int, size: int) -> Page:
     return Pages(df, order).page(number, size)
 
 
+def lookup(df: DataFrame, key: str, value: object) -> dict | None:
+    """The row of a primary key as a dictionary, None if there is none. The filter reaches the scan."""
+    row = df.filter(F.col(key) == F.lit(value)).limit(1).collect()
+    return row[0].asDict(recursive=True) if row else None
+
+
 def distinct_values(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
     """The column's values that aren't blank, sorted; only of allowed columns."""
     if column not in allowed:

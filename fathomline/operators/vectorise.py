@@ -45,6 +45,7 @@ class Vectoriser:
     numbers: dict[str, float]
     means: dict[str, float]
     deviations: dict[str, float]
+    logged: str = LOGGED
 
     def transform(self, df: DataFrame) -> DataFrame:
         """df with its features filled, logged, scaled and cast; one projection, no pass over data before it."""
@@ -53,7 +54,7 @@ class Vectoriser:
         for c in self.booleans:
             out[c] = filled[c].cast("tinyint")
         for c in self.numbers:
-            x = F.log1p(F.greatest(filled[c], F.lit(0.0))) if c == LOGGED else filled[c].cast("double")
+            x = F.log1p(F.greatest(filled[c], F.lit(0.0))) if c == self.logged else filled[c].cast("double")
             out[c] = ((x - self.means[c]) / self.deviations[c] if c in self.means else x).cast("float")
         return df.withColumns(out)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +27,19 @@ def scan(spark: SparkSession, root: str, most_bytes: int | None = None) -> DataF
     return df.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as the file system writes it, so that a scan's paths begin with their root's."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def scan_classes(spark: SparkSession, root: str) -> DataFrame:
-    """scan() of the class folders, with gt_class and the file name's metadata; files elsewhere are left out."""
-    df = scan(spark, root).withColumn("gt_class", F.regexp_extract("path", "/(" + "|".join(sorted(LABELS, key=len, reverse=True)) + ")/", 1)).filter("gt_class <> ''")
-    base = root.rstrip("/").replace("\\", "/")
+    """scan() of the class folders right below root, with gt_class and the file name's metadata, paths from root on; files elsewhere are left out."""
+    below = F.substring("path", len(qualified(spark, root)) + 2, 2**31 - 1)
+    df = scan(spark, root).withColumn("path", below).withColumn("gt_class", F.substring_index("path", "/", 1)).filter(F.col("gt_class").isin(*LABELS) & F.contains("path", F.lit("/")))
     name = naming.basename(F.col("path"))
     df = df.withColumn("m", naming.metadata(name, F.col("gt_class"))).withColumn("group_id", naming.group_id(F.col("m"), name))
-    return df.select(F.regexp_replace("path", "^.*?" + re.escape(base.rpartition("/")[2]) + "/", "").alias("path"), "gt_class", "m.*", "group_id", naming.pair_id(F.col("group_id"), F.col("m.extra")).alias("pair_id"), "size_bytes", "content")
+    return df.select("path", "gt_class", "m.*", "group_id", naming.pair_id(F.col("group_id"), F.col("m.extra")).alias("pair_id"), "size_bytes", "content")
 
 
 def resolve(rows: DataFrame, found: DataFrame) -> DataFrame:
