@@ -5,8 +5,11 @@ holds toxic ones at the class prior. A linear model over which words a text has
 the class-prior-corrected risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 stepping back up where the bracket falls below zero (non-negative PU learning). Whole texts are scored.
 
-Fitting takes bounded samples (POSITIVES, UNLABELLED documents by the order of a hash, MOST_WORDS
-words); the class prior is counted over all labels of the training fold; scoring covers every row.
+Positives are at most POSITIVES labelled documents, by the order of a hash. Everything else covers the
+whole training fold: the class prior counts all its labels, words are counted in all its documents, and
+every one of them is unlabelled text of the fit. Documents with the same words are one weighted row,
+such rows are dealt to shards of some SHARD, every shard is fitted by itself, and the weights are
+averaged; one shard is the exact fit. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -21,8 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import by_chunks, cut, held_out, table, texts
 
-#: The bounds of what a fit takes.
-POSITIVES, UNLABELLED, MOST_WORDS, LONGEST_WORD = 4000, 12000, 1024, 40
+#: The bounds of what a fit takes: labelled documents, and words of the model.
+POSITIVES, MOST_WORDS = 4000, 1024
+#: Distinct rows of a shard, about.
+SHARD = 20_000
+#: Integer steps of a weight in averages.
+WEIGHT_STEPS = 1 << 32
 #: A word is a feature if it is in that many positives, its rate there exceeds the unlabelled rate by so many standard errors, and
 #: by Bayes' rule from the class prior a text with it is toxic with that probability (one unlabelled text more is counted).
 LEAST_TEXTS, LEAST_Z, LEAST_POSTERIOR = 3, 4.0, 0.6
@@ -44,66 +51,75 @@ def words(text: str) -> set[bytes]:
     return found
 
 
-def _sample(ids: DataFrame, n: int) -> DataFrame:
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def fold(docs: DataFrame) -> DataFrame:
+    """The rows that may be learned from."""
+    return docs.filter(~held_out("doc_id", 4))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(positive boolean, text) rows and the class prior, of the training fold alone: a bounded sample of confirmed toxic documents and one of all documents."""
-    fold = ~held_out("doc_id", 4)
-    known = labels.filter(fold & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def positives(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """text of at most POSITIVES confirmed toxic documents (an id with several texts: the last by their order), and the class prior over all labels; of the training fold alone."""
+    known = fold(labels).filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    positive = _sample(known.filter("toxic = 1").select("doc_id"), POSITIVES).withColumn("positive", F.lit(True))
-    unlabelled = _sample(docs.select("doc_id").filter(fold), UNLABELLED).distinct().withColumn("positive", F.lit(False))
-    chosen = cut(positive.unionByName(unlabelled))  # at most POSITIVES + UNLABELLED ids: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "positive"])
-    return rows.select("positive", "text"), min(max(prior if prior is not None else DEFAULT_PRIOR, 0.01), 0.9)
+    chosen = cut(known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES))  # small enough to broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    return cut(rows.select("text")), min(max(prior if prior is not None else DEFAULT_PRIOR, 0.01), 0.9)
 
 
-def choose_words(sample: DataFrame, prior: float) -> list[bytes]:
-    """The words that mark positives, most telling first: counted where the texts are, so only MOST_WORDS rows reach the driver."""
+def word_counts(rows: DataFrame, of: set[bytes] | None = None) -> dict[bytes, int]:
+    """In how many rows' texts each word is, and as b" ", which is no word, how many rows there are. of: the only words that count; else all with LEAST_TEXTS. Tasks add up before a row a word leaves them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {True: Counter(), False: Counter()}
-        n = Counter()
+        seen: Counter = Counter()
         for batch in batches:
-            for positive, text in zip(batch.column("positive").to_pylist(), texts(batch, "text"), strict=True):
-                n[positive] += 1
-                seen[positive].update(w for w in words(text) if len(w) <= LONGEST_WORD)
-        found = list(seen[True].keys() | seen[False].keys())
-        yield pa.RecordBatch.from_pydict({
-            "word": pa.array([*found, b" "], pa.binary()), "p": pa.array([*(seen[True][w] for w in found), n[True]], pa.int64()),
-            "u": pa.array([*(seen[False][w] for w in found), n[False]], pa.int64())})
-
-    counts = cut(sample.mapInArrow(run, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(f"p >= {LEAST_TEXTS} OR word = X'20'"))
-    total = counts.filter("word = X'20'").first()  # a word that no text has counts the texts
-    if total is None or not total["p"] or not total["u"]:
-        return []
-    n_p, n_u = float(total["p"]), float(total["u"])
-    both = (F.col("p") + F.col("u")) / (n_p + n_u)
-    z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    best = counts.filter("word <> X'20'").withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (prior * F.col("p") / n_p >= LEAST_POSTERIOR * (F.col("u") + 1) / n_u)).orderBy(F.col("z").desc(), "word").limit(MOST_WORDS)
-    return [bytes(r["word"]) for r in best.collect()]
+            for text in texts(batch, "text"):
+                seen[b" "] += 1
+                seen.update(words(text) if of is None else words(text) & of)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(seen.values(), pa.int64())})
+
+    counts = rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {bytes(r["word"]): r["n"] for r in counts.filter(f"n >= {LEAST_TEXTS} OR word = X'20'").collect()}
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by the non-negative risk estimator with the logistic loss; rows: each text's word numbers."""
+def choose_words(toxic: DataFrame, unlabelled: DataFrame, prior: float) -> list[bytes]:
+    """The words that mark positives, most telling first. Only those of LEAST_TEXTS positives, which are at most POSITIVES, are counted in all unlabelled texts."""
+    p = word_counts(toxic)
+    n_p = p.pop(b" ", 0)
+    if not p:
+        return []
+    u = word_counts(unlabelled, {*p})
+    n_u = u.pop(b" ", 0)
+    if not n_u:
+        return []
+    telling = []
+    for word, in_p in p.items():
+        in_u = u.get(word, 0)
+        both = (in_p + in_u) / (n_p + n_u)
+        z = (in_p / n_p - in_u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u)) if both < 1 else 0.0
+        if z >= LEAST_Z and prior * in_p / n_p >= LEAST_POSTERIOR * (in_u + 1) / n_u:
+            telling.append((-z, word))
+    return [w for _, w in sorted(telling)[:MOST_WORDS]]
+
+
+def fit(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: float, times: np.ndarray | None = None, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias by the non-negative risk estimator with the logistic loss; rows: each text's word numbers; times: how many texts each row is."""
     weight, bias = np.zeros(n_words), float(np.log(prior / (1 - prior)))
-    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    times = np.ones(len(rows)) if times is None else times
+    n_p, n_u = float(times[positive].sum()), float(times[~positive].sum())
     if not n_p or not n_u:
         return weight, bias
+    share = times / np.where(positive, n_p, n_u)
     size = np.fromiter(map(len, rows), np.int64, len(rows))
     column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), size)
     # Adam's running moments, for the weights and (last) the bias
     first, second = np.zeros(n_words + 1), np.zeros(n_words + 1)
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         z = bias + np.bincount(row, weight[column], len(rows))
         s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        low = np.logaddexp(0, z)  # loss as a negative; its slope is s, and s - 1 as a positive
-        excess = low[~positive].sum() / n_u - prior * low[positive].sum() / n_p
-        as_negative = np.where(positive, -prior * s / n_p, s / n_u)
-        slope = np.where(positive, prior * (s - 1) / n_p, 0) + as_negative if excess >= 0 else -as_negative
+        low = np.logaddexp(0, z) * share  # loss as a negative; its slope is s, and s - 1 as a positive
+        excess = low[~positive].sum() - prior * low[positive].sum()
+        as_negative = np.where(positive, -prior * s, s) * share
+        slope = np.where(positive, prior * (s - 1) * share, 0) + as_negative if excess >= 0 else -as_negative
         gradient = np.append(np.bincount(column, slope[row], n_words) + SHRINK * prior * weight, slope.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         change = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -111,22 +127,48 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: float
     return weight, bias
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
-    """The model: a weight for each chosen word, and the bias."""
-    sample, prior = training_sample(docs, labels)
-    sample = cut(sample)
-    chosen = choose_words(sample, prior)
+def _features(rows: DataFrame, chosen: list[bytes]) -> DataFrame:
+    """features (the numbers of the chosen words that a text has, ascending) and n, how many texts have just these."""
     number = {w: i for i, w in enumerate(chosen)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            found = [sorted(number[w] for w in words(x) & number.keys()) for x in texts(batch, "text")]
-            yield pa.RecordBatch.from_pydict({"positive": batch.column("positive"), "features": pa.array(found, pa.list_(pa.int64()))})
+            seen.update(tuple(sorted(number[w] for w in words(x) & number.keys())) for x in texts(batch, "text"))
+        yield pa.RecordBatch.from_pydict({"features": pa.array(list(seen), pa.list_(pa.int32())), "n": pa.array(seen.values(), pa.int64())})
 
-    rows = sample.mapInArrow(run, "positive boolean, features array<bigint>").collect()
-    rows.sort(key=lambda r: (r["positive"], r["features"]))  # sums don't depend on partitions then
-    weight, bias = fit([np.array(r["features"], np.int64) for r in rows], np.array([r["positive"] for r in rows], bool), len(chosen), prior)
-    return dict(zip(chosen, weight.tolist(), strict=True)), bias
+    return rows.select("text").mapInArrow(run, "features array<int>, n long").groupBy("features").agg(F.sum("n").alias("n"))
+
+
+def sharded(rows: DataFrame) -> DataFrame:
+    """rows(features, n) as shard, features, times: each shard stands for all rows. What is there as often as there are shards is in all of them in equal parts, the rest in one by its hash."""
+    shards = max(1, rows.count() // SHARD)
+    often = F.col("n") >= shards
+    spread = rows.withColumn("shard", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.pmod(F.xxhash64("features"), F.lit(shards)).cast("int")))))
+    return spread.select("shard", "features", F.when(often, F.col("n") / shards).otherwise(F.col("n")).cast("double").alias("times"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
+    """The model: a weight for each chosen word, and the bias."""
+    toxic, prior = positives(docs, labels)
+    unlabelled = fold(docs)
+    chosen = choose_words(toxic, unlabelled, prior)
+    if not chosen:
+        return {}, float(np.log(prior / (1 - prior)))
+    own = sorted((tuple(r["features"]), r["n"]) for r in _features(toxic, chosen).collect())  # POSITIVES rows at most
+
+    def shard(t: pa.Table) -> pa.Table:
+        found = sorted(zip(map(tuple, t.column("features").to_pylist()), t.column("times").to_pylist(), strict=True))  # sums don't depend on partitions then
+        rows = [np.array(f, np.int64) for f, _ in own + found]
+        weight, bias = fit(rows, np.arange(len(rows)) < len(own), len(chosen), prior, np.array([float(n) for _, n in own + found]))
+        size = sum(n for _, n in found)
+        values = np.rint(np.append(weight, bias) * WEIGHT_STEPS).astype(np.int64)
+        return pa.table({"i": pa.array(np.arange(len(values)), pa.int32()), "value": pa.array(values), "size": pa.array(np.full(len(values), size))})
+
+    fitted = sharded(cut(_features(unlabelled, chosen))).groupBy("shard").applyInArrow(shard, "i int, value long, size double")
+    mean = fitted.groupBy("i").agg((F.sum(F.col("value") * F.col("size")) / F.sum("size")).alias("value")).collect()  # a row a word
+    values = {r["i"]: r["value"] / WEIGHT_STEPS for r in mean}
+    return {w: values[i] for i, w in enumerate(chosen)}, values[len(chosen)]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
