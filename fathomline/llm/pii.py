@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data.
 
 What is found is first validated (Luhn for card numbers, mod 97 for IBANs, the calendar for dates,
-octets for addresses, area rules for social security numbers). Its free characters, as one number in
+octets for addresses, area rules for social security numbers); what fails, such as an order number of 16
+digits, stays as it is. Its free characters, as one number in
 a mixed radix, go through a keyed Feistel network with cycle walking: a permutation of exactly the
 values of that format. Separators, letter case, prefixes and check digits stay or are recomputed, so
 a pseudonym passes the same validation, equal values get equal pseudonyms in every document, and who
@@ -134,10 +135,10 @@ def _iban_number(text: str) -> int:
 
 
 class Pseudonyms:
-    """Replaces the personal data of a text; undo=True restores it."""
+    """Replaces the personal data of a text; undo=True restores it. accounts: long numbers that fail the check digit are taken for account numbers, not only those that pass it for cards."""
 
-    def __init__(self, key: bytes = PUBLISHED_KEY, undo: bool = False):
-        self.key, self.undo = key, undo
+    def __init__(self, key: bytes = PUBLISHED_KEY, undo: bool = False, accounts: bool = False):
+        self.key, self.undo, self.accounts = key, undo, accounts
         self.feistel = functools.lru_cache(4096)(lambda n, tweak: Feistel(key, n, tweak))
         self.found = 0
 
@@ -243,7 +244,7 @@ class Pseudonyms:
         return self._digits(text, body + str(luhn(body)))
 
     def account(self, text: str) -> str:
-        """A long number that fails the check digit is treated as an account number: still personal."""
+        """A long number that fails the check digit: it fails afterwards too."""
         digits = re.sub("[ -]", "", text)
         body = digits[0] + self.characters(digits[1:-1], "account " + digits[0])
         last = [d for d in _CLASSES[0] if int(d) != luhn(body)]  # so that it still fails
@@ -260,7 +261,7 @@ class Pseudonyms:
     def number(self, m: re.Match) -> str:
         kind, text = m.lastgroup if m.lastgroup != "sep" else "dmy", m.group()
         new = getattr(self, kind)(text)
-        if new is None and kind == "card":
+        if new is None and kind == "card" and self.accounts:
             new = self.account(text)
         return self._counted(new, text)
 

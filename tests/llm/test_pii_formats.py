@@ -164,3 +164,21 @@ def test_digits_of_other_scripts(text):
     new = P.replace(text)
     assert BACK.replace(new) == text
     assert [c for c in new if not c.isascii()] == [c for c in text if not c.isascii()]
+
+
+@pytest.mark.parametrize("text", ["order 4000123412341235 today", "at 1718704800124 ms", "ISBN 978-3-16-148410-1", "id 1234567890123456789", "4111 1111 1111 1112", "4111-1111-1111-1112", "day 2024-02-30", "addr 300.1.1.1", "666-12-1234", "GB00 WEST 1234 5698 7654 32"])
+def test_what_fails_its_validation_stays(text):
+    assert pii.Pseudonyms(b"k").replace(text) == text
+
+
+def test_accounts_are_an_option():
+    """Long numbers that fail the check digit: with the option they are permuted, fail afterwards too, stay linked and can be undone; valid ones don't depend on it."""
+    text = "card 4111 1111 1111 1111, account 4111 1111 1111 1112 and 4111-1111-1111-1112"
+    plain, both = pii.Pseudonyms(b"k").replace(text), pii.Pseudonyms(b"k", accounts=True).replace(text)
+    assert plain.endswith("account 4111 1111 1111 1112 and 4111-1111-1111-1112")
+    assert plain[:25] == both[:25] != text[:25]
+    first, second = (re.sub("[ -]", "", x) for x in re.findall(r"[0-9]{4}(?:[ -][0-9]{4}){3}", both)[1:])
+    assert first == second != "4111111111111112"
+    assert pii.luhn(first[:-1]) != int(first[-1])
+    assert pii.Pseudonyms(b"k", undo=True, accounts=True).replace(both) == text
+    assert pii.Pseudonyms(b"k", undo=True).replace(plain) == text
