@@ -4,7 +4,8 @@ Encoding splits texts by the vocabulary's pattern; the distinct pieces of a bloc
 token-position rows. A recursive query joins neighbouring tokens with the merge table, contracts each
 piece's leftmost pair of minimum rank, and stops where no piece has a pair left.
 
-The query starts from bytes whose sure pairs are contracted. A pair of rank r is sure if all tokens that
+The query's first SELECT reads a row a byte, joins each two neighbours with what the vocabulary says of
+such two, and contracts those that are sure. A pair of rank r is sure if all tokens that
 end with the byte before it make tokens above r, or none, with its first byte, those that begin with the
 byte after it do so with its second, and the pair's own token is part of tokens above r only. So nothing
 touches the pair until r, when it is contracted, and its token made early takes part in nothing before r.
@@ -46,9 +47,20 @@ SHORT = 40
 #: Pieces and bytes per recursive query, tokens per decoding query, pieces remembered.
 QUERY_PIECES, QUERY_BYTES, DECODE_TOKENS, REMEMBERED = 60_000, 1 << 18, 1 << 18, 200_000
 
-_LEFTMOST = """
-WITH RECURSIVE step(piece, pos, id, done) AS (
-  SELECT piece, pos, id, false FROM positions
+#: Where a recursive query begins: the rows of positions, a byte's token each, joined with what the vocabulary says of it and the next one, sure pairs contracted.
+_START = """
+  SELECT piece, pos, CASE WHEN taken THEN sure ELSE id END, false
+  FROM (SELECT *, lag(taken) OVER w AS gone
+        FROM (SELECT piece, pos, id, sure, sure IS NOT NULL AND coalesce(sure < lag(before) OVER w, true) AND coalesce(sure < lead(after) OVER w, true) AS taken
+              FROM (SELECT piece, pos, id, CASE WHEN lead(piece) OVER w = piece THEN lead(id) OVER w END AS next FROM positions WINDOW w AS (ORDER BY pos)) p
+              LEFT JOIN pairs_of_bytes v ON v.a = p.id AND v.b = p.next
+              WINDOW w AS (ORDER BY pos))
+        WINDOW w AS (ORDER BY pos))
+  WHERE gone IS NOT TRUE
+"""
+
+_LEFTMOST = f"""
+WITH RECURSIVE step(piece, pos, id, done) AS ({_START}
   UNION ALL
   (WITH pairs AS MATERIALIZED (
      SELECT n.piece, n.pos, n.id, n.next_pos, m.rank, m.rank::BIGINT * 2147483648 + n.pos AS pair
@@ -63,9 +75,8 @@ SELECT piece, id FROM step WHERE done ORDER BY pos
 """
 
 #: The same, but every second of each run of neighbouring occurrences of the minimum pair is contracted with its successor.
-_EVERYWHERE = """
-WITH RECURSIVE step(piece, pos, id, done) AS (
-  SELECT piece, pos, id, false FROM positions
+_EVERYWHERE = f"""
+WITH RECURSIVE step(piece, pos, id, done) AS ({_START}
   UNION ALL
   SELECT piece, pos, CASE WHEN taken THEN rank ELSE id END, best IS NULL
   FROM (SELECT *, coalesce(lag(taken) OVER (PARTITION BY piece ORDER BY place), false) AS gone
@@ -111,30 +122,25 @@ class Coder:
         np.minimum.at(part, a.to_numpy(), r.to_numpy())
         np.minimum.at(part, b.to_numpy(), r.to_numpy())
         # by two bytes: their rank where it may be sure, and the least rank that the second has with a token ending in the first, the first with one beginning with the second
-        self.sure, self.before, self.after = (np.full(1 << 16, NONE, np.int32) for _ in range(3))
+        sure, before, after = (np.full(1 << 16, NONE, np.int32) for _ in range(3))
         for t, i in self.ranks.items():
             if len(t) == 2 and part[i] > i:
-                self.sure[t[0] << 8 | t[1]] = i
+                sure[t[0] << 8 | t[1]] = i
             if len(t) > 1 and t[:-1] in self.ranks:
                 k = t[-2] << 8 | t[-1]
-                self.before[k] = min(i, self.before[k])
+                before[k] = min(i, before[k])
             if len(t) > 1 and t[1:] in self.ranks:
                 k = t[0] << 8 | t[1]
-                self.after[k] = min(i, self.after[k])
+                after[k] = min(i, after[k])
+        k = np.flatnonzero(np.minimum(np.minimum(sure, before), after) < NONE)
+        pairs = pa.table({"a": self.bytes_id[k >> 8], "b": self.bytes_id[k & 255]} | {n: pa.array(x[k], mask=x[k] == NONE) for n, x in (("sure", sure), ("before", before), ("after", after))})  # noqa: F841
+        self.db.execute("CREATE TABLE pairs_of_bytes AS SELECT * FROM pairs")
 
     def positions(self, data: list[bytes]) -> pa.Table:
-        """The pieces' bytes one after the other, sure pairs contracted: piece, pos, id."""
+        """The tokens of the pieces' bytes one after the other: piece, pos, id."""
         raw = np.frombuffer(b"".join(data), np.uint8)
         piece = np.repeat(np.arange(len(data), dtype=np.int32), np.fromiter(map(len, data), np.int64, len(data)))
-        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
-        rank, before, after = (np.where(piece[1:] == piece[:-1], x[pair], NONE) for x in (self.sure, self.before, self.after))
-        taken = rank < NONE
-        taken[1:] &= rank[1:] < before[:-1]
-        taken[:-1] &= rank[:-1] < after[1:]
-        ids, left = self.bytes_id[raw], np.ones(len(raw), bool)
-        ids[:-1][taken] = rank[taken]
-        left[1:] = ~taken
-        return pa.table({"piece": piece[left], "pos": np.flatnonzero(left).astype(np.int32), "id": ids[left]})
+        return pa.table({"piece": piece, "pos": np.arange(len(raw), dtype=np.int32), "id": self.bytes_id[raw]})
 
     def _query(self, data: list[bytes], sql: str) -> list[bytes]:
         positions = self.positions(data)  # noqa: F841
