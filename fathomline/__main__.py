@@ -1,4 +1,4 @@
-"""python -m fathomline features|replay|check-bundle ...: the engine from the command line."""
+"""python -m fathomline features|dataset|replay|check-bundle|check-settings ...: the engine from the command line."""
 
 from __future__ import annotations
 
@@ -16,10 +16,22 @@ def main(arguments: list[str] | None = None) -> int:
     p = commands.add_parser("dataset", help="feature rows of the class folders with their split")
     p.add_argument("folder"), p.add_argument("output")
     p = commands.add_parser("replay", help="scores and responses for recorded events")
-    p.add_argument("events"), p.add_argument("output"), p.add_argument("--window-seconds", type=float, default=30)
+    p.add_argument("events"), p.add_argument("output"), p.add_argument("--window-seconds", type=float), p.add_argument("--settings", help="filters and windows by a settings file")
+    p = commands.add_parser("check-settings", help="whether a settings file can be used")
+    p.add_argument("settings")
     p = commands.add_parser("check-bundle", help="whether a saved bundle can be used")
     p.add_argument("bundle")
     a = parser.parse_args(arguments)
+    if a.command == "check-settings":
+        from fathomline.sources import settings
+
+        try:
+            settings.load(a.settings)
+        except settings.ConfigurationError as e:
+            print(e)
+            return 1
+        print("ok")
+        return 0
     if a.command == "check-bundle":
         from fathomline.operators.bundle import Bundle
 
@@ -40,9 +52,13 @@ def main(arguments: list[str] | None = None) -> int:
         rows = scanned.drop("content", "size_bytes").join(extraction.features(scanned, "path"), "path")
         sampling.grouped_split(rows).write.mode("overwrite").partitionBy("split").parquet(a.output)
     else:
-        replay = events.prefilter(files.read_events(spark, a.events), events.FilterConfig()).filter("filter_decision <> 'drop'")
+        from fathomline.sources import settings
+
+        known = settings.load(a.settings) if a.settings else None
+        window = int(a.window_seconds * 1e6) if a.window_seconds else known.profile_us if known else 30_000_000
+        replay = events.prefilter(files.read_events(spark, a.events), known.filters if known else events.FilterConfig()).filter("filter_decision <> 'drop'")
         replay = replay.withColumns({"predicted_class": F.lit(None).cast("string"), "probability": F.lit(None).cast("double")})
-        scored = profiles.respond(profiles.with_score(profiles.profiles(replay, int(a.window_seconds * 1e6))))
+        scored = profiles.respond(profiles.with_score(profiles.profiles(replay, window)))
         scored.write.mode("overwrite").parquet(a.output)
     return 0
 

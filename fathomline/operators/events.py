@@ -14,7 +14,7 @@ from fathomline.operators import profiles
 # Numeric event ids and what they mean; temporary-file extensions and name marks.
 EVENT_IDS = {16: "modified", 26: "deleted", 27: "moved", 30: "created"}
 TEMPORARY_EXTENSIONS = (".tmp", ".temp", ".swp", ".part", ".crdownload")
-TEMPORARY_NAME = r"^(~|\.~)"
+TEMPORARY_NAMES = ("~$", "~", ".~")
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ class FilterConfig:
     activity_us: int = 2_000_000
     activity_count: int = 10
     temporary: tuple[str, ...] = field(default=TEMPORARY_EXTENSIONS)
+    temporary_names: tuple[str, ...] = TEMPORARY_NAMES
 
 
 def first_of(*columns: Column) -> Column:
@@ -81,7 +82,10 @@ def within(path: Column, folders: tuple[str, ...]) -> Column:
 
 
 def is_temporary(path: Column, extension: Column, config: FilterConfig) -> Column:
-    return F.lower(extension).isin(*config.temporary) | naming.basename(path).rlike(TEMPORARY_NAME)
+    out, name = F.lower(extension).isin(*config.temporary), F.lower(naming.basename(path))
+    for beginning in config.temporary_names:
+        out = out | name.startswith(beginning)
+    return out
 
 
 def is_ranked() -> Column:
