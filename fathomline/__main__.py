@@ -49,7 +49,7 @@ def main(arguments: list[str] | None = None) -> int:
         files.write_csv(rows, a.output) if a.output.endswith(".csv") else rows.write.mode("overwrite").parquet(a.output)
     elif a.command == "dataset":
         scanned = files.scan_classes(spark, a.folder)
-        rows = scanned.drop("content", "size_bytes").join(extraction.features(scanned, "path"), "path")
+        rows = extraction.features(scanned, "path", carried=tuple(c for c in scanned.columns if c not in ("path", "content", "size_bytes")))
         sampling.grouped_split(rows).write.mode("overwrite").partitionBy("split").parquet(a.output)
     else:
         from fathomline.sources import settings

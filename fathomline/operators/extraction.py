@@ -83,20 +83,21 @@ def feature_row(data: bytes, fallback: bool = True) -> dict:
     return {c: found.get(c) for c in FEATURES}
 
 
-def features(files: DataFrame, key: str, fallback: bool = True, most_bytes: int | None = None) -> DataFrame:
-    """key and the 85 features for each row of files (key, content). A null content counts as empty; contents over most_bytes, where given, are left out before they are read."""
+def features(files: DataFrame, key: str, fallback: bool = True, most_bytes: int | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """key, the carried columns and the 85 features for each row of files (key, content, ...). A null content counts as empty; contents over most_bytes, where given, are left out before they are read."""
     if most_bytes is not None:
         files = files.filter(f"length(content) <= {most_bytes}")
-    kind = files.schema[key].dataType.simpleString()
+    own = [key, *carried]
+    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 rows = [feature_row(x or b"", fallback) for x in batch.column("content").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array([r[c] for r in rows], _ARROW[k]) for c, k in FEATURES.items())], names=[key, *FEATURES])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array([r[c] for r in rows], _ARROW[k]) for c, k in FEATURES.items())], names=[*own, *FEATURES])
 
-    return files.select(key, "content").mapInArrow(run, f"{key} {kind}, " + ", ".join(f"`{c}` {_SQL[k]}" for c, k in FEATURES.items()))
+    return files.select(*own, "content").mapInArrow(run, f"{kinds}, " + ", ".join(f"`{c}` {_SQL[k]}" for c, k in FEATURES.items()))
 
 
 def augmented_rows(features_of_augmented: DataFrame, parents: DataFrame) -> DataFrame:

@@ -48,13 +48,18 @@ def process_order(name: str) -> list[Key]:
     }.get(name, [Key(F.col("suspicion_score"), True), seen, key])
 
 
+#: The letters whose case a search doesn't look at: the stored tables' NOCASE knows ASCII only.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def matches(query: str | None, *columns: str) -> Column:
-    """Case-insensitive substring search in any of the columns, wildcards taken literally; an empty query matches."""
+    """Substring search in any of the columns that takes ASCII letters of either case for equal, and wildcards literally; an empty query matches."""
     if not query:
         return F.lit(True)
+    wanted = query.translate(str.maketrans(UPPER, LOWER))
     out = F.lit(False)
     for c in columns:
-        out = out | F.contains(F.lower(F.col(c).cast("string")), F.lit(query.lower()))
+        out = out | F.contains(F.translate(F.col(c).cast("string"), UPPER, LOWER), F.lit(wanted))
     return F.coalesce(out, F.lit(False))
 
 

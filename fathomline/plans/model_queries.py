@@ -348,3 +348,20 @@ def parzen_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         rows.unpersist()
     return spark.createDataFrame([(r["trial"], r["kind"], r["by"], r["least"], r["score"]) for r in found], "trial long, kind string, by double, least double, class_2_f1 double")
+
+
+@query()
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two forests in three folds of whole groups; each fold's vectoriser is fitted on the others."""
+    from fathomline.operators import models, search
+
+    names = ["flag", "byte_chi2", "size_bytes"]
+
+    def fit_predict(train: DataFrame, test: DataFrame, setting: dict) -> DataFrame:
+        v = vectorise.fit(train, ["flag"], names[1:], names[1:])
+        model = models.random_forest(models.assembled(v.transform(train), names), setting["trees"], setting["depth"])
+        return models.predictions(model, models.assembled(v.transform(test), names, weights=False)).withColumnRenamed("y", "y_true")
+
+    rows = tables.dataset(spark, sf_dir).withColumn("y", vectorise.encode_label(F.col("gt_class")))
+    found = search.cross_validate(rows, [{"trees": 10, "depth": 4}, {"trees": 20, "depth": 6}], fit_predict, folds=3)
+    return found.select("trial", "fold", "trees", "depth", "macro_f1", "class_2_f1", "class_2_recall")

@@ -127,6 +127,11 @@ def test_pages_are_clamped(spark):
     assert repository.page(spark.range(0), [repository.Key(F.col("id"))], 3, 7).pages == 1
 
 
+def test_search_folds_ascii_only(spark):
+    df = spark.createDataFrame([("ÄB",), ("äb",), ("xÄb",)], "c string")
+    assert [r["c"] for r in df.filter(repository.matches("Äb", "c")).collect()] == ["ÄB", "xÄb"]
+
+
 def test_search_takes_wildcards_literally(spark):
     df = spark.createDataFrame([("a%b",), ("axb",), (None,)], "c string")
     assert [r["c"] for r in df.filter(repository.matches("A%B", "c")).collect()] == ["a%b"]
