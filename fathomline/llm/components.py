@@ -16,7 +16,7 @@ from .common import cut, small_side
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) bigint, both directions implied -> (node, label): label is the smallest node reachable. Only linked nodes have rows; self links count."""
+    """links(a, b) bigint, both directions implied -> (node, label): label is the smallest node reachable. Only linked nodes have rows; self links count, repeated links are one, and nulls, which no node has, must not come. No links give no rows."""
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     parents = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     state = None

@@ -192,8 +192,9 @@ def scored(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts are one end token. Without training documents nothing is known, N and V are 0
-    and the network is as initialised. Repeated rows are scored alike and count as often; an empty
-    table gives none.
+    and the network is as initialised. Repeated rows are scored alike and count as often; long texts
+    are scored whole, their state carried from window to window. Words of equal count are all in the
+    head or all out of it, and go by their bytes inside. An empty table gives none.
     """
     rows = docs.select("doc_id", "text", held_out("doc_id", modulus).alias("held_out"))
     counts = cut(count_words(rows))

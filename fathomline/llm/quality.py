@@ -111,7 +111,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, as they are."""
+    """The rows of docs that pass, as they are, all their columns too.
+
+    Null and empty texts have no words and go; repeated rows stay or go together; long texts are looked
+    at whole; an empty table gives none.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_chunks(batches, "text", BLOCK):

@@ -176,7 +176,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts get the score of a text without a marking word. A document with several
     labels is toxic if one says so; null labels say nothing; without labels all scores are the
-    prior's. Repeated rows score alike; an empty table gives none.
+    prior's. Repeated rows score alike, and count again as unlabelled text; long texts are read whole.
+    Words that mark positives equally well go by their bytes. An empty table gives none.
     """
     weights, bias = train(docs, labels)
 

@@ -80,7 +80,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, hashes array<bigint>, positions array<bigint> (bytes) for each row of docs (doc_id, text; other columns are ignored). Null is the empty text: empty arrays; an empty table gives none."""
+    """doc_id, hashes array<bigint>, positions array<bigint> (bytes) for each row of docs (doc_id, text; other columns are ignored). Null is the empty text: empty arrays; repeated rows give repeated rows, long texts are taken whole; an empty table gives none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
