@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import math
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.operators.vectorise import Vectoriser
 from fathomline.schema import FEATURES, LABELS, NUMERIC, SCALED
@@ -92,7 +93,25 @@ def save_json(values: dict, path: str | Path) -> None:
     Path(path).write_text(json.dumps(clean(values), indent=1, sort_keys=True))
 
 
-def save_matrix(vectors: DataFrame, path: str, label: str = "y") -> None:
-    """Vectorised rows as Parquet, by split where there is one."""
+def save_matrix(vectors: DataFrame, path: str, label: str = "y", weights: dict[str, float] | None = None) -> None:
+    """Vectorised rows as Parquet, by split where there is one, in `data`; beside them, as JSON of a row each, `label_map` (number of each class) and, where given, `class_weights`. All through Spark's writers, so that path may be of any file system."""
     writer = vectors.write.mode("overwrite")
-    (writer.partitionBy("split") if "split" in vectors.columns else writer).parquet(path)
+    (writer.partitionBy("split") if "split" in vectors.columns else writer).parquet(f"{path}/data")
+    spark = vectors.sparkSession
+    spark.createDataFrame(list(enumerate(LABELS)), f"{label} int, gt_class string").coalesce(1).write.mode("overwrite").json(f"{path}/label_map")
+    if weights is not None:
+        spark.createDataFrame(sorted(weights.items()), "gt_class string, weight double").coalesce(1).write.mode("overwrite").json(f"{path}/class_weights")
+
+
+def load_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
+    """What save_matrix wrote: rows, number by class, weight by class (none where none were given)."""
+    labels = {r["gt_class"]: next(v for k, v in r.asDict().items() if k != "gt_class") for r in spark.read.json(f"{path}/label_map").collect()}
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/class_weights")
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    weights = {r["gt_class"]: r["weight"] for r in spark.read.json(f"{path}/class_weights").collect()} if there else {}
+    return spark.read.parquet(f"{path}/data"), labels, weights
+
+
+def run_stamp(at: datetime.datetime | None = None) -> str:
+    """A name for a run's folder: UTC date and time to the second, in order as text."""
+    return (at or datetime.datetime.now(datetime.UTC)).astimezone(datetime.UTC).strftime("%Y%m%d_%H%M%S")

@@ -164,6 +164,34 @@ def largest_remainder(total: int, shares: dict[str, float]) -> dict[str, int]:
     return got
 
 
+def allocated(kinds: DataFrame, fraction: float) -> DataFrame:
+    """kinds(kind, capacity, quota, place) with allocated, what allocate_by_quota gives each of target_count's rows: floors of the quotas' shares, then what is left, in order of fraction, quota and place, as far as each has room. Windows run over a row a kind."""
+    every = W.partitionBy()
+    total = F.sum("capacity").over(every)
+    target = F.when((total > 0) & (F.lit(fraction) > 0), F.greatest(F.lit(1.0), F.least(total.cast("double"), F.bround(total * F.lit(fraction), 0)))).otherwise(0.0)
+    d = kinds.withColumn("_target", target).withColumn("_desired", F.col("_target") * F.col("quota"))
+    d = d.withColumn("_got", F.least(F.col("capacity"), F.floor("_desired"))).withColumn("_room", F.col("capacity") - F.col("_got"))
+    turn = every.orderBy((F.col("_desired") - F.floor("_desired")).desc(), F.desc("quota"), "place").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("_target") - F.sum("_got").over(every) - F.coalesce(F.sum("_room").over(turn), F.lit(0))
+    more = F.greatest(F.lit(0.0), F.least(F.col("_room").cast("double"), left))
+    return d.withColumn("allocated", (F.col("_got") + more).cast("long")).select(*kinds.columns, "allocated")
+
+
+def remainders(shares: DataFrame, total: DataFrame) -> DataFrame:
+    """shares(..., share, place) with allocated, what largest_remainder gives each of total's (one row) n: floors, and one more each for the largest fractions. Windows run over a row a share."""
+    d = shares.join(F.broadcast(total)).withColumn("_exact", F.col("n") * F.col("share"))  # one row
+    d = d.withColumn("_low", F.floor("_exact")).withColumn("_rest", F.col("n") - F.sum("_low").over(W.partitionBy()))
+    rank = F.row_number().over(W.partitionBy().orderBy((F.col("_exact") - F.col("_low")).desc(), "place"))
+    return d.withColumn("allocated", (F.col("_low") + (rank <= F.col("_rest")).cast("int")).cast("long")).select(*shares.columns, "allocated")
+
+
+def first_of_each(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first row of each key in order, which has to be total for the same result every time: a distinct that says which row stays. Rows are combined in tasks before they are shuffled; a null key is a key."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")) if rest else rows.select(*keys).distinct()
+    return best.select(*(c if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns))
+
+
 def hash_order(key: Column, seed: int) -> Column:
     """A seeded shuffle's order, the same in any engine that has md5."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.operators import evaluation, sampling, vectorise
@@ -44,27 +45,25 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.grouped_split(tables.dataset(spark, sf_dir).select("doc_id", "group_id", "gt_class"), {f"fold_{i}": 0.2 for i in range(5)})
 
 
-def _as_table(spark: SparkSession, values: dict[str, int], name: str) -> DataFrame:
-    return spark.createDataFrame(list(values.items()), f"{name} string, allocated long")
-
-
 @query("""WITH k AS (SELECT p_type AS kind, count(*) AS capacity FROM part GROUP BY 1),
 q AS (SELECT kind, capacity, 1.0::DOUBLE / count(*) OVER () AS quota, row_number() OVER (ORDER BY kind) AS pos, round_even(sum(capacity) OVER () * 0.25, 0) AS target FROM k),
 d AS (SELECT *, target * quota AS desired, least(capacity, floor(target * quota)) AS got FROM q),
 o AS (SELECT *, target - sum(got) OVER () AS rest, coalesce(sum(capacity - got) OVER (ORDER BY desired - floor(desired) DESC, quota DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT kind, (got + greatest(0, least(capacity - got, rest - before)))::BIGINT AS allocated FROM o""")
 def quota_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capacity = {r["p_type"]: r["count"] for r in tables.table(spark, sf_dir, "part").groupBy("p_type").count().orderBy("p_type").collect()}
-    target = sampling.target_count(sum(capacity.values()), 0.25)
-    return _as_table(spark, sampling.allocate_by_quota(target, dict.fromkeys(capacity, 1.0 / len(capacity)), capacity), "kind")
+    kinds = tables.table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("kind")).agg(F.count("*").alias("capacity"))
+    of_all = W.partitionBy()
+    kinds = kinds.select("*", (F.lit(1.0) / F.count("*").over(of_all)).alias("quota"), F.row_number().over(of_all.orderBy("kind")).alias("place"))
+    return sampling.allocated(kinds, 0.25).select("kind", "allocated")
 
 
 @query("""WITH n AS (SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'O'), s AS (SELECT unnest(['a', 'b', 'c']) AS algorithm, unnest([0.5::DOUBLE, 0.3, 0.2]) AS share, unnest([1, 2, 3]) AS pos),
 x AS (SELECT algorithm, pos, total, total * share AS exact, floor(total * share) AS low FROM s, n), r AS (SELECT *, row_number() OVER (ORDER BY exact - low DESC, pos) AS rk, total - sum(low) OVER () AS rest FROM x)
 SELECT algorithm, (low + CASE WHEN rk <= rest THEN 1 ELSE 0 END)::BIGINT AS allocated FROM r""")
 def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = tables.table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").count()
-    return _as_table(spark, sampling.largest_remainder(total, {"a": 0.5, "b": 0.3, "c": 0.2}), "algorithm")
+    total = tables.table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").agg(F.count("*").alias("n"))
+    shares = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)], "algorithm string, share double, place int")
+    return sampling.remainders(shares, total).select("algorithm", "allocated")
 
 
 @query(_D + """, pool AS (SELECT * FROM dataset WHERE orig_ext IN ('en', 'de', 'fr')),
