@@ -17,6 +17,7 @@ from fathomline.operators import boosting, vectorise
 from fathomline.operators.bundle import Bundle
 
 SUCCESS, FAILED, PENDING = "success", "failed", "pending"
+# Fixed value: what is said of a row without features.
 NO_FEATURES = "features are unavailable"
 RESULT = "predicted_class string, benign_probability double, benign_encrypted_probability double, ransomware_encrypted_probability double, classifier_version string"
 

@@ -81,7 +81,7 @@ def _lower(name: str, value: Any, _: Path) -> str:
 
 
 NEEDED = object()
-#: What a key is read by, and its default.
+# The names of sections and keys, and their defaults. Beside each, what reads it.
 TABLE: dict[str, dict[str, tuple[Callable[[str, Any, Path], Any], Any]]] = {
     "monitor": {
         "monitored_directories": (_listed(_place), NEEDED), "ignored_directories": (_listed(_place), ()), "etw_enabled": (_flag, True), "directory_fallback_enabled": (_flag, False), "system_logger_mode": (_flag, True),
