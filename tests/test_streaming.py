@@ -271,3 +271,49 @@ def test_stage_changes(spark):
     assert [r[0] for r in by_event[3]] == ["filter"]
     last = profiles.latest(changes, "event_id", "stage").select("event_id", *statuses, "profiled")
     assert {tuple(r) for r in last.collect()} == {tuple(r) for r in staged.select("event_id", *statuses, "profiled").collect()}
+
+
+DEDUP = "event_id bigint, process_key string, file_path string, event_type string, us bigint"
+
+
+def test_keys_of_a_bucket_are_one_call(spark, tmp_path, monkeypatch):
+    """Every key of its own, and all of them are a few calls' and a few state rows; batches see what came before, null keys too."""
+    from fathomline.streaming import states
+
+    r = random.Random(5)
+    rows = [(i, r.choice([None, "p", "q"]), r.choice([None, "", f"/F{r.randrange(30)}"]), r.choice(["modified", None]), T0 + i * SECOND) for i in range(240)]
+    expected = {tuple(x) for x in events.deduplicate(spark.createDataFrame(rows, DEDUP), 20 * SECOND).select("event_id", "is_duplicate").collect()}
+    feed = Feed(spark, str(tmp_path), DEDUP, lambda s: pipelines.deduplicated(s, 20 * SECOND, expire=False, buckets=4))
+    found = []
+    for k in (0, 80, 160):
+        part = rows[k:k + 80]
+        r.shuffle(part)
+        out, held = feed.give(part, state=True)
+        found += out
+    assert {tuple(x) for x in found} == expected
+    assert {d for _, d in expected} == {True, False}
+    assert held <= 4
+    assert states.BUCKET not in found[0]
+
+
+def test_silent_keys_leave_their_bucket():
+    """Time-to-live is each key's own, though a bucket's keys are one value."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from fathomline.streaming import states
+
+    value = SimpleNamespace(held=None)
+    value.exists, value.get, value.update = lambda: value.held is not None, lambda: value.held, lambda v: setattr(value, "held", v)
+    d = states.Deduplicator(SECOND, True)
+    d.init(SimpleNamespace(getValueState=lambda *_, **__: value))
+
+    def give(now_ms, *rows):
+        frame = pd.DataFrame(rows, columns=["event_id", states.KEY, "us"])
+        return pd.concat(d.handleInputRows((0,), iter([frame]), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now_ms)))["is_duplicate"].tolist()
+
+    assert give(0, (0, "a", 0), (1, "b", 0)) == [False, False]
+    assert give(3_000, (2, "b", 1)) == [True]
+    assert give(4_500, (3, "a", 2), (4, "b", 2)) == [False, True]  # four windows after a's last event
+    assert len(states._unpacked(value.held)) == 2
