@@ -317,3 +317,43 @@ def test_silent_keys_leave_their_bucket():
     assert give(3_000, (2, "b", 1)) == [True]
     assert give(4_500, (3, "a", 2), (4, "b", 2)) == [False, True]  # four windows after a's last event
     assert len(states._unpacked(value.held)) == 2
+
+
+def test_processes_of_a_bucket_do_not_meet(spark, tmp_path):
+    """All processes in one bucket or each in its own: the same profiles, active and expired, in the same batches, from a state of a few rows."""
+    r = random.Random(7)
+    rows = sorted((event(str(i), r.randrange(0, 300_000) / 1000, r.choice([HIT, GOOD, None]), f"p{r.randrange(12)}", f"/f{r.randrange(5)}", r.random()) for i in range(150)), key=lambda e: e[2])
+    found = []
+    for buckets in (1, 4096):
+        feed = Feed(spark, f"{tmp_path}/{buckets}", EVENT, lambda s, n=buckets: pipelines.profiled(s, 10 * SECOND, "1 second", n))
+        given = [feed.give(rows[k:k + 50], state=True) for k in (0, 50, 100)]
+        found.append([sorted(map(str, out)) for out, _ in given])
+        if buckets == 1:
+            assert max(held for _, held in given) <= states_of_a_bucket()
+    assert found[0] == found[1]
+    assert sum("expired" in x for out in found[0] for x in out) > 20
+
+
+def states_of_a_bucket() -> int:
+    from fathomline.streaming import states
+
+    return 2 * states.Profiler.PARTS + 2 + 2  # spans of a window and of those that lag behind, and the timer's two rows
+
+
+def test_activity_and_names_in_one_bucket(spark, tmp_path):
+    """Every process and identifier in one bucket: as the batch operators have it, and a few state rows."""
+    r = random.Random(10)
+    rows = [(str(i), r.choice(["modified", "deleted"]), r.choice([None, "p", "q", "r"]), "x.exe", f"/d/{i}.txt", ".txt", 1, T0 + i * 300_000) for i in range(90)]
+    config = events.FilterConfig(activity_us=2 * SECOND, activity_count=3)
+    expected = {(x["event_id"], x["activity"]) for x in events.prefilter(spark.createDataFrame(rows, ACTIVITY), config).collect()}
+    feed = Feed(spark, f"{tmp_path}/a", ACTIVITY, lambda s: pipelines.prefiltered(s, config, "1 second", 1))
+    given = [feed.give(rows[k:k + 30], state=True) for k in (0, 30, 60)]
+    assert {(x["event_id"], x["activity"]) for out, _ in given for x in out} == expected
+    assert max(held for _, held in given) <= 3
+
+    rows = [(s, a, k[0] if k else None, p) for s, a, _, k, p, _ in raw_rows(120, 6) if not k or len(k) == 1]
+    expected = names_by_hand([(s, a, "h", [k], p, 0) for s, a, k, p in rows], False)
+    feed = Feed(spark, f"{tmp_path}/n", "seq bigint, action string, file_key string, file_path string", lambda s: pipelines.correlated(s, buckets=1))
+    given = [feed.give(rows[at:at + 40], state=True) for at in range(0, len(rows), 40)]
+    assert sorted((x["seq"], x["resolved_path"]) for out, _ in given for x in out) == expected
+    assert max(held for _, held in given) <= 1
