@@ -85,3 +85,12 @@ def test_windowed_count(spark):
 
 def test_no_rows(spark):
     assert profiles.profiles(spark.createDataFrame([], SCHEMA), W).collect() == []
+
+
+def test_tasks_are_counted_from_the_events(spark, monkeypatch):
+    """The session's number of partitions stays as tables grow: what a task sorts does not grow with them."""
+    assert [profiles.tasks(n, 8) for n in (0, 100, 40_000, 400_000, 36_000_000)] == [1, 1, 8, 8, 720]
+    monkeypatch.setattr(profiles, "ROWS", 20)
+    df = spark.createDataFrame(events(400, 3, 40 * W, busy=0.1), SCHEMA)
+    for found in (profiles.profiles(df, W), profiles.windowed_count(df, "process_key", F.lit(True), W, "n")):
+        assert found.rdd.getNumPartitions() == 20  # of 4 in the session
