@@ -92,10 +92,7 @@ class Model:
 
     def bins(self, columns: list[np.ndarray]) -> np.ndarray:
         """Nulls are the smallest value."""
-        out = np.zeros((len(columns[0]) if columns else 0, len(columns)), np.uint16)
-        for j, (x, e) in enumerate(zip(columns, self.edges, strict=True)):
-            out[:, j] = np.searchsorted(np.array(e), np.where(np.isnan(x), -np.inf, x), side="left")
-        return out
+        return binned(columns, self.edges)
 
     def raw(self, bins: np.ndarray) -> np.ndarray:
         out = np.tile(np.array(self.base), (len(bins), 1))
@@ -123,6 +120,14 @@ class Model:
         return cls(**v | {"params": Params(**v["params"])})
 
 
+def binned(columns: list[np.ndarray], edges: list[list[float]]) -> np.ndarray:
+    """row, column: the bin of each value; NaN (null) is the smallest value."""
+    out = np.zeros((len(columns[0]) if columns else 0, len(columns)), np.uint16)
+    for j, (x, e) in enumerate(zip(columns, edges, strict=True)):
+        out[:, j] = np.searchsorted(np.array(e), np.where(np.isnan(x), -np.inf, x), side="left")
+    return out
+
+
 def softmax(raw: np.ndarray) -> np.ndarray:
     e = np.exp(raw - raw.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)

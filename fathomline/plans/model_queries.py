@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.operators import evaluation, sampling, vectorise
+from fathomline.session import cut
 from fathomline.sources import tables
 
 QUERIES, ORACLES = {}, {}
@@ -264,32 +265,29 @@ def fold_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("depth", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "folds")
 
 
-def _trained(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
-    """Predictions for every row; held_out: its group is in none that the model was fitted on."""
-    from fathomline.operators import models
-
+def _trained(spark: SparkSession, sf_dir: str, fit_predict) -> DataFrame:
+    """Predictions for every row; held_out: its group is in none that the model was fitted on. fit_predict: takes vectorised training rows, all rows and the features' names."""
     names = ["flag", "byte_chi2", "size_bytes"]
-    d = tables.dataset(spark, sf_dir).withColumn("y", vectorise.encode_label(F.col("gt_class")))
+    d = cut(tables.dataset(spark, sf_dir).withColumn("y", vectorise.encode_label(F.col("gt_class"))))  # narrow rows, read many times
     split = sampling.grouped_split(d, {"train": 0.8, "test": 0.2})
     train = split.filter("split = 'train'").drop("split")
     v = vectorise.fit(train, ["flag"], ["byte_chi2", "size_bytes"], ["byte_chi2", "size_bytes"])
-    model = fit(models.assembled(v.transform(train), names))
-    found = models.predictions(model, models.assembled(v.transform(split), names, weights=False))
+    found = fit_predict(v.transform(train), v.transform(split), names)
     return found.select("doc_id", (F.col("split") == "test").alias("held_out"), "y", "y_pred", "s0", "s1", "s2")
 
 
 @query()
 def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fathomline.operators import models
+    from fathomline.operators import forest, models
 
-    return _trained(spark, sf_dir, models.random_forest)
+    return _trained(spark, sf_dir, lambda train, rows, names: forest.predict(models.random_forest(train, names), rows))
 
 
 @query()
 def mlp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomline.operators import models
 
-    return _trained(spark, sf_dir, lambda t: models.perceptron(t, 3))
+    return _trained(spark, sf_dir, lambda train, rows, names: models.predictions(models.perceptron(models.assembled(train, names), len(names)), models.assembled(rows, names, weights=False)))
 
 
 def _with_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,14 +350,14 @@ def parzen_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of two forests in three folds of whole groups; each fold's vectoriser is fitted on the others."""
-    from fathomline.operators import models, search
+    from fathomline.operators import forest, models, search
 
     names = ["flag", "byte_chi2", "size_bytes"]
 
     def fit_predict(train: DataFrame, test: DataFrame, setting: dict) -> DataFrame:
         v = vectorise.fit(train, ["flag"], names[1:], names[1:])
-        model = models.random_forest(models.assembled(v.transform(train), names), setting["trees"], setting["depth"])
-        return models.predictions(model, models.assembled(v.transform(test), names, weights=False)).withColumnRenamed("y", "y_true")
+        model = models.random_forest(v.transform(train), names, setting["trees"], setting["depth"])
+        return forest.predict(model, v.transform(test)).withColumnRenamed("y", "y_true")
 
     rows = tables.dataset(spark, sf_dir).withColumn("y", vectorise.encode_label(F.col("gt_class")))
     found = search.cross_validate(rows, [{"trees": 10, "depth": 4}, {"trees": 20, "depth": 6}], fit_predict, folds=3)
