@@ -56,11 +56,13 @@ class Model:
         before = np.empty((steps, streams, H), np.float32)
         gates = np.empty((2, steps if keep else 1, streams, H), np.float32)  # apart, so that exp and tanh run over contiguous numbers
         a = np.empty((streams, 2 * H), np.float32)
-        live = ~fresh
+        live, starting = ~fresh, fresh.any(1).tolist()
         for t in range(steps):
             hp = before[t]
-            np.multiply(h, live[t][:, None], out=hp)
-            np.take(self.E, x[t], axis=0, out=a, mode="clip")  # ids are in range; clip spares a buffer
+            hp[...] = h
+            if starting[t]:
+                hp *= live[t][:, None]
+            self.E.take(x[t], axis=0, out=a, mode="clip")  # ids are in range; clip spares a buffer
             a += hp @ self.U
             f, c = gates[:, t if keep else 0]
             np.negative(a[:, :H], out=f)
@@ -133,11 +135,19 @@ class Model:
         d = d.reshape(steps, streams, H)
         da = np.empty((steps, streams, 2 * H), np.float32)
         back = np.zeros((streams, H), np.float32)
+        f, c = gates
+        slopes = np.empty((steps, streams, 2, H), np.float32)
+        rest = 1 - f
+        np.multiply((c - before) * f, rest, out=slopes[:, :, 0])
+        np.multiply(1 - c * c, f, out=slopes[:, :, 1])
+        parts, starting = da.reshape(slopes.shape), fresh.any(1).tolist()
         for t in range(steps - 1, -1, -1):
-            f, c, hp = gates[0, t], gates[1, t], before[t]
-            np.multiply(back * (c - hp), f * (1 - f), out=da[t, :, :H])
-            np.multiply(back * f, 1 - c * c, out=da[t, :, H:])
-            back = (back * (1 - f) + da[t] @ self.U.T + d[t]) * ~fresh[t][:, None]
+            np.multiply(back[:, None], slopes[t], out=parts[t])
+            back *= rest[t]
+            back += da[t] @ self.U.T
+            back += d[t]
+            if starting[t]:
+                back *= ~fresh[t][:, None]
         flat_da = da.reshape(-1, 2 * H)
         g["U"] = flat.T @ flat_da
         first = np.flatnonzero(np.diff(tokens, prepend=-1))

@@ -22,11 +22,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import by_chunks, cut, held_out, table, texts
+from .common import by_chunks, cut, held_out, table
 
 MODULUS = 7
 #: Head words stay with the text; longer ones never belong to it, which bounds what is broadcast.
@@ -47,6 +48,16 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def distinct_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of a column of texts: the distinct words(), each word's number among them in order, and each word's row. Null is the empty text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    found = lists.flatten()
+    row = np.repeat(np.arange(len(column)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(found), 0)  # space at a text's ends gives empty words
+    encoded = found.filter(full).dictionary_encode()
+    return encoded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.type) else pa.binary()).to_pylist(), encoded.indices.to_numpy(), row[full.to_numpy(zero_copy_only=False)]
+
+
 def bucket(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
@@ -63,8 +74,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             return found
 
         for batch in by_chunks(batches, "text"):
-            for x in texts(batch, "text"):
-                seen.update(words(x))
+            found, number, _ = distinct_words(batch.column("text"))
+            seen.update(dict(zip(found, np.bincount(number, minlength=len(found)).tolist(), strict=True)))
             if len(seen) > COUNTED:
                 yield handed()
         yield handed()
@@ -101,18 +112,29 @@ class Vocabulary:
         within[m:] = self.log_count[m:] + self.log_share[outside]
         self.within = within  # log10 p(word | bucket) of head words that the network has no token for
 
+    def known(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: the network's token, its head number (-1: not a head word), and the bucket of those without one."""
+        at = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        rare = np.flatnonzero(at < 0)
+        buckets = np.zeros(len(distinct), np.int64)
+        buckets[rare] = np.fromiter((bucket(distinct[i]) for i in rare.tolist()), np.int64, len(rare))
+        ids = np.empty(len(distinct), np.int32)
+        if len(self.token):
+            ids[:] = self.token[at]
+        ids[rare] = self.bucket_token[buckets[rare]]
+        return ids, at, buckets
+
+    def ended(self, ids: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
+        """Each of n rows' token ids with the end."""
+        out = np.full(len(ids) + n, self.end, np.int32)
+        out[np.arange(len(ids)) + row] = ids
+        return np.split(out, (np.bincount(row, minlength=n) + 1).cumsum()[:-1]) if n else []
+
     def tokens(self, document: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """The network's token ids with the end, head numbers (-1: not a head word), the words that aren't in the head, and their buckets."""
-        at = np.fromiter(map(self.index.get, document, repeat(-1)), np.int64, len(document))
-        ids = np.empty(len(document) + 1, np.int32)
-        ids[-1] = self.end
-        rare = [document[i] for i in np.flatnonzero(at < 0).tolist()]
-        if len(self.token):
-            ids[:-1] = self.token[at]
-        buckets = np.fromiter(map(bucket, rare), np.int64, len(rare))
-        if rare:
-            ids[:-1][at < 0] = self.bucket_token[buckets]
-        return ids, at, rare, buckets
+        ids, at, buckets = self.known(document)
+        rare = np.flatnonzero(at < 0)
+        return np.append(ids, np.int32(self.end)), at, [document[i] for i in rare.tolist()], buckets[rare]
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
@@ -152,7 +174,8 @@ def copies(training: DataFrame, v: Vocabulary, start: np.ndarray) -> DataFrame:
         own.load(start)
         seen = 0
         for batch in by_chunks(batches, "text", 16 << 20):
-            given = [v.tokens(words(x))[0] for x in texts(batch, "text")]
+            found, number, row = distinct_words(batch.column("text"))
+            given = v.ended(v.known(found)[0][number], row, batch.num_rows)
             gru.train(own, given, rate=RATE)
             seen += sum(map(len, given))
         if seen:
@@ -210,20 +233,19 @@ def scored(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
         model.load(vector)
         end_log = np.log10(v.n_docs + 1.0)
         for batch in by_chunks(batches, "text", SCORED):
-            ids, rare, at_row, base, known, within = [], [], [], [], [], []
-            numbers = batch.column("row").to_pylist()
-            for x, row in zip(texts(batch, "text"), numbers, strict=True):
-                tokens, at, others, buckets = v.tokens(words(x))
-                ids.append(tokens)
-                inside = at[at >= 0]
-                base.append(v.log_count[inside].sum() + end_log)
-                known.append(len(inside) + (v.n_docs > 0))
-                within.append(v.within[inside].sum() + v.log_share[buckets].sum())
-                times = Counter(others)
-                rare.extend(times.items())
-                at_row.extend([row] * len(times))
-            likelihood = gru.score(model, ids) / np.log(10) + np.array(within)
-            n, m = len(ids), len(rare)
+            numbers, n = batch.column("row").to_pylist(), batch.num_rows
+            found, number, row = distinct_words(batch.column("text"))
+            token, at, buckets = v.known(found)
+            ids = v.ended(token[number], row, n)
+            inside = at[number] >= 0
+            of, head = row[inside], at[number[inside]]
+            others, rare = row[~inside], number[~inside]
+            base = np.bincount(of, v.log_count[head], n) + end_log
+            known = np.bincount(of, minlength=n) + (v.n_docs > 0)
+            within = np.bincount(of, v.within[head], n) + np.bincount(others, v.log_share[buckets[rare]], n)
+            likelihood = gru.score(model, ids) / np.log(10) + within
+            pairs, times = np.unique(others * max(1, len(found)) + rare, return_counts=True)
+            m = len(pairs)
             # the document's own row, under a key that no word has
             own = pa.array([b"\xff" + r.to_bytes(8, "big") for r in numbers], pa.binary())
             columns = [own, batch.column("row"), pa.nulls(n, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(likelihood, pa.float64())]
@@ -231,7 +253,7 @@ def scored(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
             if m:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([w for w, _ in rare], pa.binary()), pa.array(at_row, pa.int64()), pa.array([k for _, k in rare], pa.int64()),
+                    pa.array([found[i] for i in (pairs % len(found)).tolist()], pa.binary()), batch.column("row").take(pa.array(pairs // len(found))), pa.array(times, pa.int64()),
                     *(pa.nulls(m, columns[i].type) for i in range(3, 9))], names=names)
 
     placed = numbered.mapInArrow(run, schema)
